@@ -1,8 +1,8 @@
 """Quality rules: repetition coverage.
 
 Per document, words become numbers and each n-gram a rolling 64-bit hash (H(n, i) = H(n-1, i) * B + word[i+n-1]),
-for all n-gram lengths in one sweep of numpy. An n-gram found twice or more marks its words; the share of the
-text's characters inside marked words is the coverage for that n. For the short lengths the characters of the most
+for all n-gram lengths in one sweep of numpy. An n-gram found before in the text marks its words; the share of the
+text's characters inside marked words is the coverage for that n (the first occurrence is left out). For the short lengths the characters of the most
 frequent n-gram count instead. Repeated lines are measured in the same way. Limits follow published rules for
 web text (Rae et al. 2021).
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: n-gram length: largest share of characters in its most frequent n-gram.
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
-#: n-gram length: largest share of characters inside n-grams found twice or more.
+#: n-gram length: largest share of characters inside n-grams that repeat an earlier one.
 DUP_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines equal to an earlier line.
 LINE_LIMIT = 0.30
@@ -79,11 +79,11 @@ def measure(text: bytes, window: int = 8, top: tuple[int, ...] = tuple(TOP_LIMIT
             size = (sums[first + n] - sums[first]) * count
             out[f"top_{n}"] = min(1.0, float(size[count > 1].max(initial=0)) / total)
         if n in dup or n == window:
-            marked = _covered(count[back] > 1, n, len(words)) if (count > 1).any() else np.zeros(len(words), bool)
+            twice, again = count[back] > 1, np.arange(len(h)) != first[back]
             if n in dup:
-                out[f"dup_{n}"] = float(lengths[marked].sum()) / total
+                out[f"dup_{n}"] = float(lengths[_covered(again, n, len(words))].sum()) / total if twice.any() else 0.0
             if n == window:
-                out["n_repeat_words"] = int(marked.sum())
+                out["n_repeat_words"] = int(_covered(twice, n, len(words)).sum()) if twice.any() else 0
     return out
 
 
