@@ -81,10 +81,12 @@ class Network:
         owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
         rows = np.concatenate(rows)
         top = np.concatenate([self.pool(rows[i : i + at_once])[0] for i in range(0, len(rows), at_once)])
-        return 1 / (1 + np.exp(-self.combine(top, owner, len(texts))[0].astype(np.float64).clip(-50, 50)))
+        p = 1 / (1 + np.exp(-self.combine(top, owner, len(texts))[0].astype(np.float64).clip(-50, 50)))
+        return p.round(5)  # sums of floats differ a little with the texts that happen to be scored together
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, per_text: int = 6, seed: int = 3) -> Network:
-        """Adam over the log loss with classes of equal weight; of a long text each pass takes per_text chunks."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, per_text: int = 6, least_steps: int = 700, seed: int = 3) -> Network:
+        """Adam over the log loss with classes of equal weight; of a long text each pass takes per_text chunks. Few
+        texts are passed over more often, until least_steps batches are through."""
         rng = np.random.default_rng(seed)
         labels = np.asarray(labels, np.float32)
         share = float(labels.mean()) if len(labels) else 0.5
@@ -93,6 +95,7 @@ class Network:
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         all_rows, t = [chunks(x, self.shape) for x in texts], 0
+        epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
@@ -114,6 +117,8 @@ class Network:
         logit, act, mean, most, count = self.combine(top, owner, n)
         d = weight * (1 / (1 + np.exp(-logit)) - labels) / n
         is_most = act == most[owner]
+        starts = np.searchsorted(owner, np.arange(n))
+        is_most = is_most / np.add.reduceat(is_most, starts, axis=0, dtype=np.int64)[owner]  # equal chunks share
         d_act = d[owner, None] * (self.p["mean"] / count[owner] + self.p["max"] * is_most)
         d_top = (d_act * (1 - act * act)).astype(np.float32)
         seen = self.windows(rows)[np.arange(len(rows))[:, None], where]  # chunk, filter, width

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from drawlens.llm import chat
@@ -63,7 +64,7 @@ def test_scores_depend_on_the_text_alone(spark, odd_docs, no_docs):
     assert all(len(s) == 1 for s in by.values()) and classify(no_docs, net).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert np.isfinite(train(odd_docs, labels).score([b"x"])).all()
-    assert spark.range(1).select(fold(spark.range(1)["id"])).first()[0] == __import__("zlib").crc32(b"0") % 4
+    assert spark.range(1).select(fold(F.col("id"))).first()[0] == __import__("zlib").crc32(b"0") % 4
 
 
 LEGAL = {None: {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
