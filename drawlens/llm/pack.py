@@ -84,7 +84,8 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_bpe_50k",
     stored = save(tokenize(docs, vocabulary, end_id), "tokens")
     totals = stored.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     first = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = stored.join(totals.select("part", first.alias("first")), "part").select("doc_id", "doc_tokens", "ids", (F.col("first") + F.col("before")).alias("at"))
+    offsets = F.broadcast(totals.select("part", first.alias("first")))  # one row per input partition
+    placed = stored.join(offsets, "part").select("doc_id", "doc_tokens", "ids", (F.col("first") + F.col("before")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
