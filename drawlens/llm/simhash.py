@@ -172,7 +172,9 @@ def links(prints: DataFrame, bits: int, cuts: list[list[int]], distance: int, he
 
     kinds = ", ".join(f"{c} long" for c in columns)
     run, out = _link(n_words, distance, held), f"a long, b long, key long, {kinds}"
-    rows = prints.select("id", *columns).mapInArrow(spread, f"key long, id long, {kinds}")
+    # few rows come in and many go out: deal them over all tasks first, so that no task writes a large share
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.select("id", *columns).repartition(tasks, "id").mapInArrow(spread, f"key long, id long, {kinds}")
     found = save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, out), "links")
     large = found.where("key IS NOT NULL")
     blocks = save(large.groupBy("key").agg(F.ceil(F.count("*") * 2 / held).cast("int").alias("blocks")), "large")
