@@ -154,3 +154,13 @@ def test_large_groups_of_near_lines_join(spark):
 def test_queries_give_every_document(spark, sf_dir, documents):
     assert Q.op9_line_dedup(spark, sf_dir).count() == documents.count()
     assert np.isclose(Q.op6_simhash(spark, sf_dir).count(), documents.count())
+
+
+def test_every_two_lines_of_a_large_key_meet(spark):
+    rng = random.Random(4)
+    said = "this frequent phrase stands in every line of the corpus and gives it most of its shingles while the rest differs"
+    lines = [f"{said} {''.join(rng.choices('abcdefghijklmnop ', k=70))}" for _ in range(300)]
+    lines = [*lines, *(x[:-1] + "zz" for x in lines[:40])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    # one band of one value: nearly all lines have one key, and pairs meet nowhere else
+    assert sum(r.text == "" for r in line_dedup(docs, n_bands=1, rows=1).collect()) >= 36
