@@ -1,7 +1,8 @@
 """License scans: ordered signature rules.
 
 Texts are reduced to lower-case words. Rules are regular expressions over the words, written as families of
-signatures; each has a label, a priority and a keyword, and only rules whose keyword the text contains run (one
+signatures; each has a label, a priority and keywords, of which all that it matches contains one, and only rules with a
+keyword that the text contains run (one
 pass of an Aho-Corasick automaton finds the keywords). Of overlapping detections one that lies inside another
 stays only if it has the higher priority; of equal spans the higher priority, then the earlier rule, wins.
 """
@@ -23,51 +24,51 @@ BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "
 
 #: label, keyword, expression for the name, tag (as in a machine-readable identifier).
 FAMILIES = (
-    ("mit", "mit", r"mit(?: expat)?|expat", r"mit(?: 0)?"),
+    ("mit", "mit|expat", r"mit(?: expat)?|expat", r"mit(?: 0)?"),
     ("apache-1", "apache", r"apache(?: software)? license(?: version| v)? 1(?: [01])?", r"apache 1(?: [01])?"),
     ("apache-2", "apache", r"apache(?: software)?(?: public)? license(?: version| v)? ?2(?: 0)?|apache 2(?: 0)?", r"apache 2(?: 0)?"),
     ("bsd-2", "bsd", r"(?:simplified|2 clause|two clause|freebsd) bsd|bsd 2(?: clause)?", r"bsd 2 clause(?: \w+)?"),
     ("bsd-3", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3(?: clause)?", r"bsd 3 clause(?: \w+)?"),
     ("bsd-4", "bsd", r"(?:original|old|4 clause|four clause) bsd|bsd 4(?: clause)?", r"bsd 4 clause"),
-    ("bsd-0", "bsd", r"(?:zero clause|0 clause) bsd", r"0bsd"),
-    ("gpl-1", "gpl|general public", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "gpl|general public", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "gpl|general public", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "lgpl|lesser general|library general", r"(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "lgpl|lesser general", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "lgpl|lesser general", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", "agpl|affero", r"(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("fdl", "fdl|free documentation", r"(?:gnu )?(?:fdl|gfdl|free documentation license)(?: version| v)?(?: 1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1", "mpl|mozilla", r"(?:mpl|mozilla public license)(?: version| v)? ?1(?: [01])?", r"mpl 1 [01]"),
-    ("mpl-2", "mpl|mozilla", r"(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", r"mpl 2 0"),
-    ("epl-1", "epl|eclipse", r"(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", r"epl 1 0"),
-    ("epl-2", "epl|eclipse", r"(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", r"epl 2 0"),
+    ("bsd-0", "bsd|0bsd", r"(?:zero clause|0 clause) bsd", r"0bsd"),
+    ("gpl-1", "gpl|gpl1|general public", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", "gpl|gpl2|general public", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "gpl|gpl3|general public", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("lgpl-2", "lgpl|lgpl2|library general", r"(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl|lgpl2|lesser general", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl|lgpl3|lesser general", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", "agpl|agpl3|affero", r"(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("fdl", "fdl|gfdl|free documentation", r"(?:gnu )?(?:fdl|gfdl|free documentation license)(?: version| v)?(?: 1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
+    ("mpl-1", "mpl|mpl1|mozilla", r"(?:mpl|mozilla public license)(?: version| v)? ?1(?: [01])?", r"mpl 1 [01]"),
+    ("mpl-2", "mpl|mpl2|mozilla", r"(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", r"mpl 2 0"),
+    ("epl-1", "epl|epl1|eclipse", r"(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", r"epl 1 0"),
+    ("epl-2", "epl|epl2|eclipse", r"(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", r"epl 2 0"),
     ("cddl", "cddl|common development", r"cddl(?: 1 [01])?|common development and distribution license", r"cddl 1 [01]"),
     ("cpl", "cpl|common public", r"cpl 1 0|common public license", r"cpl 1 0"),
     ("eupl", "eupl|european union public", r"eupl(?: v?1 [012])?|european union public licen[cs]e", r"eupl 1 [012]"),
     ("isc", "isc", r"isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
-    ("bsl-1", "boost", r"boost software(?: license)?(?: version)?(?: 1 0)?", r"bsl 1 0"),
+    ("bsl-1", "boost|bsl 1 0", r"boost software(?: license)?(?: version)?(?: 1 0)?", r"bsl 1 0"),
     ("artistic-1", "artistic", r"artistic license(?: version)? 1(?: 0)?", r"artistic 1 0(?: perl)?"),
     ("artistic-2", "artistic", r"artistic license(?: version)? 2(?: 0)?", r"artistic 2 0"),
-    ("python-2", "python", r"(?:python software foundation|psf)(?: license)?(?: version 2)?", r"python 2 0|psf 2 0"),
+    ("python-2", "python|psf", r"(?:python software foundation|psf)(?: license)?(?: version 2)?", r"python 2 0|psf 2 0"),
     ("php-3", "php", r"php license(?: version)? 3(?: 0[01]?)?", r"php 3 0[01]?"),
     ("ruby", "ruby", r"ruby", r"ruby"),
     ("openssl", "openssl", r"openssl", r"openssl"),
     ("postgresql", "postgresql", r"postgresql", r"postgresql"),
     ("unlicense", "unlicense", r"unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public license", r"wtfpl"),
+    ("wtfpl", "wtfpl|do what the fuck", r"wtfpl|do what the fuck you want to public license", r"wtfpl"),
     ("ofl-1.1", "ofl|open font", r"(?:sil )?(?:ofl|open font license)(?: version)?(?: 1 1)?", r"ofl 1 1"),
     ("ms-pl", "microsoft public|ms pl", r"microsoft public license|ms pl", r"ms pl"),
     ("ms-rl", "microsoft reciprocal|ms rl", r"microsoft reciprocal license|ms rl", r"ms rl"),
-    ("afl-3", "academic free", r"academic free license(?: version| v)?(?: 3 0)?", r"afl 3 0"),
-    ("osl-3", "open software license", r"open software license(?: version| v)?(?: 3 0)?", r"osl 3 0"),
-    ("upl-1", "universal permissive", r"universal permissive license(?: version| v)?(?: 1 0)?", r"upl 1 0"),
+    ("afl-3", "academic free|afl 3 0", r"academic free license(?: version| v)?(?: 3 0)?", r"afl 3 0"),
+    ("osl-3", "open software license|osl 3 0", r"open software license(?: version| v)?(?: 3 0)?", r"osl 3 0"),
+    ("upl-1", "universal permissive|upl 1 0", r"universal permissive license(?: version| v)?(?: 1 0)?", r"upl 1 0"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa"),
     ("cecill", "cecill", r"cecill(?: [bc])?(?: 2 [01])?", r"cecill(?: \w+)*?"),
-    ("busl-1.1", "business source", r"business source license(?: 1 1)?", r"busl 1 1"),
+    ("busl-1.1", "business source|busl 1 1", r"business source license(?: 1 1)?", r"busl 1 1"),
     ("sspl-1", "sspl|server side public", r"sspl|server side public license(?: version 1)?", r"sspl 1 0"),
-    ("elastic-2", "elastic license", r"elastic license(?: version)?(?: 2(?: 0)?)?", r"elastic 2 0"),
+    ("elastic-2", "elastic license|elastic 2 0", r"elastic license(?: version)?(?: 2(?: 0)?)?", r"elastic 2 0"),
     ("odbl", "odbl|open database", r"odbl|open database license", r"odbl 1 0"),
     ("odc-by", "odc by|open data commons attribution", r"odc by|open data commons attribution license", r"odc by 1 0"),
     ("pddl", "pddl|public domain dedication and license", r"pddl|public domain dedication and license", r"pddl 1 0"),
@@ -101,8 +102,8 @@ TEXTS = (
     ("bsl-1", "boost software license", r"boost software license version 1 0 august 17th 2003", 6, 1.0),
     ("apache-2", "apache license", r"licensed under the apache license version 2 0 the license", 6, 1.0),
     ("apache-2", "apache org", r"(?:https? )?www apache org licenses license 2 0", 6, 1.0),
-    ("gpl-2", "free software foundation", r"either version 2 of the license or (?:at your option )?any later version", 5, 0.9),
-    ("gpl-3", "free software foundation", r"either version 3 of the license or (?:at your option )?any later version", 5, 0.9),
+    ("gpl-2", "either version 2", r"either version 2 of the license or (?:at your option )?any later version", 5, 0.9),
+    ("gpl-3", "either version 3", r"either version 3 of the license or (?:at your option )?any later version", 5, 0.9),
     ("gpl", "general public", r"(?:gnu )?general public license", 1, 0.5),
     ("lgpl", "lesser general", r"(?:gnu )?lesser general public license", 1, 0.5),
     ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 6, 1.0),
@@ -114,7 +115,7 @@ TEXTS = (
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 1, 0.5),
     ("proprietary", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 3, 0.8),
     ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", 5, 0.9),
-    ("no-ai-training", "machine learning", r"may not be used (?:to train|for training|for the training of)(?: any)? (?:machine learning|artificial intelligence|language models?)", 5, 0.9),
+    ("no-ai-training", "machine learning|artificial intelligence|language model|language models", r"may not be used (?:to train|for training|for the training of)(?: any)? (?:machine learning|artificial intelligence|language models?)", 5, 0.9),
 )
 
 

@@ -119,3 +119,38 @@ def test_license_base_against_plain_python(spark, sf_dir, documents, odd_docs, n
     assert license_scan(odd_docs).count() == 11 and license_scan(no_docs).count() == 0
     twice = spark.createDataFrame([(1, "Under the MIT License; under the MIT license. CC-BY-NC CC BY NC"), (2, None)], "doc_id long, text string")
     assert [len(r.places) for r in sorted(license_scan(twice).collect())] == [4, 0]
+
+
+def examples(parsed):
+    """Texts that a parsed expression matches: every alternative, with and without what is optional."""
+    out = [""]
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(x)]
+        elif name == "IN":
+            more = ["x" if str(k) == "CATEGORY" else chr(v if str(k) == "LITERAL" else v[0]) for k, v in x][:4]
+        elif name == "BRANCH":
+            more = [y for branch in x[1] for y in examples(branch)]
+        elif name == "SUBPATTERN":
+            more = examples(x[3])
+        else:  # a repeat
+            assert name in ("MAX_REPEAT", "MIN_REPEAT")
+            more = [y * n for n in {x[0], min(x[1], 1)} for y in examples(x[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_prefilter_drops_no_match():
+    from re import _parser
+
+    from drawlens.llm.licenses import FAMILIES, TEXTS
+
+    for label, keys, *texts in [*((label, keys, name, tag) for label, keys, name, tag in FAMILIES), *(t[:3] for t in TEXTS)]:
+        for text in texts:
+            lost = [x for x in examples(_parser.parse(text)) if not any(f" {k} " in f" {x} " for k in keys.split("|"))]
+            assert not lost, (label, lost[:3])
+    labels = lambda s: {x[0] for x in scan(f" {s} ")[0]}
+    for text, label in {"bsl 1 0": "bsl-1", "afl 3 0": "afl-3", "psf 2 0": "python-2", "gfdl 1 3": "fdl", "0bsd": "bsd-0"}.items():
+        assert label in labels(f"spdx license identifier {text}")
+    assert "mit" in labels("licensed under the expat license") and "gpl-2" in labels("licensed under the gpl2")
