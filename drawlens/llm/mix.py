@@ -67,17 +67,18 @@ def _cuts(rows: DataFrame, goals: DataFrame, few: int) -> DataFrame:
     return last.select("source", F.coalesce("key", F.struct((F.col("lo") - 1).alias("u"), F.lit(None).cast("long").alias("doc_id"))).alias("key"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, few: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, few: int = 20_000, through: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size (words), source_size, target (of its source), repeats, taken.
 
     Needs doc_id, text and source; other columns are ignored. Null and empty texts have size 0, are never taken
     more often than their source's whole repetitions, and add nothing. A null source is a source, in last place.
     Rows that repeat a doc_id are drawn together. An empty table gives an empty result. few: how many documents
-    of a source one task may order when it places the cut.
+    of a source one task may order when it places the cut. through: columns of docs that come along, in a struct row.
     """
     u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, BITS // 4), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), u.alias("u")), "sizes")
+    row = [F.struct(*through).alias("row")] if through else []
+    rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), u.alias("u"), *row), "sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = save(goals.withColumn("whole", whole.cast("long")).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "goals")
@@ -85,4 +86,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     goals = save(goals.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "goals").withColumnRenamed("source", "_s")
     more = F.coalesce(((F.struct("u", "doc_id") <= F.col("key")) & (F.col("size") > 0) & (F.col("extra") > 0)).cast("long"), F.lit(0))
     out = rows.join(goals, F.col("source").eqNullSafe(F.col("_s"))).withColumn("repeats", F.col("whole") + more)
-    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *(["row"] if through else []))

@@ -111,3 +111,19 @@ def test_crc_of_pieces(spark, sf_dir, documents):
     got = {(r.doc_id, r.start): r.ids_crc32 for r in Q.op5_pack(spark, sf_dir).collect()}
     want = {(p.doc_id, p.start): zlib.crc32(bytes(p.ids)) for p in pack(documents).collect()}
     assert got == want
+
+
+def test_mixing_stage_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    rows = [(None if i % 3 == 0 else i, "two words" if i % 2 else "three more words", "en", f"s{i % 2}", 9) for i in range(60)]
+    rows += [(7, None, "en", "s0", None), (7, "two words", "en", "s1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter({r: 0 for r in docs.collect()})
+    for r in mix(docs, through=tuple(docs.columns)).collect():
+        want[r.row] += r.repeats
+    out = P.mixed(spark, docs, "")
+    got = Counter(out.collect())
+    assert out.columns == docs.columns and got == +want and any(r.doc_id is None for r in got)
+    whole = {r.source: int(r.target // r.source_size) for r in mix(docs).collect()}
+    assert got[rows[60]] == whole["s0"]  # a row without words takes no repeats from others with its id
