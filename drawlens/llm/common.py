@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,18 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `size` bytes of text, so that long texts do not meet in one list."""
+    start, seen = 0, 0
+    for i, t in enumerate(batch.column("text")):
+        seen += len(t.as_buffer() or b"") if t.is_valid else 0
+        if seen >= size:
+            yield batch.slice(start, i + 1 - start)
+            start, seen = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def ranked(df: DataFrame, order: list[Column], totals: dict[str, str] | None = None) -> DataFrame:
     """Adds rank (from 0) in the given order and, for each new: old in totals, the sum of old over the rows before.
 

@@ -8,7 +8,8 @@ that crosses a window's end is cut there, and each piece records where it lies.
 
 from __future__ import annotations
 
-import base64
+import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -19,50 +20,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drawlens.llm.common import save
+from drawlens.llm.common import bounded, save
 
-#: The byte-level BPE is quadratic in the length of a piece without breaks in one library and not in the other.
-LONG_RUN = re.compile(r"\S{400}|\s{400}")
+#: White space other than the space and the line feed.
+RARE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: A space between two characters that are no white space.
+ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """Ids of texts for a vocabulary given in both of its forms (name.json, name.tiktoken); both give equal ids."""
+    """Ids of texts by the tokenizers library, exactly those of Tokenizer.encode(text, add_special_tokens=False).
 
-    def __init__(self, name: str):
+    A byte-level BPE with the usual pattern never joins what stands on the two sides of a single space or line feed
+    between other characters, so texts are cut there and each different piece is encoded once and kept (at most
+    `kept` of them, of `width` characters each). A text that holds the text of an added token is encoded as it is.
+    """
+
+    def __init__(self, name: str, kept: int = 400_000, width: int = 48):
         import public_tokenizers as P
-        import tiktoken
         from tokenizers import Tokenizer
 
-        with open(P.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(P.path(f"{name}.json"))
-        self.slow.encode_special_tokens = True
-
-    def __call__(self, text: str) -> list[int]:
-        return self.slow.encode(text, add_special_tokens=False).ids if LONG_RUN.search(text) else self.fast.encode_ordinary(text)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
+        self.tokenizer = Tokenizer.from_file(P.path(f"{name}.json"))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        self.pieces: dict[str, bytes] = {}
+        self.kept, self.width = kept, width
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> tuple[str, list[str]]:
+        """What is encoded as it is, and the pieces after it: one that starts with a line feed, or else one that a
+        space comes before."""
+        if any(t in text for t in self.added):
+            return text, []
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in RARE) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+            first, *rest = ALONE.split(text)
+            return first, rest
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return first, rest
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian numbers of self.kind."""
+        cut = [self._cut(t) for t in texts]
+        heads = self._bytes([first for first, _ in cut])
+        seen = self.pieces
+        new = list({p for _, rest in cut for p in rest if p not in seen})
+        ids = dict(zip(new, self._bytes([p if p[0] == "\n" else " " + p for p in new]), strict=True))
+        if len(seen) + len(ids) > self.kept:
+            ids, self.pieces = seen | ids, {}  # what this batch needs, and a new start
+            seen = ids
+        else:
+            seen |= {p: b for p, b in ids.items() if len(p) <= self.width}
+            if len(long := {p: b for p, b in ids.items() if len(p) > self.width}):
+                seen = _Two(seen, long)
+        return [head + b"".join(map(seen.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
+
+
+class _Two(dict):
+    """The pieces kept, and the long ones of one batch."""
+
+    def __init__(self, kept: dict[str, bytes], long: dict[str, bytes]):
+        super().__init__(long)
+        self.kept = kept
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.kept[piece]
+
+
+@functools.cache
+def encoder(name: str) -> Encoder:
+    """One for each Python worker, whose pieces serve all its tasks."""
+    return Encoder(name)
 
 
 def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end_id: int = 1) -> DataFrame:
     """doc_id, part, before (ids before it in its partition), doc_tokens, ids (little-endian unsigned 16- or 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, before = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        wide = encode.kind == "<u4" or end_id >= 65536
+        end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         for batch in batches:
-            ids, starts, lengths = [], [], []
-            for text in batch.column("text"):
-                tokens = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
-                ids.append(tokens.astype("<u2").tobytes() if len(tokens) and tokens.max() < 65536 else b"\0" + tokens.tobytes())
-                starts.append(before)
-                lengths.append(len(tokens))
-                before += len(tokens)
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "part", "before", "doc_tokens", "ids"],
-            )
+            for part_of in bounded(batch):
+                found = encode([t or "" for t in part_of.column("text").to_pylist()])
+                if wide:
+                    found = [b"\0" + np.frombuffer(x, encode.kind).astype("<u4").tobytes() for x in found]
+                ids = [x + end for x in found]
+                lengths = np.array([len(unpack(x)) for x in ids], np.int64)
+                starts = before + np.cumsum(lengths) - lengths
+                before += int(lengths.sum())
+                yield pa.record_batch(
+                    [part_of.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(starts), pa.array(lengths), pa.array(ids, pa.binary())],
+                    names=["doc_id", "part", "before", "doc_tokens", "ids"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, part long, before long, doc_tokens long, ids binary")
 

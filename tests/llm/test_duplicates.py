@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from drawlens.llm import queries as Q
 from drawlens.llm.common import components, ranked
-from drawlens.llm.line_dedup import line_dedup
+from drawlens.llm.line_dedup import band_keys, line_dedup, rolling, shingle_set
 from drawlens.llm.simhash import links, near_duplicates, segments, simhash
 
 
@@ -174,6 +174,18 @@ def test_line_recall_over_graded_changes(spark):
     assert sum(want[i] != "" and got[i] == "" for i in rows) <= len(missed)  # the first of a part that a missed link splits off
 
 
+def test_keys_and_sets_of_single_lines():
+    text = ["short", "twelve chars", "x" * 40, "caf\u00e9 \U0001f600 and more text", "a line of its own with some words"]
+    keys = band_keys(text, 12, 6, 3)
+    assert not keys[0].any() and keys[1:].any(axis=1).all()
+    for i, line in enumerate(text):  # no line's keys depend on those beside it
+        assert (band_keys([line], 12, 6, 3)[0] == keys[i]).all()
+        assert len(shingle_set(line, 12)) == len(char_shingles(line))
+    codes = np.frombuffer(text[4].encode("utf-32-le"), "<u4")
+    for n in (1, 2, 3, 5, 12):
+        assert rolling(codes, n).tolist() == [rolling(codes[i : i + n], n)[0] for i in range(len(codes) - n + 1)]
+
+
 def test_every_two_lines_of_a_large_key_meet(spark):
     rng = random.Random(4)
     said = "this frequent phrase stands in every line of the corpus and gives it most of its shingles while the rest differs"

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,7 +86,7 @@ def test_pack_round_trip(documents, odd_docs, no_docs):
     for docs, length in ((documents, 2048), (odd_docs, 16)):
         texts = Counter()
         for r in docs.collect():
-            texts[r.doc_id, tuple([*encode.slow.encode(r.text or "", add_special_tokens=False).ids, 1])] += 1
+            texts[r.doc_id, tuple([*encode.tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1])] += 1
         pieces = sorted(pack(docs, length).collect(), key=lambda r: (r.sequence_id, r.offset))
         at, got, tokens = 0, Counter(), []
         for p in pieces:
@@ -100,10 +101,18 @@ def test_pack_round_trip(documents, odd_docs, no_docs):
     assert pack(no_docs).count() == 0
 
 
-def test_encoder_forms_agree():
-    encode = Encoder("byte_bpe_50k")
-    for text in ("", "x" * 5000, " " * 900 + "a", "<|endoftext|> aé\U0001f600", "a" * 399 + " b"):
-        assert encode(text) == encode.slow.encode(text, add_special_tokens=False).ids
+def test_ids_are_those_of_the_untouched_tokenizer(documents):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Encoder("byte_bpe_50k", kept=50, width=6)
+    rng, some = random.Random(3), ["a", "Zq", " ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "'s", "12", "!", "\u00e9", "\u65e5\u672c", "\U0001f600", "<|endoftext|>"]
+    texts = ["", "x" * 5000, " " * 900 + "a", "hello <|endoftext|> world", "a" * 399 + " b", "\n", " ", "a\nb c\n", "line one.\nLine two's end"]
+    texts += ["".join(rng.choices(some[: rng.choice((4, 5, 17))], k=rng.randrange(1, 40))) for _ in range(3000)]
+    texts += [r.text for r in documents.limit(40).collect() if r.text]
+    for at in range(0, len(texts), 97):
+        got = encode(texts[at : at + 97])
+        assert [np.frombuffer(x, encode.kind).tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts[at : at + 97]]
     assert unpack(b"\0" + np.array([70000], "<u4").tobytes()).tolist() == [70000] and unpack(np.array([5, 6], "<u2").tobytes()).tolist() == [5, 6]
 
 
