@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -67,11 +68,9 @@ def ranked(df: DataFrame, order: list[Column], totals: dict[str, str] | None = N
     parts = parts.select(
         "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ["_n", *(f"_{new}" for new in totals)])
     )
-    inside = W.partitionBy("_part").orderBy("_at")
-    before = inside.rowsBetween(W.unboundedPreceding, -1)
-    out = rows.withColumns(
-        {"rank": F.row_number().over(inside) - 1} | {new: F.coalesce(F.sum(old).over(before), F.lit(0)) for new, old in totals.items()}
-    ).join(parts, "_part")
+    before = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    place = F.col("_at").bitwiseAND(2**33 - 1)  # in its partition
+    out = rows.withColumns({"rank": place} | {new: F.coalesce(F.sum(old).over(before), F.lit(0)) for new, old in totals.items()}).join(parts, "_part")
     return out.withColumns(
         {"rank": F.col("rank") + F.col("_n0")} | {new: F.col(new) + F.col(f"_{new}0") for new in totals}
     ).drop("_at", "_part", "_n0", *(f"_{new}0" for new in totals))
@@ -104,3 +103,52 @@ def components(edges: DataFrame) -> DataFrame:
         if seal == last:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         last = seal
+
+
+def spanning_links(sets: list[np.ndarray], v: np.ndarray, part: np.ndarray, similarity: float, cells: int = 2**23) -> list[tuple[int, int]]:
+    """Links (vertices) that connect all the pairs that meet and are similar.
+
+    sets: sorted arrays without repeats; v: their vertices; part: members of part 0 meet those of part 1, those of
+    part 2 each other. What every two sets have in common is counted by products of matrices of `cells` cells at most.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    width = max(1, cells // n)
+    if n == 2:
+        both = np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)), np.float32)
+    else:
+        columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner, both = np.repeat(np.arange(n), sizes), np.zeros((n, n), np.float32)
+        for low in range(0, int(columns.max(initial=-1)) + 1, width):
+            here = (columns >= low) & (columns < low + width)
+            grid = np.zeros((n, min(width, int(columns.max()) + 1 - low)), np.float32)
+            grid[owner[here], columns[here] - low] = 1
+            both += grid @ grid.T
+    meets = (v[:, None] != v) & ((part[:, None] < part) | ((part[:, None] == 2) & (part == 2)))
+    alike = meets & (both * (1 + similarity) >= similarity * (sizes[:, None] + sizes) - 1e-6) & (np.minimum(sizes[:, None], sizes) > 0)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+        a, b = root(int(v[i])), root(int(v[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(v[i]), int(v[j])))
+    return out
+
+
+def blocks_of(n: Column, w: Column, block: int, most: int) -> Column:
+    """How many blocks n members of size w together make, of about `block` members and of size `most` at most."""
+    return F.ceil(F.greatest(n / block, w / most, F.lit(1))).cast("int")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if a column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

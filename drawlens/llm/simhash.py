@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlens.llm.common import components, save
+from drawlens.llm.common import blocks_of, components, forget, save, spanning_links
 
 SEED = 42
 #: Rows of one key that a task holds; the members of a larger key meet in blocks of this many.
@@ -152,7 +152,7 @@ def _link(n_words: int, distance: int, held: int) -> Callable[[Iterator[pa.Recor
 
 
 def links(prints: DataFrame, bits: int, cuts: list[list[int]], distance: int, held: int = HELD) -> DataFrame:
-    """Links (a, b) that connect what the Hamming distance connects.
+    """Links (a, b) that connect what the Hamming distance connects, stored (the caller forgets them).
 
     prints: id and the words f0, f1, ... of different fingerprints, one row each. Found are pairs within the
     distance that share a variant; with more segments than half the distance those are all pairs. A key with more
@@ -183,8 +183,11 @@ def links(prints: DataFrame, bits: int, cuts: list[list[int]], distance: int, he
         part = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         part = part.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), F.col("a").alias("id"), *columns)
         more = part.repartition("key").sortWithinPartitions("key").mapInArrow(_link(n_words, distance, 2**30), out)
-        found = found.where("key IS NULL").unionByName(more)
-    return found.where("key IS NULL").select("a", "b").distinct()
+    else:
+        more = found.limit(0)
+    out = save(found.unionByName(more).where("key IS NULL").select("a", "b").distinct(), "linked")
+    forget(found, blocks)
+    return out
 
 
 def simhash(docs: DataFrame, ngram: int = 3, distance: int = 3, held: int = HELD) -> DataFrame:
@@ -207,7 +210,9 @@ def simhash(docs: DataFrame, ngram: int = 3, distance: int = 3, held: int = HELD
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = save(rows.mapInArrow(run, "doc_id long, f0 long"), "prints")
     classes = save(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(links(classes.select(F.col("f0").alias("id"), "f0"), 64, cuts, distance, held))
+    linked = links(classes.select(F.col("f0").alias("id"), "f0"), 64, cuts, distance, held)
+    found = components(linked)
+    forget(linked)
     return label(rows, classes, found, ["f0"], F.col("f0")).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -219,15 +224,15 @@ def label(rows: DataFrame, classes: DataFrame, found: DataFrame, key: list[str],
     return rows.join(named, key)
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 128, width: int = 16, strided: int = 4, distance: int = 36, held: int = HELD, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 128, width: int = 16, strided: int = 4, distance: int = 36, held: int = HELD, block: int = 256, shingles: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id of its group).
 
     Groups are connected by a Jaccard similarity of at least `similarity` between sets of ngram-word shingles.
     Candidates are fingerprints of those sets that share a variant and differ in at most distance bits. At the
     defaults two texts of similarity s differ in each bit with probability p = acos(2s / (1 + s)) / pi, so one
     segment matches with (1 - p)**width + width * p * (1 - p)**(width - 1); twelve of them find 97 % of pairs at 0.8
-    and 99 % at 0.85. Candidate groups are then compared exactly, in blocks of `block` texts, every two of
-    which meet in one task; each task gives a spanning forest of the pairs that are similar enough.
+    and 99 % at 0.85. Candidate groups are then compared exactly, in blocks of `block` texts and about
+    `shingles` shingles, every two of which meet in one task; each task gives links that connect the similar pairs.
 
     Texts without words are copies of each other, as are texts of equal words. Repeated rows give repeated results;
     a null doc_id stays null and never stands for its group unless the whole group is null; an empty table gives an
@@ -241,15 +246,18 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bi
             texts = [t.as_py() or b"" for t in batch.column("text")]
             whole = [b" ".join(t.lower().split()) for t in texts]
             names = [np.array([xxhash.xxh64_intdigest(w, s) for w in whole], np.uint64).view(np.int64) for s in (1, 2)]
-            prints = np.array([fingerprint(shingle_hashes(w, ngram, True), bits) for w in whole], np.uint64).reshape(-1, n_words)
-            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, names), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(n_words))], names=["doc_id", "k0", "k1", *columns])
+            sets = [shingle_hashes(w, ngram, True) for w in whole]
+            prints = np.array([fingerprint(h, bits) for h in sets], np.uint64).reshape(-1, n_words)
+            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, names), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(n_words))], names=["doc_id", "k0", "k1", "w", *columns])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = save(texts.mapInArrow(run, "doc_id long, k0 long, k1 long, " + ", ".join(f"{c} long" for c in columns)), "prints")
-    classes = save(rows.groupBy("k0", "k1", *columns).agg(F.min("doc_id").alias("first")), "classes")
+    rows = save(texts.mapInArrow(run, "doc_id long, k0 long, k1 long, w long, " + ", ".join(f"{c} long" for c in columns)), "prints")
+    classes = save(rows.groupBy("k0", "k1", "w", *columns).agg(F.min("doc_id").alias("first")), "classes")
     wide = links(classes.where("first IS NOT NULL").select(F.col("first").alias("id"), *columns), bits, segments(bits, width, strided), distance, held)
-    groups = save(components(wide), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    connected = components(wide)
+    forget(wide)
+    groups = save(connected.join(classes.select(F.col("first").alias("id"), "w"), "id"), "groups")
+    sizes = groups.groupBy("root").agg(blocks_of(F.count("*"), F.sum("w"), block, shingles).alias("blocks"))
     part = groups.join(sizes, "root").withColumn("x", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     part = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = part.select("id", "root", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -259,17 +267,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bi
         key, ids, sets = None, [], []
 
         def flush() -> pa.RecordBatch:
-            sizes = np.array([len(s) for s in sets])
-            _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-            grid = np.zeros((len(sets), int(numbers.max(initial=-1)) + 1), np.float32)
-            grid[np.repeat(np.arange(len(sets)), sizes), numbers] = 1
-
-            def near(i: int, left: np.ndarray) -> np.ndarray:
-                both = grid[left] @ grid[i]
-                return both >= similarity * (sizes[left] + sizes[i] - both) - 1e-6
-
-            e = np.array(_forest(np.array(ids), near), np.int64).reshape(-1, 2)
-            return pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+            found = spanning_links(sets, np.array(ids), np.full(len(ids), 2), similarity)
+            return pa.record_batch([pa.array([e[i] for e in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
         for batch in batches:
             for root, x, y, doc, text in zip(*(batch.column(c).to_pylist() for c in ("root", "x", "y", "id", "text")), strict=True):
@@ -284,4 +283,6 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bi
 
     met = part.join(once.withColumnRenamed("doc_id", "id"), "id").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "id")
     found = save(met.mapInArrow(compare, "a long, b long"), "similar")
-    return label(rows.select("doc_id", "k0", "k1"), classes.select("k0", "k1", "first"), components(found), ["k0", "k1"], F.col("first"))
+    alike = components(found)
+    forget(groups, found)
+    return label(rows.select("doc_id", "k0", "k1"), classes.select("k0", "k1", "first"), alike, ["k0", "k1"], F.col("first"))
