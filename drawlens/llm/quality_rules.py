@@ -9,7 +9,7 @@ web text (Rae et al. 2021).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,24 +46,30 @@ def _covered(dup: np.ndarray, n: int, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _lengths(text: bytes) -> Callable[[bytes], int]:
+    """Counts the code points of parts of a UTF-8 text."""
+    return len if text.isascii() else lambda part: len(part.decode("utf-8", "replace"))
+
+
 def measure(text: bytes, window: int = 8, top: tuple[int, ...] = tuple(TOP_LIMITS), dup: tuple[int, ...] = tuple(DUP_LIMITS)) -> dict[str, float]:
     """All measures of one UTF-8 text; an empty text has zeros."""
     kinds = np.bincount(CLASSES[np.frombuffer(text, np.uint8)], minlength=4)
     words = text.split()
     out = {"n_words": len(words), "word_chars": int(kinds[SYMBOL] + kinds[START]), "n_symbols": int(kinds[SYMBOL]), "n_dup_lines": 0, "n_repeat_words": 0, "dup_line_share": 0.0}
-    seen, line_bytes = set(), 0
+    chars = _lengths(text)
+    seen, line_chars = set(), 0
     for line in text.split(b"\n"):
         if line in seen:
             if not line or line.isspace():
                 continue
             out["n_dup_lines"] += 1
-            line_bytes += len(line)
+            line_chars += chars(line)
         else:
             seen.add(line)
-    out["dup_line_share"] = line_bytes / max(1, len(text))
+    out["dup_line_share"] = line_chars / max(1, chars(text))
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    lengths = np.fromiter(map(chars, words), np.int64, len(words))
     total, sums = max(1, int(lengths.sum())), np.concatenate(([0], np.cumsum(lengths)))
     token = _mix((ids + 1).astype(np.uint64) * BASE)
     h = token
@@ -91,11 +97,11 @@ def passes(m: dict[str, float], top: dict[int, float] = TOP_LIMITS, dup: dict[in
     return all(m[f"top_{n}"] <= x for n, x in top.items()) and all(m[f"dup_{n}"] <= x for n, x in dup.items()) and m["dup_line_share"] <= lines
 
 
-def quality_rules(docs: DataFrame, top: dict[int, float] = TOP_LIMITS, dup: dict[int, float] = DUP_LIMITS, lines: float = LINE_LIMIT, min_words: int = 20, repeat_share: float = 0.3, window: int = 8) -> DataFrame:
+def quality_rules(docs: DataFrame, top: dict[int, float] = TOP_LIMITS, dup: dict[int, float] = DUP_LIMITS, lines: float = LINE_LIMIT, min_words: int = 20, repeat_percent: int = 30, window: int = 8) -> DataFrame:
     """One row per document: doc_id, the base counts, every measure, base_failed and kept.
 
     Needs doc_id and text; other columns are ignored. A null or empty text has no words and fails the base rule.
-    Texts are taken whole. Repeated rows give repeated results; an empty table gives an empty result.
+    Texts are taken whole; characters are code points, whatever the script. Repeated rows give repeated results; an empty table gives an empty result.
     """
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     shares = ["dup_line_share", *(f"top_{n}" for n in top), *(f"dup_{n}" for n in dup)]
@@ -103,7 +109,7 @@ def quality_rules(docs: DataFrame, top: dict[int, float] = TOP_LIMITS, dup: dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measure(t.as_py() or b"", window, tuple(top), tuple(dup)) for t in batch.column("text")]
-            failed = [m["n_words"] < min_words or m["n_repeat_words"] > repeat_share * m["n_words"] for m in rows]
+            failed = [m["n_words"] < min_words or 100 * m["n_repeat_words"] > repeat_percent * m["n_words"] for m in rows]
             kept = [not f and passes(m, top, dup, lines) for f, m in zip(failed, rows, strict=True)]
             columns = [pa.array([m[c] for m in rows], pa.int64()) for c in longs] + [pa.array([m[c] for m in rows], pa.float64()) for c in shares]
             yield pa.record_batch([batch.column("doc_id"), *columns, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=["doc_id", *longs, *shares, "base_failed", "kept"])

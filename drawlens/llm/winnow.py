@@ -126,36 +126,37 @@ def _text_of(hashes: np.ndarray) -> str:
 
 def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half is the next document's start, as doc_id,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint (hashes in hexadecimal, by position), near_edited and
-    near_next.
+    n_chars, edited_sha256, fingerprint, edited_fingerprint (hashes in hexadecimal, by position), near_edited,
+    near_next, and positions and edited_positions (of the hashes, in code points). A run of k + window - 1 code points
+    that a text shares with another has a common hash at its place in both.
 
     Null texts count as empty. The only document of a table is its own next one. Of rows that repeat a doc_id each
     has the following one as its next. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"]
         last, rows, done = None, [], None
 
         def pair(now: tuple, following: tuple) -> None:
-            doc, text, own = now
-            _, other, theirs = following
+            doc, text, own, at = now
+            _, other, theirs, _ = following
             half = len(text) // 2
             edited = text[: len(text) - half] + other[:half]
-            changed = winnow(edited, k, window)[0]
+            changed, places = winnow(edited, k, window)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((doc, len(text), digest, _text_of(own), _text_of(changed), likeness(own, changed), likeness(own, theirs)))
+            rows.append((doc, len(text), digest, _text_of(own), _text_of(changed), likeness(own, changed), likeness(own, theirs), at, places))
 
         for batch in batches:
             for doc, text, guest, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "guest", "part")), strict=True):
                 if guest and (done == part or last is None):
                     continue  # one guest is enough
-                this = (doc, text or "", winnow(text or "", k, window)[0])
+                this = (doc, text or "", *winnow(text or "", k, window))
                 if last is not None:
                     pair(last, this)
                 last, done = (None, part) if guest else (this, None)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=names)
             rows.clear()
 
-    return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>, edited_positions array<long>")

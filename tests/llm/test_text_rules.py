@@ -1,12 +1,14 @@
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from drawlens.llm import queries as Q
-from drawlens.llm.licenses import license_scan, rules, scan
+from drawlens.llm.licenses import license_scan, rules, scan, suppress
 from drawlens.llm.quality_rules import measure, quality_rules
 from drawlens.llm.winnow import edited_fingerprints, fingerprints, gram_hashes, likeness, winnow
 
@@ -22,19 +24,27 @@ def plain_measure(text):
     grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     marked = {j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
     out = {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(marked)}
-    total = max(1, sum(len(w.encode()) for w in words))
-    for n in (5, 10):
-        first, again = set(), set()
-        for i in range(len(words) - n + 1):
-            g = tuple(words[i : i + n])
+    total = max(1, sum(map(len, words)))
+    for n in (2, 3, 4, 5, 10):
+        first, again, all_of = set(), set(), [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        for i, g in enumerate(all_of):
             again |= set(range(i, i + n)) if g in first else set()
             first.add(g)
-        out[f"dup_{n}"] = sum(len(words[j].encode()) for j in again) / total
+        if n >= 5:
+            out[f"dup_{n}"] = sum(len(words[j]) for j in again) / total
+        else:
+            out[f"top_{n}"] = min(1.0, max((c * len("".join(g)) for g, c in Counter(all_of).items() if c > 1), default=0) / total)
+    first, again = set(), 0
+    for line in lines:
+        again += len(line) if line in first and WORD.search(line) else 0
+        first.add(line)
+    out["dup_line_share"] = again / max(1, len(text))
     return out
 
 
 def test_measures_against_plain_python(documents):
-    texts = [r.text for r in documents.collect()] + ["", " ", "a a a a a a a a a a", "x\nx\n\nx|#", "é é  "]
+    mixed = "\u0441\u043b\u043e\u0432\u043e \u0434\u0432\u0430 \u0442\u0440\u0438 \u0447\u0435\u0442\u044b\u0440\u0435 \u043f\u044f\u0442\u044c"
+    texts = [r.text for r in documents.collect()] + ["", " ", "a a a a a a a a a a", "x\nx\n\nx|#", "\u00e9 \u00e9\u2003 ", f"{mixed} one two {mixed} three four five six seven eight nine ten", f"{mixed}\nascii\n{mixed}\nascii"]
     for t in texts:
         got, want = measure(t.encode()), plain_measure(t)
         assert {k: round(float(got[k]), 9) for k in want} == {k: round(float(v), 9) for k, v in want.items()}
@@ -89,8 +99,12 @@ def test_edited_fingerprints_against_plain_python(documents, odd_docs, no_docs):
             a, b, c = ({x for x, _ in plain_winnow(s, 24, 96)} for s in (t, e, o))
             near = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
             want[r.doc_id] = (len(t), hashlib.sha256(e.encode()).hexdigest(), near(a, b), near(a, c))
-        got = {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in edited_fingerprints(docs).collect()}
-        assert got == want
+        found = edited_fingerprints(docs).collect()
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in found} == want
+        text = {r.doc_id: r.text or "" for r in rows}
+        for r in found:
+            pairs = [(int(x, 16), p) for x, p in zip(r.fingerprint.split(), r.positions, strict=True)]
+            assert pairs == plain_winnow(text[r.doc_id], 24, 96) and len(r.edited_positions) == len(r.edited_fingerprint.split())
     assert edited_fingerprints(no_docs).count() == 0 and edited_fingerprints(odd_docs).count() == 11 and fingerprints(odd_docs).count() == 11
 
 
@@ -121,6 +135,44 @@ def test_license_base_against_plain_python(spark, sf_dir, documents, odd_docs, n
     assert [len(r.places) for r in sorted(license_scan(twice).collect())] == [4, 0]
 
 
+def plain_suppress(hits):
+    kept = []
+    for start, end, priority, i in sorted(hits, key=lambda h: (h[0], -h[1], -h[2], -h[3])):
+        if not any(end <= b and p >= priority for _, b, p, _ in kept):
+            kept.append((start, end, priority, i))
+    return [a for a in kept if not any(a is not b and a[0] <= b[0] and b[1] <= a[1] and b[2] > a[2] for b in kept)]
+
+
+def test_suppression_against_all_pairs():
+    rng = random.Random(7)
+    for n in (0, 1, 5, 40, 200):
+        for _ in range(40):
+            hits = list({(s := rng.randrange(60), s + rng.randrange(1, 30), rng.randrange(1, 6), -rng.randrange(50)) for _ in range(n)})
+            assert suppress(hits) == plain_suppress(hits)
+
+
+def test_scan_of_a_long_licence_text_is_linear():
+    start = time.process_time()
+    found, places = scan(" " + "released under the mit license and all rights reserved " * 50_000)
+    assert len(places) == 50_000 and len(found) == 100_000 and time.process_time() - start < 20
+    assert found[1][1:3] == (6, 9) and found[-1][1:3] == (449_997, 450_000)
+
+
+def test_gated_scan_equals_all_rules():
+    """Over a sentence for every rule and alternative, what the keywords let through is what all rules find."""
+    from re import _parser
+
+    for rule in rules():
+        text = rule.pattern.pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        matched = False
+        for x in {" ".join(e.split()) for e in examples(_parser.parse(text))[:300]}:
+            line = f" so {x} then "
+            every = suppress([(m.start(), m.end(), r.priority, -i) for i, r in enumerate(rules()) for m in r.pattern.finditer(line)])
+            assert [rules()[-i].label for *_, i in every] == [h[0] for h in scan(line)[0]], (rule.label, x)
+            matched |= bool(every)
+        assert matched, rule.label
+
+
 def examples(parsed):
     """Texts that a parsed expression matches: every alternative, with and without what is optional."""
     out = [""]
@@ -128,8 +180,10 @@ def examples(parsed):
         name = str(op)
         if name == "LITERAL":
             more = [chr(x)]
+        elif name == "NOT_LITERAL":
+            more = ["x"]
         elif name == "IN":
-            more = ["x" if str(k) == "CATEGORY" else chr(v if str(k) == "LITERAL" else v[0]) for k, v in x][:4]
+            more = ["1" if str(v) == "CATEGORY_DIGIT" else "x" if str(k) == "CATEGORY" else chr(v if str(k) == "LITERAL" else v[0]) for k, v in x][:4]
         elif name == "BRANCH":
             more = [y for branch in x[1] for y in examples(branch)]
         elif name == "SUBPATTERN":
