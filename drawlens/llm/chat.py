@@ -3,13 +3,14 @@
 A legal conversation is an optional system turn, then user and assistant in turn, ending with the assistant. Each
 turn may keep its role or be relabelled, may be merged into the turn before it, and an empty turn may be inserted
 before it; dynamic programming over the automaton's states (the role last written) finds the cheapest repair, of
-equal ones the one with fewest turns. Long conversations are cut in blocks of turns: each block is first
+equal ones the one with fewest turns. Conversations are cut in blocks of at most `block` turns by their rank: each is first
 reduced to its cost from every state to every state, the blocks of a conversation then settle their end states,
 and each block finds its own repair between them. No task has to hold a whole conversation.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlens.llm.common import ranked
+
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -35,6 +38,7 @@ def role_of(text: str | None) -> int | None:
     return ALIASES.get((text or "").strip().lower())
 
 
+@functools.cache
 def moves(role: int | None, costs: Costs) -> list[tuple[int, int, int, int, str]]:
     """Ways to write a turn: (state before, state after, cost, turns written, action)."""
     out = []
@@ -116,7 +120,10 @@ OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
 
 def render(turn_role: int, action: str, text: str, begins: bool, ends: bool) -> str:
-    """The turn's share of the rendered conversation; all shares in order are the whole."""
+    """The turn's share of the rendered conversation; all shares in order are the whole.
+
+    A "<|" in the text becomes "< |", so that no text can open or close a turn.
+    """
     text = text.replace("<|", "< |")
     if "+merge" in action:
         out = "\n" + text
@@ -137,13 +144,16 @@ def chat_format(turns: DataFrame, costs: Costs = Costs(), block: int = 512) -> D
     position: number of the written turn, from 0, empty ones included. rendered: the turn's share of the
     conversation's text; its shares in order of turn are the whole, which ends with the assistant.
 
-    Unknown and null roles always count as relabelled; a null text is empty; a null turn number comes first; turns
-    with one number are in order of role and text. All turns with a null conv_id are one conversation. Rows that
+    Unknown and null roles always count as relabelled; a null text is empty; "<|" in a text becomes "< |"; a null turn
+    number comes first; turns with one number are in order of role and text. All turns with a null conv_id are one conversation. Rows that
     repeat stay, as turns of their own. Other columns are ignored; an empty table gives an empty result.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))).cast("long"))
-    key, order = ["conv_id", "block"], ["conv_id", "block", F.asc_nulls_first("turn"), "role", "text"]
+    # the last order key deals out turns that are equal in all columns
+    order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
+    rows = ranked(rows.withColumn("_tie", F.monotonically_increasing_id()), [*order, F.col("_tie")]).drop("_tie")
+    rows = rows.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    key, order = ["conv_id", "block"], ["conv_id", "block", "rank"]
     sent = rows.repartition(*key).sortWithinPartitions(*order)
 
     def groups(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[str]) -> Iterator[tuple]:
@@ -152,36 +162,32 @@ def chat_format(turns: DataFrame, costs: Costs = Costs(), block: int = 512) -> D
         for k, g in itertools.groupby(stream, key=lambda x: x[0]):
             yield k, [x[1] for x in g]
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for some in itertools.batched(rows, 2000):
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv, number), run in groups(batches, key, ["role"]):
             best = sorted(reach([role_of(r) for (r,) in run], costs).items())
-            yield pa.record_batch([pa.array([conv], pa.int64()), pa.array([number], pa.int64()), pa.array([[x for (s, e), (c, t) in best for x in (s, e, c, t)]], pa.list_(pa.int64()))], names=["conv_id", "block", "best"])
+            yield conv, number, [x for (s, e), (c, t) in best for x in (s, e, c, t)]
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv,), run in groups(batches, ["conv_id"], ["block", "best"]):
             blocks = [{(b[i], b[i + 1]): (b[i + 2], b[i + 3]) for i in range(0, len(b), 4)} for _, b in run]
             path = settle(blocks, costs)
-            n = len(run)
-            yield pa.record_batch([pa.array([conv] * n, pa.int64()), pa.array([b for b, _ in run], pa.int64()), *(pa.array([p[i] for p in path], pa.int64()) for i in range(3)), pa.array([i == 0 for i in range(n)]), pa.array([i == n - 1 for i in range(n)])], names=["conv_id", "block", "first", "last", "before", "begins", "ends"])
+            for i, ((number, _), (first, last, before)) in enumerate(zip(run, path, strict=True)):
+                yield conv, number, first, last, before, i == 0, i == len(run) - 1
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "turn", "role", "new_role", "action", "position", "rendered"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        out: list[tuple] = []
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv, _), run in groups(batches, key, ["turn", "role", "text", "first", "last", "before", "begins", "ends"]):
             first, last, position, begins, ends = run[0][3:]
             for i, ((turn, role, text, *_), (state, turns, action)) in enumerate(zip(run, repair([role_of(r[1]) for r in run], first, last, costs), strict=True)):
                 position += turns
-                share = render(state, action, text, begins and i == 0, ends and i == len(run) - 1)
-                out.append((conv, turn, role, ROLES[state - 1], action, position - 1, share))
-            if len(out) >= 2000:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    best = sent.select(*key, "role").mapInArrow(reduce, "conv_id long, block long, best array<long>")
-    paths = best.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(decide, "conv_id long, block long, first long, last long, before long, begins boolean, ends boolean")
+                yield conv, turn, role, ROLES[state - 1], action, position - 1, render(state, action, text, begins and i == 0, ends and i == len(run) - 1)
+
+    long, text, flag = pa.int64(), pa.string(), pa.bool_()
+    best = sent.select(*key, "role").mapInArrow(lambda b: batched(reduce(b), ["conv_id", "block", "best"], [long, long, pa.list_(long)]), "conv_id long, block long, best array<long>")
+    paths = best.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(lambda b: batched(decide(b), ["conv_id", "block", "first", "last", "before", "begins", "ends"], [*[long] * 5, flag, flag]), "conv_id long, block long, first long, last long, before long, begins boolean, ends boolean")
     paths = paths.withColumnsRenamed({"conv_id": "_conv", "block": "_block"})
     met = rows.join(paths, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))).drop("_conv", "_block")
-    return met.repartition(*key).sortWithinPartitions(*order).mapInArrow(write, "conv_id long, turn long, role string, new_role string, action string, position long, rendered string")
+    return met.repartition(*key).sortWithinPartitions(*order).mapInArrow(lambda b: batched(write(b), ["conv_id", "turn", "role", "new_role", "action", "position", "rendered"], [long, long, text, text, text, long, text]), "conv_id long, turn long, role string, new_role string, action string, position long, rendered string")

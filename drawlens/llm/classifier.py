@@ -8,6 +8,7 @@ chunks are combined into one probability. Training runs on the driver over a bou
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,11 @@ class Network:
         where = response.argmax(axis=1)
         return np.take_along_axis(response, where[:, None], axis=1)[:, 0], where
 
+    def pool_all(self, rows: np.ndarray, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """pool() over any number of chunks, at_once at a time."""
+        found = [self.pool(rows[i : i + at_once]) for i in range(0, len(rows), at_once)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
     def combine(self, top: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
         """Logits of n texts from their chunks' responses (owner: the text of each chunk, in order)."""
         act = np.tanh(top + self.p["bias"])
@@ -80,13 +86,13 @@ class Network:
         rows = [chunks(t, self.shape) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
         rows = np.concatenate(rows)
-        top = np.concatenate([self.pool(rows[i : i + at_once])[0] for i in range(0, len(rows), at_once)])
+        top = self.pool_all(rows, at_once)[0]
         p = 1 / (1 + np.exp(-self.combine(top, owner, len(texts))[0].astype(np.float64).clip(-50, 50)))
         return p.round(5)  # sums of floats differ a little with the texts that happen to be scored together
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, per_text: int = 6, least_steps: int = 700, seed: int = 3) -> Network:
-        """Adam over the log loss with classes of equal weight; of a long text each pass takes per_text chunks. Few
-        texts are passed over more often, until least_steps batches are through."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, least_steps: int = 700, seed: int = 3) -> Network:
+        """Adam over the log loss with classes of equal weight. Each pass takes all chunks of every text. Few texts are
+        passed over more often, until least_steps batches are through."""
         rng = np.random.default_rng(seed)
         labels = np.asarray(labels, np.float32)
         share = float(labels.mean()) if len(labels) else 0.5
@@ -100,7 +106,7 @@ class Network:
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
                 ids, t = order[i : i + batch], t + 1
-                picked = [all_rows[j] if len(all_rows[j]) <= per_text else all_rows[j][np.sort(rng.choice(len(all_rows[j]), per_text, False))] for j in ids]
+                picked = [all_rows[j] for j in ids]
                 owner = np.repeat(np.arange(len(ids)), [len(r) for r in picked])
                 grads = self.gradient(np.concatenate(picked), owner, labels[ids], weight[ids])
                 now = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
@@ -110,10 +116,10 @@ class Network:
                     self.p[k] -= (now * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
         return self
 
-    def gradient(self, rows: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, rows: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray, at_once: int = 512) -> dict[str, np.ndarray]:
         """Of the mean weighted log loss."""
         n = len(labels)
-        top, where = self.pool(rows)
+        top, where = self.pool_all(rows, at_once)
         logit, act, mean, most, count = self.combine(top, owner, n)
         d = weight * (1 / (1 + np.exp(-logit)) - labels) / n
         is_most = act == most[owner]
@@ -121,12 +127,14 @@ class Network:
         is_most = is_most / np.add.reduceat(is_most, starts, axis=0, dtype=np.int64)[owner]  # equal chunks share
         d_act = d[owner, None] * (self.p["mean"] / count[owner] + self.p["max"] * is_most)
         d_top = (d_act * (1 - act * act)).astype(np.float32)
-        seen = self.windows(rows)[np.arange(len(rows))[:, None], where]  # chunk, filter, width
-        vectors = self.p["bytes"][seen].reshape(len(rows), self.shape.filters, -1)
-        g_bytes = np.zeros_like(self.p["bytes"])
-        into = d_top[:, :, None] * self.p["filters"].T[None]
-        np.add.at(g_bytes, seen.reshape(-1), into.reshape(-1, self.shape.vector))
-        return {"bytes": g_bytes, "filters": np.einsum("cf,cfv->vf", d_top, vectors), "bias": d_top.sum(axis=0), "mean": mean.T @ d, "max": most.T @ d, "out": np.array([d.sum()], np.float32)}
+        g_bytes, g_filters = np.zeros_like(self.p["bytes"]), np.zeros_like(self.p["filters"])
+        for i in range(0, len(rows), at_once):
+            part = slice(i, i + at_once)
+            seen = self.windows(rows[part])[np.arange(len(rows[part]))[:, None], where[part]]  # chunk, filter, width
+            vectors = self.p["bytes"][seen].reshape(len(seen), self.shape.filters, -1)
+            np.add.at(g_bytes, seen.reshape(-1), (d_top[part, :, None] * self.p["filters"].T[None]).reshape(-1, self.shape.vector))
+            g_filters += np.einsum("cf,cfv->vf", d_top[part], vectors)
+        return {"bytes": g_bytes, "filters": g_filters, "bias": d_top.sum(axis=0), "mean": mean.T @ d, "max": most.T @ d, "out": np.array([d.sum()], np.float32)}
 
 
 def fold(doc_id: Column, folds: int = 4) -> Column:
@@ -134,18 +142,26 @@ def fold(doc_id: Column, folds: int = 4) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_fold: int = 2, max_rows: int = 4000, shape: Shape = Shape(), seed: int = 5, **fit) -> Network:
-    """A network fitted on at most max_rows labelled rows outside the held-out fold, the first by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_fold: int = 2, max_rows: int = 4000, max_bytes: int = 48_000_000, shape: Shape = Shape(), seed: int = 5, **fit) -> Network:
+    """A network fitted on a bounded sample of labelled rows outside the held-out fold: the first max_rows by a hash
+    of doc_id, as far as their whole texts are max_bytes together.
 
-    The bound limits what reaches the driver; the rows chosen depend on doc_id and seed only. Null labels and
+    The bounds limit what reaches the driver; the rows chosen depend on doc_id, seed and sizes only. Null labels and
     labels without a document are left out. Without both labels the network stays as it starts.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_fold))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    found = texts.join(F.broadcast(rows), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows).collect()
-    return Network(shape, seed).fit([bytes(r.text) for r in found], np.array([r.label for r in found]), **fit)
+    found = texts.join(F.broadcast(rows), "doc_id").withColumn("u", F.xxhash64("doc_id", F.lit(seed)))  # max_rows labels
+    sizes = found.orderBy("u", "doc_id").select("u", "doc_id", F.octet_length("text").alias("size")).limit(max_rows).collect()
+    inside = [r for r, total in zip(sizes, itertools.accumulate(r["size"] for r in sizes), strict=True) if total <= max_bytes]
+    if not inside:
+        return Network(shape, seed)
+    u, last = inside[-1].u, inside[-1].doc_id
+    end = (F.col("u") < u) | ((F.col("u") == u) & (F.col("doc_id") <= last))
+    taken = sorted(found.where(end).select("u", "doc_id", "text", "label").limit(len(inside)).collect(), key=lambda r: (r.u, r.doc_id))
+    return Network(shape, seed).fit([bytes(r.text) for r in taken], np.array([r.label for r in taken]), **fit)
 
 
 def classify(docs: DataFrame, network: Network, threshold: float = 0.7, held_fold: int = 2) -> DataFrame:
@@ -159,8 +175,8 @@ def classify(docs: DataFrame, network: Network, threshold: float = 0.7, held_fol
     )
 
 
-def with_scores(docs: DataFrame, network: Network) -> DataFrame:
-    """docs with score, from text; a column score there is replaced."""
+def with_scores(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
+    """docs with the score of text in a column of that name; one that docs has is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers
 
     @F.pandas_udf("double")
@@ -176,4 +192,4 @@ def with_scores(docs: DataFrame, network: Network) -> DataFrame:
             found.append(sent.value.score(part))
             yield pd.Series(np.concatenate(found))
 
-    return docs.withColumn("score", score(F.col("text").cast("binary")))
+    return docs.withColumn(name, score(F.col("text").cast("binary")))

@@ -132,6 +132,26 @@ def test_chats_become_legal_whatever_the_block(spark, sf_dir):
     assert by[2].keys() == by[512].keys()
 
 
+def test_repairs_are_cheapest_end_to_end(spark):
+    """Every conversation of up to four turns over all roles, with an unknown one, cut in blocks of two."""
+    names, costs = ("system", "user", "assistant", "other"), Costs()
+    talks = [roles for n in (1, 2, 3) for roles in itertools.product(names, repeat=n)] + [("assistant", "assistant", "user", "user"), ("system", "user", "other", "system")]
+    turns = [(c, t, role, f"{c}.{t}") for c, roles in enumerate(talks) for t, role in enumerate(roles)]
+    rows = sorted(chat_format(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), block=2).collect(), key=lambda r: (r.conv_id, r.turn))
+    for c, group in itertools.groupby(rows, key=lambda r: r.conv_id):
+        group = list(group)
+        cost = sum(costs.relabel * a.startswith("relabel") + costs.merge * a.endswith("merge") + costs.insert * ("+insert" in a) for a in (r.action for r in group))
+        cost += {"user": costs.insert, "system": 2 * costs.insert}.get(group[-1].new_role, 0)
+        assert cost == brute([r if r != "other" else None for r in talks[c]], costs), talks[c]
+        legal("".join(r.rendered for r in group))
+
+
+def test_equal_and_unnumbered_turns_are_cut_in_blocks(spark):
+    turns = spark.createDataFrame([(None, None, "user", "same")] * 40 + [(1, 0, "user", str(i)) for i in range(9)], "conv_id long, turn long, role string, text string")
+    rows = chat_format(turns, block=4).collect()
+    assert len(rows) == 49 and {r.position for r in rows if r.conv_id is None} == {0} == {r.position for r in rows if r.conv_id == 1}
+
+
 def test_odd_turns(spark):
     rows = [(1, 0, None, "x"), (1, 0, None, "x"), (1, None, "User", None), (None, 1, "bot", "<|end|>"), (2, 5, "system", "s")]
     got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS position")).collect()
@@ -139,6 +159,34 @@ def test_odd_turns(spark):
     assert chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
+    odd = odd_docs.withColumns({"n_dropped": F.lit("mine"), "repeats": F.lit(7), "_copy": F.lit(8), "_gone": F.lit(9), "_id": F.lit(10), "component_id": F.lit(11)})
+    odd = odd.unionByName(odd.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        rows = out.collect()
+        assert out.columns == odd.columns and all((r.score, r.n_lines, r.n_dropped, r.repeats, r._copy, r._gone, r._id, r.component_id) == (1, "x", "mine", 7, 8, 9, 10, 11) for r in rows), name
+        if name in ("line dedup", "simhash near-dedup"):
+            assert any(r.doc_id is None and r.text == "one" for r in rows)
+        assert stage(spark, no_docs, sf_dir).count() == 0, name
+    assert P.packed(spark, odd, sf_dir).select("doc_id").distinct().count() == 11 and P.packed(spark, no_docs, sf_dir).count() == 0
+
+
+def test_run_gives_the_stages_one_by_one(spark, tmp_path):
+    """The whole pipeline on a small folder: every token of the mixed documents lies in one piece."""
+    base, words = "/root/testdata/sf0.001", [f"word{i}" for i in range(500)]
+    texts = [" ".join(words[(i * j) % 499] for j in range(1, 60)) for i in range(1, 30)] + ["x", None]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{base}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    # where a document lies, and so where it is cut, depends on the order of files; its tokens do not
+    got, want = P.run(spark, str(tmp_path)).collect(), docs.collect()
+    whole = lambda rows: sorted((r.doc_id, r.doc_tokens) for r in rows if r.start == 0)
+    assert whole(got) == whole(want) and sum(r.length for r in got) == sum(n for _, n in whole(want)) > 1000
+
+
 def test_stages_in_order(spark, sf_dir, documents):
     docs, kept = documents, []
     for name, stage in P.STAGES[:-1]:

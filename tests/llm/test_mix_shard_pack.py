@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pytest
 from drawlens.llm import queries as Q
 from drawlens.llm.mix import mix
 from drawlens.llm.pack import Encoder, pack, unpack
-from drawlens.llm.shard import communication_matrix, shuffle_shards
+from drawlens.llm.shard import communication_matrix, hypergeometric, shuffle_shards
 
 
 def test_mix_equals_sql(spark, sf_dir):
@@ -81,6 +82,28 @@ def test_shards_are_whole(documents, odd_docs, no_docs):
     assert Counter(r.shard for r in shuffle_shards(odd_docs.limit(2), 5).collect()).total() == 2
 
 
+def test_hypergeometric_laws():
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((30, 50, 25), (70, 20, 60), (5, 400, 390), (3, 3, 3), (0, 9, 4), (9, 0, 4), (6, 7, 0), (6, 7, 13)):
+        draws = hypergeometric(rng, *(np.full(40_000, x) for x in (good, bad, n)), large=0)
+        law = {x: math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(max(0, n - bad), min(good, n) + 1)}
+        seen = Counter(draws.tolist())
+        assert set(seen) <= set(law) and all(abs(seen[x] / 40_000 - q) < 5 * math.sqrt(q / 40_000) + 1e-4 for x, q in law.items()), (good, bad, n)
+    good, bad, n = 4 * 10**12, 9 * 10**12, 10**10
+    z = (hypergeometric(rng, *(np.full(20_000, x) for x in (good, bad, n))) - n * good / (good + bad)) / math.sqrt(n * good * bad * (good + bad - n) / (good + bad) ** 2 / (good + bad - 1))
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+
+
+def test_matrix_of_more_than_a_billion_rows():
+    rows = [10**9 + i for i in range(7)] + [0, 5]
+    total = sum(rows)
+    shards = [total // 24 + (s < total % 24) for s in range(24)]
+    m = communication_matrix(rows, shards, 1)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).tolist() == shards and (m >= 0).all()
+    z = (m[:7] / (np.array(rows[:7])[:, None] / 24) - 1) * math.sqrt(10**9 / 24)
+    assert np.abs(z).max() < 5
+
+
 def test_pack_round_trip(documents, odd_docs, no_docs):
     encode = Encoder("byte_bpe_50k")
     for docs, length in ((documents, 2048), (odd_docs, 16)):
