@@ -57,7 +57,10 @@ def gini(values: Column) -> Column:
 
 
 def template(bets: Column) -> Column:
-    """Positive bets as an array sorted by (number, amount), amounts rounded to 6 places."""
+    """Positive bets as an array sorted by (number, amount), amounts rounded to 6 places.
+
+    A bet whose number is null has the number None; typed bets know no difference between null and absent.
+    """
     typed = F.filter(F.coalesce(bets, F.array().cast(TYPED)), lambda b: b["bet_amount"] > 0)
     return F.array_sort(F.transform(typed, lambda b: F.struct(F.coalesce(b["number"], F.lit("None")).alias("number"), F.round(b["bet_amount"], 6).alias("bet_amount"))))
 

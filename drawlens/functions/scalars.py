@@ -44,8 +44,36 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def log_clip(c: Column) -> Column:
-    """log(1 + x) of x not below 0; null and NaN give 0."""
-    return F.coalesce(F.log1p(F.greatest(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))), F.lit(0.0))
+    """log(1 + x) of x not below 0; null, NaN and infinity give 0."""
+    return F.coalesce(F.log1p(F.greatest(finite(c), F.lit(0.0))), F.lit(0.0))
+
+
+def finite(c: Column) -> Column:
+    """A number as double, null where it is null, NaN or infinite."""
+    x = c.cast("double")
+    return F.when(F.abs(F.nanvl(x, F.lit(float("inf")))) < float("inf"), x)
+
+
+def binned(c: Column, edges: list[float], labels: list[str]) -> Column:
+    """The label of the right-closed interval (edge, next edge] that holds a number; null outside of all."""
+    if len(labels) != len(edges) - 1 or sorted(set(edges)) != list(edges):
+        raise ValueError("edges must rise, with one label for each interval")
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for low, high, label in zip(edges, edges[1:], labels, strict=False):
+        out = out.when((c > low) & (c <= high), label)
+    return out
+
+
+def percent(c: Column) -> Column:
+    """0.123 as 12.3%."""
+    return F.format_string("%.1f%%", c.cast("double") * 100)
+
+
+def shown(c: Column, kind: str) -> Column:
+    """A value as text: doubles with four places, N/A for null and NaN."""
+    if kind in ("double", "float"):
+        return F.when(c.isNull() | F.isnan(c), "N/A").otherwise(F.format_string("%.4f", c.cast("double")))
+    return F.coalesce(c.cast("string"), F.lit("N/A"))
 
 
 def unwrapped_time(c: Column) -> Column:
@@ -92,8 +120,13 @@ def reliability(draws: Column, rows: Column) -> Column:
     return F.when((draws < 5) | (rows < 5), "low").when((draws < 20) | (rows < 20), "medium").otherwise("higher")
 
 
-def recommendation(tier: Column, reliability: Column) -> Column:
-    return F.when(reliability == "low", "collect more history").when(tier == "HIGH", "review now").when(tier == "MEDIUM", "watch").otherwise("no action")
+def recommendation(tier: Column, reliability: Column | None = None) -> Column:
+    """What to do with a member of a tier; little history overrides the tier, some history softens HIGH."""
+    # fixed values: the texts
+    out = F.when(tier == "HIGH", "Investigate now").when(tier == "MEDIUM", "Monitor / secondary review").when(tier == "LOW", "Low priority").otherwise("Unassigned")
+    if reliability is None:
+        return out
+    return F.when(reliability == "low", "Collect more history before escalation").when((reliability == "medium") & (tier == "HIGH"), "Investigate carefully (limited history)").otherwise(out)
 
 
 def cache_bucket(ts: Column, seconds: int = 900) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from drawlens.operators.ranking import positions
+from drawlens.sources.stages import stored
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -154,21 +157,32 @@ def importance(model: Logit, columns: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(c, w, abs(w)) for c, w in zip(columns, model.weights, strict=True)], "feature string, weight double, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def _dealt(frame: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Adds _place (from 0) in each class in order of a hash of the id, then the id."""
+    return positions(frame.withColumn("_u", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))), [label], [F.col("_u"), F.col(key)]).withColumnRenamed("position", "_place").drop("_u")
+
+
 def folds(frame: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """Adds fold (0 to k - 1), by hash of the id, so that folds are near equal within each class without ordering one."""
-    return frame.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+    """Adds fold (0 to k - 1): each class is dealt out in the order of a hash of the id, so that the sizes of its parts
+    differ by one at most."""
+    return _dealt(frame, label, key, seed).withColumn("fold", (F.col("_place") % k).cast("int")).drop("_place")
 
 
 def test_split(frame: DataFrame, label: str, key: str, share: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds is_test (0/1): in each class the first `share` by a hash of the id, to within the quantile's accuracy."""
-    hashed = frame.withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    cuts = hashed.groupBy(label).agg(F.percentile_approx("_h", share, 10_000).alias("_cut"))
-    return hashed.join(F.broadcast(cuts), label).withColumn("is_test", (F.col("_h") <= F.col("_cut")).cast("int")).drop("_h", "_cut")
+    """Adds is_test (0/1): in each class the first `share` (rounded half up) by a hash of the id."""
+    sizes = frame.groupBy(F.col(label).alias("_class")).agg(F.floor(F.count("*") * F.lit(share) + 0.5).alias("_first"))
+    out = _dealt(frame, label, key, seed).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_class")))  # one row for each class
+    return out.withColumn("is_test", (F.col("_place") < F.col("_first")).cast("int")).drop("_place", "_class", "_first")
+
+
+def fold_count(positives: int) -> int:
+    """As many folds as positives, within 2 and 5."""
+    return max(2, min(5, positives))
 
 
 def out_of_fold(frame: DataFrame, columns: list[str], label: str, key: str, k: int, c: float = 0.1) -> DataFrame:
     """key, supervised_score_eval: each row scored by a model fitted without its fold."""
-    rows, parts = folds(frame, label, key, k), []
+    rows, parts = stored(folds(frame, label, key, k), "folds"), []
     for i in range(k):
         rest = rows.where(F.col("fold") != i)
         scaler = fit_scaler(rest, columns)
@@ -180,6 +194,42 @@ def out_of_fold(frame: DataFrame, columns: list[str], label: str, key: str, k: i
     return out
 
 
+def evaluation_scores(frame: DataFrame, columns: list[str], label: str, key: str, share: float = 0.3, c: float = 0.1, seed: int = 42) -> DataFrame:
+    """key, is_test, supervised_score_eval for every row: held-out rows by a model of the development rows, those by
+    models fitted without their fold. With fewer than two positives all rows are development rows; without a
+    positive outside some fold no model can be fitted, and an error says so."""
+    positives = frame.where(F.col(label) == 1).count()
+    rows = test_split(frame, label, key, share, seed) if positives >= 2 else frame.withColumn("is_test", F.lit(0))
+    rows = stored(rows, "split")
+    dev, held = rows.where("is_test = 0"), rows.where("is_test = 1")
+    k = fold_count(dev.where(F.col(label) == 1).count())
+    scaler = fit_scaler(dev, columns)
+    model = fit_logit(dev, scaler.vector(), label, c)
+    tested = held.select(key, "is_test", model.probability(scaler.vector()).alias("supervised_score_eval"))
+    return out_of_fold(dev, columns, label, key, k, c).select(key, F.lit(0).alias("is_test"), "supervised_score_eval").unionByName(tested)
+
+
+def comparison_models(frame: DataFrame, columns: list[str], label: str, key: str, threshold: float = 0.5, trees: int = 50, seed: int = 42) -> DataFrame:
+    """Logistic regression, random forest and boosted trees on one nested split (30 % test, then 30 % of the rest for
+    validation): model, part, members, positives and recall at the threshold."""
+    rows = test_split(frame, label, key, 0.3, seed).withColumnRenamed("is_test", "_test")
+    rest = test_split(rows.where("_test = 0"), label, key, 0.3, seed + 1).withColumn("part", F.when(F.col("is_test") == 1, "validation").otherwise("train")).drop("is_test")
+    rows = stored(rest.unionByName(rows.where("_test = 1").withColumn("part", F.lit("test"))), "nested")
+    scaler = fit_scaler(rows.where("part = 'train'"), columns)
+    scored = _vectors(rows, scaler.vector(), (label, "part"))
+    train, parts = scored.where("part = 'train'"), []
+    score = lambda df: df.withColumn("_p", vector_to_array("probability")[1])
+    logit = fit_logit(rows.where("part = 'train'"), scaler.vector(), label)
+    parts.append(rows.select(label, "part", logit.probability(scaler.vector()).alias("_p")).withColumn("model", F.lit("logistic")))
+    for name, kind in (("random_forest", RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=5, seed=seed)), ("boosted_trees", GBTClassifier(labelCol=label, maxIter=max(5, trees // 5), maxDepth=3, seed=seed))):
+        parts.append(score(kind.fit(train).transform(scored)).select(label, "part", "_p").withColumn("model", F.lit(name)))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    hit = F.avg(F.when(F.col(label) == 1, (F.col("_p") >= threshold).cast("double")))
+    return every.groupBy("model", "part").agg(F.count("*").alias("members"), F.sum(F.col(label).cast("long")).alias("positives"), hit.alias("recall"))
+
+
 # isolation forest
 
 
@@ -222,7 +272,8 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> tuple[list[int], list[f
     todo = [(0, rows, 0)]
     while todo:
         node, part, depth = todo.pop()
-        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else np.zeros(0, int)
+        # a column whose values differ by rounding alone is constant: a cut there would fall differently each time
+        spread = np.flatnonzero(np.ptp(part, axis=0) > 1e-9 * np.maximum(1, np.abs(part).max(axis=0))) if len(part) > 1 else np.zeros(0, int)
         if depth >= limit or not len(spread):
             feature[node], value[node] = -1, depth + _c(len(part))
             continue
@@ -246,8 +297,10 @@ def fit_forest(frame: DataFrame, vector: Column, key: str, trees: int = 300, sam
     """
     n = frame.count()
     share = min(1.0, 2.0 * sample / max(1, n) + 64 / max(1, n))
-    tagged = frame.select(key, vector.alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.xxhash64(key, "tree", F.lit(seed)))
-    tagged = tagged.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    end = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
+    # each row names the trees that it may join before it becomes rows, so most rows become none
+    mine = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("h"))), lambda t: t["h"] <= end)
+    tagged = frame.select(key, F.explode(mine).alias("t"), vector.alias("x")).select(key, "x", "t.tree", "t.h")
     few = tagged.withColumn("n", F.row_number().over(W.partitionBy("tree").orderBy("h", key))).where(F.col("n") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

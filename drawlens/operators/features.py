@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawlens.functions.scalars import log_clip, ratio
+from drawlens.functions.scalars import finite, log_clip, ratio
 
 # Names and order of the model's features, the style features, and the columns on a log scale.
 FEATURES = (
@@ -106,7 +106,7 @@ def model_frame(features: DataFrame, log_columns: tuple[str, ...] = LOG_FEATURES
     """member_id, event_fraud_flag and those of the columns that exist, as doubles without nulls, some on a log scale."""
     there = [c for c in columns if c in features.columns]
     keep = [c for c in ("member_id", "event_fraud_flag") if c in features.columns]
-    return features.select(*keep, *((log_clip(F.col(c)) if c in log_columns else F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(c) for c in there))
+    return features.select(*keep, *((log_clip(F.col(c)) if c in log_columns else F.coalesce(finite(F.col(c)), F.lit(0.0))).alias(c) for c in there))
 
 
 def scaled(frame: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:

@@ -6,11 +6,13 @@ and no task orders the whole cohort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawlens.operators.ranking import running_counts
+from drawlens.operators.ranking import positions, quantiles, running_counts
+from drawlens.sources.stages import stored
 
 
 def bucket_sizes(n: int, shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20), counts: tuple[int, ...] = (50, 500)) -> list[tuple[str, int]]:
@@ -18,35 +20,39 @@ def bucket_sizes(n: int, shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20), c
     return [(f"top_{int(p * 100)}pct", max(1, int(n * p))) for p in shares] + [(f"top_{k}", k) for k in counts]
 
 
-def capture_topk(scored: DataFrame, scores: list[str], label: str, key: str, shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20), counts: tuple[int, ...] = (50, 500)) -> DataFrame:
+def capture_topk(scored: DataFrame, scores: list[str], label: str, key: str, shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20), counts_of: tuple[int, ...] = (50, 500)) -> DataFrame:
     """For each score column and bucket: k, captured, capture_rate, precision, lift, over the k highest scores
-    (ties by key, null scores last). Scores are counted by distinct value; only the values at a bucket's edge have
-    their rows ordered."""
-    total = scored.agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).alias("positives")).first()
-    buckets = [(name, max(1, min(k, total.n))) for name, k in bucket_sizes(total.n, shares, counts)] if total.n else []
-    rows = []
+    (ties by key, null scores last). All scores are counted by distinct value at once; only rows of the values at the
+    buckets' edges are ordered, and those by ranges."""
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))
+    tall = F.explode(F.array(*(F.struct(F.lit(c).alias("score_type"), value(c).alias("v")) for c in scores))).alias("s")
+    valued = stored(scored.select(tall, F.col(label).cast("long").alias("label"), F.col(key).alias("key")).select("s.*", "label", "key"), "valued")
+    counts = valued.groupBy("score_type", "v").agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count("*").alias("k"))
+    cut = stored(running_counts(counts, -F.col("v"), {"above": "k"}, within=("score_type",)), "cut")
+    total = cut.groupBy("score_type").agg(F.sum("k").alias("n"), F.sum("p").alias("p")).first()
+    if total is None:
+        return scored.sparkSession.createDataFrame([], "score_type string, bucket string, k long, captured long, capture_rate double, precision double, lift double")
+    buckets = [(name, max(1, min(k, total.n))) for name, k in bucket_sizes(total.n, shares, counts_of)]
+    inside = {r.score_type: r for r in cut.groupBy("score_type").agg(*(F.coalesce(F.sum(F.when(F.col("above") + F.col("k") <= k, F.col("p"))), F.lit(0)).alias(name) for name, k in buckets)).collect()}
+    at_edge = F.filter(F.array(*(F.struct(F.lit(name).alias("bucket"), (F.lit(k) - F.col("above")).alias("rest")) for name, k in buckets)), lambda b: (b["rest"] > 0) & (b["rest"] < F.col("k")))
+    edges = cut.select("score_type", "v", F.explode(at_edge).alias("b")).select("score_type", "v", "b.*")  # one row for each score and bucket at most
+    part = {}
+    if not edges.isEmpty():
+        rows = valued.join(F.broadcast(edges.select("score_type", "v").distinct()), ["score_type", "v"], "left_semi")
+        ordered = positions(rows, ["score_type", "v"], [F.col("key")]).join(F.broadcast(edges), ["score_type", "v"])
+        taken = ordered.groupBy("score_type", "bucket").agg(F.coalesce(F.sum(F.when(F.col("position") < F.col("rest"), F.col("label"))), F.lit(0)).alias("hits"))
+        part = {(r.score_type, r.bucket): r.hits for r in taken.collect()}
+    out, good = [], total.p or 0
     for score in scores:
-        value = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
-        valued = scored.select(value.alias("v"), F.col(label).cast("long").alias("label"), F.col(key).alias("key"))
-        cut = running_counts(valued.groupBy("v").agg(F.sum("label").alias("p"), F.count("*").alias("k")), -F.col("v"), {"above": "k"})
-        inside = cut.agg(*(F.coalesce(F.sum(F.when(F.col("above") + F.col("k") <= k, F.col("p"))), F.lit(0)).alias(name) for name, k in buckets)).first() if buckets else {}
-        at_edge = [F.when((F.col("above") < k) & (F.col("above") + F.col("k") > k), F.lit(k) - F.col("above")).alias(name) for name, k in buckets]
-        edges = [r for r in cut.select("v", *at_edge).where(" OR ".join(f"{name} IS NOT NULL" for name, _ in buckets)).collect()] if buckets else []
-        part = {}
-        if edges:
-            ordered = valued.where(F.col("v").isin([r.v for r in edges])).withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("key")))
-            wanted = {name: next(((r.v, r[name]) for r in edges if r[name] is not None), None) for name, _ in buckets}
-            part = ordered.agg(*(F.coalesce(F.sum(F.when((F.col("v") == w[0]) & (F.col("n") <= w[1]), F.col("label"))), F.lit(0)).alias(name) for name, w in wanted.items() if w)).first().asDict()
         for name, k in buckets:
-            hit = int(inside[name]) + int(part.get(name, 0))
-            good = total.positives or 0
-            rows.append((score, name, k, hit, hit / good if good else 0.0, hit / k, hit / k / (good / total.n) if good else 0.0))
-    return scored.sparkSession.createDataFrame(rows, "score_type string, bucket string, k long, captured long, capture_rate double, precision double, lift double")
+            hit = int(inside[score][name]) + int(part.get((score, name), 0))
+            out.append((score, name, k, hit, hit / good if good else 0.0, hit / k, hit / k / (good / total.n) if good else 0.0))
+    return scored.sparkSession.createDataFrame(out, "score_type string, bucket string, k long, captured long, capture_rate double, precision double, lift double")
 
 
 def capture_threshold(scored: DataFrame, score: str, label: str, shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20)) -> DataFrame:
     """For each share: threshold (that quantile from the top), members and positives at or above it."""
-    q = scored.agg(*(F.percentile(score, 1 - p).alias(f"q{i}") for i, p in enumerate(shares))).first()
+    q = quantiles(scored, score, {f"q{i}": 1 - p for i, p in enumerate(shares)}).first()
     rows = [F.struct(F.lit(p).alias("share"), F.lit(q[i]).alias("threshold"), F.count_if(F.col(score) >= q[i]).alias("flagged"), F.count_if((F.col(score) >= q[i]) & (F.col(label) == 1)).alias("captured")) for i, p in enumerate(shares)]
     return scored.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
@@ -81,10 +87,9 @@ def separation(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """For each feature: auc (the better direction) and ks between the classes."""
     long = df.select(label, F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features))).alias("f")).select(label, "f.*")
     cut = _by_value(long, ["feature"], "value", label)  # one row per feature and distinct value
-    w = W.partitionBy("feature").orderBy("v")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy("feature")
-    cut = cut.withColumns({"tp": F.sum("p").over(upto), "seen": F.sum("k").over(upto), "all_p": F.sum("p").over(every), "all_k": F.sum("k").over(every)})
+    totals = cut.groupBy("feature").agg(F.sum("p").alias("all_p"), F.sum("k").alias("all_k"))
+    cut = running_counts(cut, F.col("v"), {"tp": "p", "seen": "k"}, within=("feature",)).join(F.broadcast(totals), "feature")  # one row for each feature
+    cut = cut.withColumns({"tp": F.col("tp") + F.col("p"), "seen": F.col("seen") + F.col("k")})
     below = F.col("seen") - F.col("tp") - (F.col("k") - F.col("p")) / 2
     out = cut.groupBy("feature", "all_p", "all_k").agg(F.sum(F.col("p") * below).alias("u"), F.max(F.abs(F.col("tp") / F.col("all_p") - (F.col("seen") - F.col("tp")) / (F.col("all_k") - F.col("all_p")))).alias("ks"))
     auc = F.col("u") / (F.col("all_p") * (F.col("all_k") - F.col("all_p")))
@@ -112,24 +117,61 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drift(reference: DataFrame, current: DataFrame, columns: list[str], small: int = 1000, wasserstein_limit: float = 0.1) -> DataFrame:
-    """For each column: ks, wasserstein, its value over the reference's deviation, and drifted.
+    """For each column: ks, its p_value, wasserstein, that over the reference's deviation, and drifted.
 
-    Up to `small` rows a column drifts by the two-sample test at 5 %, beyond that by the normalised distance.
-    Both come from one row per distinct value with the running difference of the two distributions.
+    Up to `small` rows a column drifts by the two-sample test at 5 % (asymptotic law), beyond that by the normalised
+    distance. Both come from one row per distinct value with the running difference of the two distributions, made by
+    ranges of values, so no task orders a column. NaN counts as null.
     """
-    tall = lambda df, side: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("f")).select("f.*", F.lit(side).alias("side")).where("v IS NOT NULL")
+    tall = lambda df, side: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("f")).select("f.*", F.lit(side).alias("side")).where("v IS NOT NULL AND NOT isnan(v)")
     both = tall(reference, 1).unionByName(tall(current, 0))
     sizes = both.groupBy("feature").agg(F.sum("side").alias("n"), F.sum(1 - F.col("side")).alias("m"), F.stddev_pop(F.when(F.col("side") == 1, F.col("v"))).alias("sd"))
-    cut = both.groupBy("feature", "v").agg(F.sum("side").alias("a"), F.sum(1 - F.col("side")).alias("b"))
-    w = W.partitionBy("feature").orderBy("v")
-    cut = cut.join(F.broadcast(sizes), "feature")  # one row per column
-    cut = cut.withColumn("gap", F.abs(F.sum("a").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.col("n") - F.sum("b").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.col("m")))
-    cut = cut.withColumn("area", F.col("gap") * F.coalesce(F.lead("v").over(w) - F.col("v"), F.lit(0.0)))
-    out = cut.groupBy("feature", "n", "m", "sd").agg(F.max("gap").alias("ks"), F.sum("area").alias("wasserstein"))
+    counts = both.groupBy("feature", "v").agg(F.sum("side").alias("a"), F.sum(1 - F.col("side")).alias("b"))
+    cut = running_counts(counts, F.col("v"), {"a0": "a", "b0": "b"}, within=("feature",)).join(F.broadcast(sizes), "feature")  # one row for each column
+    # area between the curves: each value v adds v * (gap up to the value before - gap up to v)
+    before = F.abs(F.try_divide("a0", "n") - F.try_divide("b0", "m"))
+    gap = F.abs(F.try_divide(F.col("a0") + F.col("a"), F.col("n")) - F.try_divide(F.col("b0") + F.col("b"), F.col("m")))
+    out = cut.groupBy("feature", "n", "m", "sd").agg(F.max(gap).alias("ks"), F.sum(F.col("v") * (before - gap)).alias("wasserstein"))
+    out = out.withColumn("wasserstein", F.greatest("wasserstein", F.lit(0.0)))
     out = out.withColumn("distance", F.coalesce(F.try_divide(F.col("wasserstein"), F.nullif("sd", F.lit(0.0))), F.col("wasserstein")))
-    limit = 1.358 * F.sqrt((F.col("n") + F.col("m")) / (F.col("n") * F.col("m")))
-    drifted = F.when(F.greatest("n", "m") <= small, F.col("ks") > limit).otherwise(F.col("distance") >= wasserstein_limit)
-    return out.select("feature", F.col("n").cast("long").alias("n_reference"), F.col("m").cast("long").alias("n_current"), "ks", "wasserstein", "distance", drifted.alias("drifted"))
+    out = out.withColumn("p_value", ks_p_value(F.col("ks"), F.col("n"), F.col("m")))
+    drifted = F.when(F.greatest("n", "m") <= small, F.col("p_value") < 0.05).otherwise(F.col("distance") >= wasserstein_limit)
+    return out.select("feature", F.col("n").cast("long").alias("n_reference"), F.col("m").cast("long").alias("n_current"), "ks", "p_value", "wasserstein", "distance", drifted.alias("drifted"))
+
+
+def ks_p_value(ks: Column, n: Column, m: Column) -> Column:
+    """Of the two-sample test: the Kolmogorov law at ks * sqrt(n m / (n + m))."""
+    x = ks * F.sqrt(n * m / (n + m))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))))
+
+
+def score_columns(reference: DataFrame, current: DataFrame, preferred: str = "hybrid_score") -> list[str]:
+    """The columns to compare scored cohorts by: the preferred one, or else every shared one named like a score."""
+    shared = [c for c in current.columns if c in reference.columns]
+    return [preferred] if preferred in shared else [c for c in shared if "score" in c.lower()]
+
+
+def prediction_drift(reference: DataFrame, current: DataFrame, **options) -> DataFrame:
+    """drift() over the score columns; raises where there are none."""
+    columns = score_columns(reference, current)
+    if not columns:
+        raise ValueError("no score columns in common")
+    return drift(reference, current, columns, **options)
+
+
+def monitored(reports: dict[str, Callable[[], DataFrame]], threshold: float = 0.3) -> dict:
+    """drift_summary of each report and over all; a report that fails is named with its error and counts for nothing,
+    so monitoring never stops a run."""
+    found, errors = {}, {}
+    for name, make in reports.items():
+        try:
+            found[name] = drift_summary(make(), threshold).first().asDict()
+        except Exception as error:
+            errors[name] = str(error).splitlines()[0][:300]
+    shares = [r["drift_share"] for r in found.values() if r["drift_share"] is not None]
+    share = round(sum(shares) / len(shares), 4) if shares else 0.0
+    return {"reports": found, "errors": errors, "overall_drift_detected": any(r["drift_detected"] for r in found.values()), "average_drift_share": share, "above_threshold": bool(shares) and share >= threshold}
 
 
 def drift_summary(found: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -11,14 +11,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlens.functions.scalars import tier
+from drawlens.sources.stages import stored
 
 
-def running_counts(groups: DataFrame, by: Column, sums: dict[str, str], ranges: int = 200) -> DataFrame:
-    """Adds, for each new: old in sums, the sum of old over the rows strictly before in order of by.
+def running_counts(groups: DataFrame, by: Column, sums: dict[str, str], ranges: int = 200, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each new: old in sums, the sum of old over the rows strictly before in order of by (and with the same
+    values of within, which may take few values).
 
-    groups has one row per value of by. The values are cut in ranges by approximate quantiles; sums of whole ranges
-    (a few rows) are accumulated in one task, and rows within a range in one task each.
+    groups has one row per value of by (and within). The values are cut in ranges by approximate quantiles; sums of
+    whole ranges (a few rows) are accumulated in one task, and rows within a range in one task each.
     """
+    if within:
+        cuts = groups.groupBy(*within).agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"))
+        rows = groups.withColumn("_by", by).join(F.broadcast(cuts), list(within))  # one row for each value of within
+        rows = rows.withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= F.col("_by")))).drop("_bounds")
+        totals = rows.groupBy(*within, "_part").agg(*(F.sum(old).alias(f"_t_{new}") for new, old in sums.items()))
+        before = W.partitionBy(*within).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        totals = totals.select(*within, "_part", *(F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_t_{new}") for new in sums))
+        inside = W.partitionBy(*within, "_part").orderBy("_by").rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumns({new: F.coalesce(F.sum(old).over(inside), F.lit(0)) for new, old in sums.items()}).join(F.broadcast(totals), [*within, "_part"])
+        return rows.withColumns({new: F.col(new) + F.col(f"_t_{new}") for new in sums}).drop("_part", "_by", *(f"_t_{new}" for new in sums))
     bounds = groups.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= by)) if bounds else F.lit(0)
@@ -43,8 +55,39 @@ def with_ranks(scored: DataFrame, score: str) -> DataFrame:
 
 
 def quantiles(scored: DataFrame, score: str, points: dict[str, float]) -> DataFrame:
-    """One row: exact quantiles with linear interpolation."""
-    return scored.agg(*(F.percentile(score, p).alias(name) for name, p in points.items()))
+    """One row: exact quantiles with linear interpolation (null for an empty column).
+
+    Each is read off the counts of distinct values below, so no task holds all values.
+    """
+    x = F.col(score).cast("double")
+    values = scored.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("_v")).agg(F.count("*").alias("_k"))
+    placed = running_counts(values, F.col("_v"), {"_before": "_k"})
+    n = values.agg(F.sum("_k")).first()[0] or 0
+
+    def at(rank: int) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (F.col("_before") + F.col("_k") > rank), F.col("_v")))
+
+    found = []
+    for name, p in points.items():
+        place = p * (n - 1)
+        low = min(max(int(place), 0), max(n - 1, 0))
+        found.append((at(low) + (at(min(low + 1, max(n - 1, 0))) - at(low)) * F.lit(float(place - low))).alias(name))
+    return placed.agg(*found)
+
+
+def positions(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Adds position (from 0) in the given order among the rows with the same values of by.
+
+    Rows are range-partitioned by both and counted by partition and group, so no group has to fit in one task.
+    """
+    rows = stored(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_at", 33)
+    starts = rows.groupBy(*by, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition of a group
+    starts = starts.select(*(F.col(c).alias(f"_b_{c}") for c in by), "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    met = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
+    out = rows.withColumn("_p", part).join(starts, [*met, F.col("_p") == F.col("_part")]).withColumn("position", F.col("_at") + F.col("_shift"))
+    return out.select(*df.columns, "position")
 
 
 def with_tiers(scored: DataFrame, score: str = "risk_score", p80: float = 0.80, p95: float = 0.95) -> DataFrame:

@@ -335,7 +335,7 @@ DRIFT = ("total_bet_amount", "win_points", "nonzero_bets_per_draw")
 )
 def drift(spark, d):
     f = _featured(spark, d)
-    return metrics.drift(f.where(F.year("ts") % 2 == 0), f.where(F.year("ts") % 2 != 0), list(DRIFT))
+    return metrics.drift(f.where(F.year("ts") % 2 == 0), f.where(F.year("ts") % 2 != 0), list(DRIFT)).drop("p_value")
 
 
 # exploration
@@ -548,3 +548,6 @@ def isolation_scores(spark, d):
 def score_pipeline(spark, d):
     members = _members(spark, d)
     return ranking.with_ranks(ranking.with_tiers(scoring.score(members, scoring.fit(members))), "risk_score")
+
+
+from drawlens.plans import reports  # noqa: E402, F401  registers more queries

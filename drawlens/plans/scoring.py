@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlens.functions.scalars import normalised
 from drawlens.ml import models
 from drawlens.operators import checks, features, history, metrics, ranking
+from drawlens.sources.stages import exists, read_json, stored, write_json
 
 #: Shares of the three components in the anomaly score, and of anomaly and supervised score in the risk score.
 ANOMALY = {"iso_forest_score": 0.40, "mahalanobis_distance": 0.30, "cluster_distance": 0.30}
@@ -34,18 +33,18 @@ class Bundle:
     bounds: dict[str, tuple[float, float]]
     quantiles: dict[str, float] = field(default_factory=dict)
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         out = {
             "columns": self.columns, "log_columns": self.log_columns, "mean": self.scaler.mean, "scale": self.scaler.scale,
             "forest": [[x.tolist() for x in part] for part in (self.forest.feature, self.forest.value, self.forest.child)], "sample": self.forest.sample,
             "centre": self.ellipsoid.mean.tolist(), "precision": self.ellipsoid.precision.tolist(), "centres": self.centres.points,
             "weights": self.logit.weights, "intercept": self.logit.intercept, "bounds": self.bounds, "quantiles": self.quantiles,
         }
-        publish(path, out)
+        write_json(spark, path, out)
 
     @staticmethod
-    def load(path: str) -> Bundle:
-        x = json.loads(Path(path).read_text())
+    def load(spark: SparkSession, path: str) -> Bundle:
+        x = read_json(spark, path)
         parts = [np.array([np.array(t, k) for t in p] + [None], dtype=object)[:-1] for p, k in zip(x["forest"], (np.int64, np.float64, np.int64), strict=True)]
         scaler = models.Scaler(tuple(x["columns"]), tuple(x["mean"]), tuple(x["scale"]))
         return Bundle(
@@ -54,15 +53,6 @@ class Bundle:
         )
 
 
-def publish(path: str, what: dict) -> None:
-    """Writes JSON beside its place and renames it, so that readers see the old or the new whole."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    beside = target.with_suffix(".tmp")
-    beside.write_text(json.dumps(what, default=str))
-    beside.replace(target)
-
-
 def prepare(raw: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Member features of records with typed bets; with labels without what follows a member's first event."""
     rows = history.with_gaps(history.with_draw_features(raw))
@@ -72,24 +62,21 @@ def prepare(raw: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def fit(members: DataFrame, columns: tuple[str, ...] = features.FEATURES, log_columns: tuple[str, ...] = features.LOG_FEATURES, trees: int = 300, k: int = 4, seed: int = 42) -> Bundle:
-    frame = features.model_frame(members, log_columns, columns).cache()
-    try:
-        scaler = models.fit_scaler(frame, list(columns))
-        x = scaler.vector()
-        parts = {
-            "forest": models.fit_forest(frame, x, "member_id", trees, seed=seed),
-            "ellipsoid": models.fit_ellipsoid(frame, x, len(columns)),
-            "centres": models.fit_centres(frame, x, k, seed=seed),
-            "logit": models.fit_logit(frame, x, "event_fraud_flag"),
-        }
-        bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds={}, **parts)
-        got = components(frame, bundle).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ANOMALY for f in (F.min, F.max))).first()
-        bounds = {c: (got[f"min_{c}"], got[f"max_{c}"]) for c in ANOMALY}
-        bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, **parts)
-        q = ranking.quantiles(score(members, bundle), "risk_score", {"p80": 0.80, "p95": 0.95}).first().asDict()
-        return Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, quantiles=q, **parts)
-    finally:
-        frame.unpersist()
+    frame = stored(features.model_frame(members, log_columns, columns), "frame")
+    scaler = models.fit_scaler(frame, list(columns))
+    x = scaler.vector()
+    parts = {
+        "forest": models.fit_forest(frame, x, "member_id", trees, seed=seed),
+        "ellipsoid": models.fit_ellipsoid(frame, x, len(columns)),
+        "centres": models.fit_centres(frame, x, k, seed=seed),
+        "logit": models.fit_logit(frame, x, "event_fraud_flag"),
+    }
+    bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds={}, **parts)
+    got = components(frame, bundle).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ANOMALY for f in (F.min, F.max))).first()
+    bounds = {c: (got[f"min_{c}"], got[f"max_{c}"]) for c in ANOMALY}
+    bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, **parts)
+    q = ranking.quantiles(score(members, bundle), "risk_score", {"p80": 0.80, "p95": 0.95}).first().asDict()
+    return Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, quantiles=q, **parts)
 
 
 def components(frame: DataFrame, bundle: Bundle) -> DataFrame:
@@ -119,7 +106,8 @@ def batch_score(raw: DataFrame, bundle: Bundle, path: str, labels: DataFrame | N
     scored.write.mode("overwrite").parquet(f"{path}/scored")
     scored = raw.sparkSession.read.parquet(f"{path}/scored")
     ranking.alert_queue(scored, queue, min_draws).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/queue")
-    facts = scored.agg(F.count("*").alias("members"), F.avg("risk_score").alias("mean"), F.percentile("risk_score", 0.5).alias("median"), F.percentile("risk_score", 0.95).alias("p95")).first().asDict()
+    facts = scored.agg(F.count("*").alias("members"), F.avg("risk_score").alias("mean")).first().asDict()
+    facts |= ranking.quantiles(scored, "risk_score", {"median": 0.5, "p95": 0.95}).first().asDict()
     facts["tiers"] = {x.risk_tier: x.members for x in ranking.tier_distribution(scored).collect()}
     if labels is not None:
         found = metrics.capture_topk(scored, ["anomaly_score", "supervised_score", "risk_score"], "event_fraud_flag", "member_id")
@@ -135,18 +123,37 @@ def decide(facts: dict, min_capture: float = 0.40, min_lift: float = 5.0) -> dic
     return {"promoted": not reasons, "reasons": reasons, "metrics": {k: row[k] for k in ("capture_rate", "lift")}, "thresholds": {"capture_rate": min_capture, "lift": min_lift}}
 
 
-def train(raw: DataFrame, labels: DataFrame, path: str, trees: int = 300) -> dict:
+def train(raw: DataFrame, labels: DataFrame, path: str, trees: int = 300, min_rows: int = 1000) -> dict:
     """Validates, fits, scores, evaluates and, if the gate passes, publishes the bundle as the current one."""
-    checks.validate(raw, labels.columns, min_rows=1)
+    checks.validate(raw, labels.columns, min_rows=min_rows)
     bundle = fit(prepare(raw, labels), trees=trees)
-    bundle.save(f"{path}/bundle.json")
+    bundle.save(raw.sparkSession, f"{path}/bundle.json")
     facts = batch_score(raw, bundle, path, labels)
     decision = decide(facts)
     if decision["promoted"]:
-        publish(f"{path}/current.json", {"bundle": f"{path}/bundle.json", "scored": f"{path}/scored", "at": datetime.now(UTC).isoformat()})
+        write_json(raw.sparkSession, f"{path}/current.json", {"bundle": f"{path}/bundle.json", "scored": f"{path}/scored", "at": datetime.now(UTC).isoformat()})
     return facts | {"decision": decision}
 
 
+def current(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The published cohort (ids trimmed, upper case) and its manifest with snapshot_available, snapshot_status and
+    snapshot_reason. Without a manifest that is an error; without its cohort an empty table with the reason."""
+    at = f"{path}/current.json"
+    if not exists(spark, at):
+        raise FileNotFoundError(f"no serving manifest at {at}")
+    manifest = read_json(spark, at)
+    reason = None
+    if not manifest.get("scored"):
+        reason = "the snapshot has not been generated yet"
+    elif not (exists(spark, f"{manifest['scored']}/_SUCCESS") and exists(spark, manifest["bundle"])):
+        reason = "the snapshot is incomplete"
+    if reason:
+        scored = spark.createDataFrame([], "member_id string, risk_score double, risk_tier string")
+    else:
+        scored = spark.read.parquet(manifest["scored"]).withColumn("member_id", F.upper(F.trim("member_id")))
+    return scored, manifest | {"snapshot_available": reason is None, "snapshot_status": "insufficient_data" if reason else "ready", "snapshot_reason": reason}
+
+
 def lookup(scored: DataFrame, member: str) -> dict:
     """One member's scores, or why there are none."""
     who = member.strip().upper()

@@ -3,6 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from drawlens.ml import models
+from drawlens.operators import features
 
 
 def frame_of(spark, n=300, seed=3):
@@ -45,5 +46,31 @@ def test_singular_covariance_and_folds(spark):
     assert np.isfinite(d).all()
     out = models.out_of_fold(df, ["a", "b", "c"], "y", "member_id", 2).toPandas()
     assert sorted(out.member_id) == sorted(f"M{i}" for i in range(len(y))) and out.supervised_score_eval.between(0, 1).all()
-    share = models.test_split(df, "y", "member_id").agg(F.avg("is_test")).first()[0]
-    assert abs(share - 0.3) < 0.05
+    split = models.test_split(df, "y", "member_id").groupBy("y").agg(F.count("*").alias("n"), F.sum("is_test").alias("t")).collect()
+    assert all(r.t == int(r.n * 0.3 + 0.5) for r in split)
+
+
+def test_folds_are_exact_within_classes(spark):
+    for positives, k in ((2, 2), (14, 5), (3, 3)):
+        assert models.fold_count(positives) == k
+        rows = [(f"M{i:04}", int(i < positives)) for i in range(230)]
+        got = models.folds(spark.createDataFrame(rows, "member_id string, y int").repartition(7), "y", "member_id", k).collect()
+        for y in (0, 1):
+            sizes = [sum(r.fold == f and r.y == y for r in got) for f in range(k)]
+            assert max(sizes) - min(sizes) <= 1 and sum(sizes) == sum(r[1] == y for r in rows)
+        again = models.folds(spark.createDataFrame(rows[::-1], "member_id string, y int"), "y", "member_id", k).collect()
+        assert {(r.member_id, r.fold) for r in got} == {(r.member_id, r.fold) for r in again}
+
+
+def test_every_row_has_an_evaluation_score(spark):
+    _, y, df = frame_of(spark, 120)
+    out = models.evaluation_scores(df, ["a", "b", "c"], "y", "member_id").toPandas()
+    assert sorted(out.member_id) == sorted(f"M{i}" for i in range(120)) and out.supervised_score_eval.between(0, 1).all() and out.is_test.sum() == sum(int((y == v).sum() * 0.3 + 0.5) for v in (0, 1))
+    found = models.comparison_models(df, ["a", "b", "c"], "y", "member_id", trees=10).toPandas()
+    assert len(found) == 9 and found.groupby("model").members.sum().eq(120).all() and found.recall.dropna().between(0, 1).all()
+
+
+def test_frames_hold_no_infinities(spark):
+    rows = [("a", float("inf"), float("-inf")), ("b", float("nan"), None), ("c", 3.0, 2.0)]
+    got = features.model_frame(spark.createDataFrame(rows, "member_id string, total_staked double, avg_gini double")).orderBy("member_id").collect()
+    assert [(r.total_staked, r.avg_gini) for r in got[:2]] == [(0.0, 0.0)] * 2 and np.isclose(got[2].total_staked, np.log(4)) and got[2].avg_gini == 2.0

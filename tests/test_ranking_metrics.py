@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from drawlens.functions import scalars
 from drawlens.operators import checks, explore, metrics, ranking
+from drawlens.operators import cohort as reports
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +78,39 @@ def test_validation(spark):
     for bad, name in ((good.drop("bets"), "required_columns"), (good.limit(0), "min_row_count"), (good.withColumn("bets", F.lit("{")), "bets_parse"), (good.withColumn("ts", F.lit("?")), "time_parses")):
         with pytest.raises(checks.ValidationError, match=name):
             checks.validate(bad, ["draw_id", "member_id"], min_rows=1)
+
+
+def test_monitoring_goes_on_without_a_report(spark):
+    a = spark.createDataFrame([(i, float(i), float(i % 5)) for i in range(200)], "id int, risk_score double, anomaly_score double")
+    b = a.withColumn("risk_score", F.col("risk_score") + 90)
+    assert metrics.score_columns(a, b) == ["risk_score", "anomaly_score"] and metrics.score_columns(a.withColumn("hybrid_score", F.lit(1)), b.withColumn("hybrid_score", F.lit(1))) == ["hybrid_score"]
+    got = metrics.monitored({"prediction": lambda: metrics.prediction_drift(a, b), "features": lambda: spark.read.parquet("/no/such/place")})
+    assert got["reports"]["prediction"]["drifted_columns"] == 1 and "features" in got["errors"] and got["overall_drift_detected"] and got["average_drift_share"] == 0.5
+    with pytest.raises(ValueError):
+        metrics.prediction_drift(a.select("id"), b.select("id"))
+    found = {r.feature: r for r in metrics.drift(a, b, ["risk_score", "anomaly_score"]).collect()}
+    assert np.isclose(found["risk_score"].wasserstein, 90) and np.isclose(found["risk_score"].ks, 0.45) and found["anomaly_score"].wasserstein == 0 and found["anomaly_score"].p_value == 1
+    assert found["risk_score"].p_value < 1e-6
+
+
+def test_quantiles_and_positions_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate((rng.integers(0, 9, 500).astype(float), rng.normal(size=333)))
+    df = spark.createDataFrame([(i, float(v), int(i % 3 == 0)) for i, v in enumerate(x)] + [(-1, None, 0)], "id int, v double, g int").repartition(5)
+    q = ranking.quantiles(df, "v", {"a": 0.0, "b": 0.333, "c": 0.5, "d": 0.95, "e": 1.0}).first()
+    assert np.allclose([q.a, q.b, q.c, q.d, q.e], np.quantile(x, [0, 0.333, 0.5, 0.95, 1]))
+    assert ranking.quantiles(df.limit(0), "v", {"a": 0.5}).first().a is None
+    got = {r.id: r.position for r in ranking.positions(df, ["g"], [F.col("v"), F.col("id")]).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r.g, r.v is not None, r.v or 0, r.id))
+    for g in (0, 1):
+        assert [got[r.id] for r in rows if r.g == g] == list(range(sum(r.g == g for r in rows)))
+
+
+def test_history_guard(spark):
+    counters = spark.createDataFrame([("a", 9, 9), ("b", 3, 3)], "member_id string, raw_history_rows long, history_rows_used long")
+    draws = spark.createDataFrame([("a", 7)], "member_id string, draws_played long")
+    assert [r.enough_history for r in reports.enough_history(counters, draws).orderBy("member_id").collect()] == [True, False]
+    with pytest.raises(reports.InsufficientHistory):
+        reports.require_history(counters, draws)
+    with pytest.raises(ValueError):
+        scalars.binned(F.lit(1), [0, 1], ["a", "b"])
