@@ -23,6 +23,8 @@ def test_train_score_lookup(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "run" / "scored"))
     assert again.join(stored.withColumnRenamed("risk_score", "old"), "member_id").where("abs(risk_score - old) > 1e-9").count() == 0
     assert scoring.lookup(stored, " f001 ")["member_id"] == "F001" and scoring.lookup(stored, "zz")["status"] == "insufficient_data"
+    assert not facts["decision"]["promoted"]  # 2 of 8 captured, so nothing is published
+    write_json(spark, str(tmp_path / "run" / "current.json"), {"bundle": str(tmp_path / "run" / "bundle.json"), "scored": str(tmp_path / "run" / "scored")})
     published, manifest = scoring.current(spark, str(tmp_path / "run"))
     assert manifest["snapshot_status"] == "ready" and published.count() == 48
     write_json(spark, str(tmp_path / "bare" / "current.json"), {"bundle": "none", "scored": str(tmp_path / "nowhere")})
