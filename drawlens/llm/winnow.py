@@ -93,6 +93,7 @@ def with_next(docs: DataFrame, run, schema: str, per_task: int = 3) -> DataFrame
     range's first document, marked guest, after it; the first document of all follows the last.
 
     The text moves once. Range bounds are quantiles of doc_id, so they are as many as the tasks, and so are guests.
+    Rows of one doc_id, or without any, stream through one task, which holds two texts at a time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"))
