@@ -36,7 +36,7 @@ class Encoder:
     `kept` of them, of `width` characters each). A text that holds the text of an added token is encoded as it is.
     """
 
-    def __init__(self, name: str, kept: int = 400_000, width: int = 48):
+    def __init__(self, name: str, kept: int = 300_000, width: int = 48):
         import public_tokenizers as P
         from tokenizers import Tokenizer
 
@@ -47,8 +47,10 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.kept, self.width = kept, width
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, texts: list[str], at_once: int = 1000) -> list[bytes]:
+        """at_once: how many encodings, each far larger than its ids, are held together."""
+        parts = (self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False) for i in range(0, len(texts), at_once))
+        return [np.array(e.ids, self.kind).tobytes() for part in parts for e in part]
 
     def _cut(self, text: str) -> tuple[str, list[str]]:
         """What is encoded as it is, and the pieces after it: one that starts with a line feed, or else one that a
@@ -103,7 +105,7 @@ def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end_id: int = 1)
         wide = encode.kind == "<u4" or end_id >= 65536
         end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         for batch in batches:
-            for part_of in bounded(batch):
+            for part_of in bounded(batch, 1_000_000):
                 found = encode([t or "" for t in part_of.column("text").to_pylist()])
                 if wide:
                     found = [b"\0" + np.frombuffer(x, encode.kind).astype("<u4").tobytes() for x in found]
