@@ -28,12 +28,21 @@ RARE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Pieces(dict):
+    """The ids of the pieces kept; those of the others of a batch are in others, which only a missing piece asks."""
+
+    others: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.others[piece]
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, exactly those of Tokenizer.encode(text, add_special_tokens=False).
 
     A byte-level BPE with the usual pattern never joins what stands on the two sides of a single space or line feed
-    between other characters, so texts are cut there and each different piece is encoded once and kept (at most
-    `kept` of them, of `width` characters each). A text that holds the text of an added token is encoded as it is.
+    between other characters, so texts are cut there; the first `kept` different pieces, of `width` characters at most,
+    are encoded once and stay, the others once in each batch. A text that holds the text of an added token is encoded as it is.
     """
 
     def __init__(self, name: str, kept: int = 300_000, width: int = 48):
@@ -44,7 +53,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(P.path(f"{name}.json"))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces()
         self.kept, self.width = kept, width
 
     def _bytes(self, texts: list[str], at_once: int = 1000) -> list[bytes]:
@@ -70,27 +79,13 @@ class Encoder:
         seen = self.pieces
         new = list({p for _, rest in cut for p in rest if p not in seen})
         ids = dict(zip(new, self._bytes([p if p[0] == "\n" else " " + p for p in new]), strict=True))
-        if len(seen) + len(ids) > self.kept:
-            ids, self.pieces = seen | ids, {}  # what this batch needs, and a new start
-            seen = ids
-        else:
-            seen |= {p: b for p, b in ids.items() if len(p) <= self.width}
-            if len(long := {p: b for p, b in ids.items() if len(p) > self.width}):
-                seen = _Two(seen, long)
+        for p in new[: max(0, self.kept - len(seen))]:  # the frequent pieces come early, so those kept first stay
+            if len(p) <= self.width:
+                seen[p] = ids.pop(p)
+        seen.others = ids
         return [head + b"".join(map(seen.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
 
 
-class _Two(dict):
-    """The pieces kept, and the long ones of one batch."""
-
-    def __init__(self, kept: dict[str, bytes], long: dict[str, bytes]):
-        super().__init__(long)
-        self.kept = kept
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.kept[piece]
-
-
 @functools.cache
 def encoder(name: str) -> Encoder:
     """One for each Python worker, whose pieces serve all its tasks."""
