@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from drawlens.llm.chat import chat_format
 from drawlens.llm.classifier import classify, train
+from drawlens.llm.filter_audit import AUDIT_SQL, filter_audit
 from drawlens.llm.licenses import license_scan
 from drawlens.llm.line_dedup import line_dedup
 from drawlens.llm.mix import mix
 from drawlens.llm.pack import pack, with_crc
 from drawlens.llm.quality_rules import quality_rules
+from drawlens.llm.secret_scan import secret_scan, with_digests
 from drawlens.llm.shard import shuffle_shards
 from drawlens.llm.simhash import simhash
+from drawlens.llm.vector_codes import codes_sql, vector_codes
 from drawlens.llm.winnow import edited_fingerprints
 
 
@@ -79,11 +82,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(_table(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(secret_scan(_table(spark, sf_dir, "documents")))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_pack, op6_simhash, op7_shard, op8_quality_classifier, op9_line_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_mix, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_pack, op6_simhash, op7_shard, op8_quality_classifier, op9_line_dedup, op10_chat_format, op11_vector_codes, op12_filter_audit, op13_secret_scan)
 }
 
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": codes_sql(),
+    "op12_filter_audit": AUDIT_SQL,
     "op1_mix": r"""
         WITH sizes AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
