@@ -8,7 +8,6 @@ chunks are combined into one probability. Training runs on the driver over a bou
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -144,23 +143,31 @@ def fold(doc_id: Column, folds: int = 4) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_fold: int = 2, max_rows: int = 4000, max_bytes: int = 48_000_000, shape: Shape = Shape(), seed: int = 5, **fit) -> Network:
     """A network fitted on a bounded sample of labelled rows outside the held-out fold: the first max_rows by a hash
-    of doc_id, as far as their whole texts are max_bytes together.
+    of doc_id, without those whose whole texts would take the sample beyond max_bytes.
 
     The bounds limit what reaches the driver; the rows chosen depend on doc_id, seed and sizes only. Null labels and
-    labels without a document are left out. Without both labels the network stays as it starts.
+    labels without a document are left out, and a text larger than what is left of the bound is passed over for
+    smaller ones; if no text at all is within it, ValueError. Without both labels the network stays as it starts.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != held_fold))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     found = texts.join(F.broadcast(rows), "doc_id").withColumn("u", F.xxhash64("doc_id", F.lit(seed)))  # max_rows labels
-    sizes = found.orderBy("u", "doc_id").select("u", "doc_id", F.octet_length("text").alias("size")).limit(max_rows).collect()
-    inside = [r for r, total in zip(sizes, itertools.accumulate(r["size"] for r in sizes), strict=True) if total <= max_bytes]
+    found = found.withColumn("size", F.octet_length("text")).withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"])
+    order = ["u", "doc_id", "size", "t"]
+    sizes = found.orderBy(*order).select(*order).limit(max_rows).collect()
+    inside, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= max_bytes:
+            inside.append(r)
+            total += r["size"]
     if not inside:
+        if sizes:
+            raise ValueError(f"none of {len(sizes)} labelled texts has {max_bytes} bytes or fewer")
         return Network(shape, seed)
-    u, last = inside[-1].u, inside[-1].doc_id
-    end = (F.col("u") < u) | ((F.col("u") == u) & (F.col("doc_id") <= last))
-    taken = sorted(found.where(end).select("u", "doc_id", "text", "label").limit(len(inside)).collect(), key=lambda r: (r.u, r.doc_id))
+    chosen = docs.sparkSession.createDataFrame(list({(r.doc_id, r.t) for r in inside}), "doc_id long, t long")  # max_rows at most
+    taken = found.join(F.broadcast(chosen), ["doc_id", "t"]).select(*order, "text", "label").orderBy(*order).collect()
     return Network(shape, seed).fit([bytes(r.text) for r in taken], np.array([r.label for r in taken]), **fit)
 
 

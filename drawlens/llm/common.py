@@ -141,6 +141,17 @@ def spanning_links(sets: list[np.ndarray], v: np.ndarray, part: np.ndarray, simi
     return out
 
 
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A 64-bit name of a row's id and text: rows that share an id are told apart by their texts."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
+def text_name(text: Column) -> Column:
+    """A 126-bit name of a text (null: of none), as a decimal, which Spark aggregates without sorting."""
+    low = F.xxhash64(F.lit(1), text).bitwiseAND(2**62 - 1)
+    return (F.xxhash64(text).cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+
+
 def blocks_of(n: Column, w: Column, block: int, most: int) -> Column:
     """How many blocks n members of size w together make, of about `block` members and of size `most` at most."""
     return F.ceil(F.greatest(n / block, w / most, F.lit(1))).cast("int")

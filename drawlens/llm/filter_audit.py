@@ -138,8 +138,8 @@ def scan(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mask.astype(np.int32), names.view(np.int64)
 
 
-def masks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, part, mask (bits 0 to 4: fails A to E), one row per document; and the stored scan that it reads."""
+def masks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, part, mask (bits 0 to 4: fails A to E), one row per document; and the stored stages that it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bounded(whole)):
@@ -150,8 +150,9 @@ def masks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = save(texts.mapInArrow(run, "doc_id long, part string, mask int, h0 long, h1 long"), "masks")
     # a text that stands once in the table needs no look at the others
     again = found.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = save(again, "again")  # so that a join of plain rows follows, which Spark can split where one text is very frequent
     copy = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
-    return found.join(again, ["h0", "h1"], "left").select("doc_id", "part", (F.col("mask") + F.when(copy, 16).otherwise(0)).alias("mask")), found
+    return found.join(again, ["h0", "h1"], "left").select("doc_id", "part", (F.col("mask") + F.when(copy, 16).otherwise(0)).alias("mask")), [found, again]
 
 
 def _sum(where, what) -> Column:
@@ -174,7 +175,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     masked, scanned = masks(docs)
     cells = masked.join(known, "doc_id", "left").groupBy("part", "mask").agg(F.count("*").alias("n"), n("good", "good"), n("toxic", "toxic"))
     cells = save(cells, "cells")  # 32 rows a part at most
-    forget(scanned)
+    forget(*scanned)
     parts = cells.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("mask", F.struct("n", "good", "toxic")))).alias("by_mask"))  # 32 masks at most
     none = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("n", "good", "toxic")))
     parts = parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda m: F.coalesce(F.get(F.map_values(F.map_filter("by_mask", lambda k, _: k == m)), F.lit(0)), none)).alias("cells"))

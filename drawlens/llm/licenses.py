@@ -99,7 +99,7 @@ TEXTS = (
     ("mit", "above copyright notice and this permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 5, 0.95),
     ("mit", "without warranty of any kind", r"the software is provided as is without warranty of any kind express or implied including but not limited to", 4, 0.7),
     ("mit", "mit style", r"(?:an? )?mit style licen[cs]e", 3, 0.8),
-    ("mit", "bin mit license", r"see (?:the )?file mit license", 2, 0.6),
+    ("mit", "mit license", r"see (?:the )?file mit license", 2, 0.6),
     ("mit", "opensource org", r"opensource org licenses mit(?: license)?", 5, 0.95),
     ("mit-0", "without restriction including", r"mit no attribution(?: license)? without restriction including", 5, 0.9),
     ("mit-0", "mit no attribution", r"mit no attribution", 4, 0.9),
@@ -188,7 +188,7 @@ TEXTS = (
     ("openssl", "openssl project", r"this product includes software developed by the openssl project for use in the openssl toolkit", 6, 1.0),
     ("ssleay", "eric young", r"this product includes cryptographic software written by eric young", 6, 1.0),
     ("postgresql", "postgresql", r"postgresql database management system formerly known as postgres", 5, 0.9),
-    ("postgresql", "regents of the university of california", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee [\w ]{0,120}?regents of the university of california", 4, 0.6),
+    ("postgresql", "regents of the university of california", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee (?:[\w ]{0,119} )?regents of the university of california", 4, 0.6),
     ("ofl-1.1", "open font license", r"this font software is licensed under the sil open font license version 1 1", 6, 1.0),
     ("ofl-1.1", "reserved font name", r"with reserved font name", 5, 0.9),
     ("ofl-1.1", "scripts sil org", r"scripts sil org ofl", 5, 0.95),

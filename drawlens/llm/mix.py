@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drawlens.llm.common import WORD, ranked, save
+from drawlens.llm.common import WORD, forget, ranked, save
 
 BITS, STEP = 60, 12
+#: Order of drawing: hash of the id, hash of the text, place in the stored table.
+KEYS = ("u", "v", "k")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
@@ -43,28 +45,44 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, max_epoc
 
 
 def _cuts(rows: DataFrame, goals: DataFrame, few: int) -> DataFrame:
-    """source, key: the last (u, doc_id) in hash order that gets the extra repetition."""
-    at = save(goals.where("extra > 0").select("source", "extra", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("base")), "cuts")
+    """source, key: the last (u, v, k) in hash order that gets the extra repetition.
 
-    def inside(shift: int) -> DataFrame:
-        """The documents whose hash starts, down to bit shift, as their source's cut does."""
+    The cut is looked for among the ids' hashes u first, then, where rows share an id, among their texts' hashes v,
+    and among equal rows by their place k in the stored table; so no id and no copy is too frequent to be cut through.
+    """
+    zero = [F.lit(0).cast("long").alias(c) for c in ("u0", "v0", "k0", "base")]
+    at = save(goals.where("extra > 0").select("source", "extra", *zero), "cuts")
+
+    def inside(key: str, shift: int) -> DataFrame:
+        """The documents whose key starts, down to bit shift, as their source's cut does, all earlier keys being equal."""
         c = at.withColumnRenamed("source", "_s")
-        return rows.where("size > 0").join(c, F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright("u", shift) == F.shiftright("lo", shift))
-
-    shift = BITS
-    while shift > 0:
-        shift -= STEP
-        ranges = inside(shift + STEP).groupBy("source", "extra", "base", F.shiftright("u", shift).alias("r")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
-        ranges = ranges.withColumn("before", before).where("before < extra AND extra <= before + size")
-        ranges = ranges.select("source", "extra", F.shiftleft("r", shift).alias("lo"), F.col("before").cast("long").alias("base"), "n")
-        at = save(ranges, "cuts")
-        if (at.agg(F.max("n")).first()[0] or 0) <= few:
+        found = rows.where("size > 0").join(c, F.col("source").eqNullSafe(F.col("_s"))).where(F.shiftright(key, shift) == F.shiftright(f"{key}0", shift))
+        for earlier in KEYS[: KEYS.index(key)]:
+            found = found.where(F.col(earlier) == F.col(f"{earlier}0"))
+        return found
+
+    done = False
+    for key in KEYS:
+        shift = BITS
+        while shift > 0 and not done:
+            shift -= STEP
+            others = [f"{k}0" for k in KEYS if k != key]
+            ranges = inside(key, shift + STEP).groupBy("source", "extra", "base", *others, F.shiftright(key, shift).alias("r")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+            before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("base")
+            ranges = ranges.withColumn("before", before).where("before < extra AND extra <= before + size")
+            ranges = ranges.select("source", "extra", *others, F.shiftleft("r", shift).alias(f"{key}0"), F.col("before").cast("long").alias("base"), "n")
+            last, at = at, save(ranges, "cuts")
+            forget(last)
+            done = (at.agg(F.max("n")).first()[0] or 0) <= few
+        if done:
             break
-    w = W.partitionBy("source").orderBy("u", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    last = inside(shift).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("base"))
-    last = last.groupBy("source", "lo").agg(F.max(F.when(F.expr("before + size / 2 <= extra"), F.struct("u", "doc_id"))).alias("key"))
-    return last.select("source", F.coalesce("key", F.struct((F.col("lo") - 1).alias("u"), F.lit(None).cast("long").alias("doc_id"))).alias("key"))
+    w = W.partitionBy("source").orderBy(*KEYS).rowsBetween(W.unboundedPreceding, -1)
+    last = inside(key, shift).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("base"))
+    last = last.groupBy("source", "u0", "v0", "k0").agg(F.max(F.when(F.expr("before + size / 2 <= extra"), F.struct(*KEYS))).alias("key"))
+    none = F.struct(F.col("u0").alias("u"), F.col("v0").alias("v"), (F.col("k0") - 1).alias("k"))
+    out = save(last.select("source", F.coalesce("key", none).alias("key")), "cut")
+    forget(at)
+    return out
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 7, few: int = 20_000, through: tuple[str, ...] = ()) -> DataFrame:
@@ -72,18 +90,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     Needs doc_id, text and source; other columns are ignored. Null and empty texts have size 0, are never taken
     more often than their source's whole repetitions, and add nothing. A null source is a source, in last place.
-    Rows that repeat a doc_id are drawn together. An empty table gives an empty result. few: how many documents
-    of a source one task may order when it places the cut. through: columns of docs that come along, in a struct row.
+    Rows count one by one, whether their doc_id is null or that of others. An empty table gives an empty result.
+    few: how many documents of a source one task may order when it places the cut. through: columns of docs that come
+    along, in a struct row.
     """
-    u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, BITS // 4), 16, 10).cast("long")
+    hashed = lambda text: F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
+    u = hashed(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     row = [F.struct(*through).alias("row")] if through else []
-    rows = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), u.alias("u"), *row), "sizes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), u.alias("u"), hashed(F.coalesce(F.col("text"), F.lit(""))).alias("v"), *row)
+    rows = save(rows.withColumn("k", F.monotonically_increasing_id()), "sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goals = save(goals.withColumn("whole", whole.cast("long")).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "goals")
-    cuts = _cuts(rows, goals, few).withColumnRenamed("source", "_s")
-    goals = save(goals.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "goals").withColumnRenamed("source", "_s")
-    more = F.coalesce(((F.struct("u", "doc_id") <= F.col("key")) & (F.col("size") > 0) & (F.col("extra") > 0)).cast("long"), F.lit(0))
-    out = rows.join(goals, F.col("source").eqNullSafe(F.col("_s"))).withColumn("repeats", F.col("whole") + more)
+    cuts = _cuts(rows, goals, few)
+    met = save(goals.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "goals").withColumnRenamed("source", "_s")
+    forget(goals, cuts)
+    more = F.coalesce(((F.struct(*KEYS) <= F.col("key")) & (F.col("size") > 0) & (F.col("extra") > 0)).cast("long"), F.lit(0))
+    out = rows.join(met, F.col("source").eqNullSafe(F.col("_s"))).withColumn("repeats", F.col("whole") + more)
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"), *(["row"] if through else []))

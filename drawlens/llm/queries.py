@@ -104,7 +104,8 @@ ORACLES: dict[str, str] = {
     "op1_mix": r"""
         WITH sizes AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 15))::BIGINT AS u
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 15))::BIGINT AS u,
+                   ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS v
             FROM documents
         ), sources AS (
             SELECT source, sum(size)::BIGINT AS source_size,
@@ -125,7 +126,7 @@ ORACLES: dict[str, str] = {
             SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM goals
         ), placed AS (
             SELECT s.doc_id, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS extra,
-                   coalesce(sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (PARTITION BY s.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                   coalesce(sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (PARTITION BY s.source ORDER BY u, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM sizes s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
         )
         SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AND extra > 0 AND before + size / 2 <= extra THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -13,12 +13,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawlens.llm.common import save
+from drawlens.llm.common import forget, save, unused
 
 
 def _stirling_error(n: np.ndarray) -> np.ndarray:
@@ -107,29 +107,36 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int, large: i
 def shuffle_shards(rows: DataFrame, n_shards: int = 24, seed: int = 11, per_range: int = 20_000) -> DataFrame:
     """Adds shard (0 to n_shards - 1; sizes differ by one row at most) and slot (gapless from 0 in each shard).
 
-    All columns stay; columns named shard, slot or like the helpers (_at, _h) are replaced. Rows are moved as rows:
+    All columns stay, whatever their names, but those named shard and slot are replaced. Rows are moved as rows:
     nulls, repeated rows and equal ids are like any others, and an empty table gives an empty result. With the same
     files and settings a rerun gives the same shards.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
-    rows = rows.drop("shard", "slot", "_at", "_h")
+    rows = rows.drop("shard", "slot")
     spark = rows.sparkSession
-    local = rows.withColumn("_h", F.xxhash64(*rows.columns, F.lit(seed))).sortWithinPartitions("_h").drop("_h")
-    local = save(local.withColumn("_at", F.monotonically_increasing_id()), "permuted")
-    local = local.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(2**33 - 1))
-    sizes = local.groupBy("_part").count().orderBy("_part").collect()  # one row per map partition
+    at, part, row, ends, fine, start, hashed = (unused(rows, c) for c in ("_at", "_part", "_row", "_ends", "_range", "_start", "_h"))
+    local = rows.withColumn(hashed, F.xxhash64(*map(_quoted, rows.columns), F.lit(seed))).sortWithinPartitions(hashed).drop(hashed)
+    local = save(local.withColumn(at, F.monotonically_increasing_id()), "permuted")
+    placed = local.withColumn(part, F.shiftright(at, 33)).withColumn(row, F.col(at).bitwiseAND(2**33 - 1))
+    sizes = placed.groupBy(part).count().orderBy(part).collect()  # one row per map partition
     total = sum(r["count"] for r in sizes)
     matrix = communication_matrix([r["count"] for r in sizes], [total // n_shards + (s < total % n_shards) for s in range(n_shards)], seed)
-    schema = T.StructType([T.StructField("_part", T.LongType()), T.StructField("_ends", T.ArrayType(T.LongType()))])
-    ends = spark.createDataFrame([(r["_part"], e.tolist()) for r, e in zip(sizes, matrix.cumsum(axis=1), strict=True)], schema)
-    sent = local.join(ends, "_part").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_row"))))
+    schema = T.StructType([T.StructField(part, T.LongType()), T.StructField(ends, T.ArrayType(T.LongType()))])
+    cuts = spark.createDataFrame([(r[part], e.tolist()) for r, e in zip(sizes, matrix.cumsum(axis=1), strict=True)], schema)
+    # eight bytes for each partition and shard: as the matrix itself, so a broadcast moves no row
+    sent = placed.join(F.broadcast(cuts), part).withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(row))))
     ranges = max(1, -(-total // (n_shards * per_range)))
-    sent = sent.withColumn("_h", F.xxhash64("_at", F.lit(seed + 1))).withColumn("_range", F.pmod("_h", F.lit(ranges)))
-    sent = save(sent.drop("_part", "_row", "_ends"), "sent")
-    fine = sent.groupBy("shard", "_range").count()
-    start = F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    fine = fine.select("shard", "_range", start.alias("_start"))
-    out = sent.withColumn("slot", F.row_number().over(W.partitionBy("shard", "_range").orderBy("_h", "_at")) - 1)
-    out = out.join(fine, ["shard", "_range"]).withColumn("slot", (F.col("slot") + F.col("_start")).cast("long"))
-    return out.select(*rows.columns, F.col("shard").cast("int").alias("shard"), "slot")
+    sent = sent.withColumn(hashed, F.xxhash64(at, F.lit(seed + 1))).withColumn(fine, F.pmod(hashed, F.lit(ranges)))
+    sent = save(sent.drop(part, row, ends), "sent")
+    forget(local)
+    counted = sent.groupBy("shard", fine).agg(F.count("*").alias(start))
+    before = F.coalesce(F.sum(start).over(W.partitionBy("shard").orderBy(fine).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select("shard", fine, before.alias(start))
+    out = sent.withColumn("slot", F.row_number().over(W.partitionBy("shard", fine).orderBy(hashed, at)) - 1)
+    out = out.join(counted, ["shard", fine]).withColumn("slot", (F.col("slot") + F.col(start)).cast("long"))
+    return out.select(*map(_quoted, rows.columns), F.col("shard").cast("int").alias("shard"), "slot")
+
+
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")

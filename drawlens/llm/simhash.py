@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlens.llm.common import blocks_of, components, forget, save, spanning_links
+from drawlens.llm.common import blocks_of, components, forget, save, spanning_links, text_name, unused
 
 SEED = 42
 #: Rows of one key that a task holds; the members of a larger key meet in blocks of this many.
@@ -224,8 +224,8 @@ def label(rows: DataFrame, classes: DataFrame, found: DataFrame, key: list[str],
     return rows.join(named, key)
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 128, width: int = 16, strided: int = 4, distance: int = 36, held: int = HELD, block: int = 256, shingles: int = 1_000_000) -> DataFrame:
-    """One row per document: doc_id, component_id (the smallest doc_id of its group).
+def near_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits: int = 128, width: int = 16, strided: int = 4, distance: int = 36, held: int = HELD, block: int = 256, shingles: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, name of the text, class of equal words) and, of each class, its id and group, both stored.
 
     Groups are connected by a Jaccard similarity of at least `similarity` between sets of ngram-word shingles.
     Candidates are fingerprints of those sets that share a variant and differ in at most distance bits. At the
@@ -234,9 +234,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bi
     and 99 % at 0.85. Candidate groups are then compared exactly, in blocks of `block` texts and about
     `shingles` shingles, every two of which meet in one task; each task gives links that connect the similar pairs.
 
-    Texts without words are copies of each other, as are texts of equal words. Repeated rows give repeated results;
-    a null doc_id stays null and never stands for its group unless the whole group is null; an empty table gives an
-    empty result; columns other than doc_id and text are ignored.
+    Vertices are classes of texts with equal words, whatever the ids of their rows. Texts without words are one class.
     """
     n_words = bits // 64
     columns = [f"f{k}" for k in range(n_words)]
@@ -248,20 +246,21 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bi
             names = [np.array([xxhash.xxh64_intdigest(w, s) for w in whole], np.uint64).view(np.int64) for s in (1, 2)]
             sets = [shingle_hashes(w, ngram, True) for w in whole]
             prints = np.array([fingerprint(h, bits) for h in sets], np.uint64).reshape(-1, n_words)
-            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, names), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(n_words))], names=["doc_id", "k0", "k1", "w", *columns])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("name"), *map(pa.array, names), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(n_words))], names=["doc_id", "name", "k0", "k1", "w", *columns])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = save(texts.mapInArrow(run, "doc_id long, k0 long, k1 long, w long, " + ", ".join(f"{c} long" for c in columns)), "prints")
-    classes = save(rows.groupBy("k0", "k1", "w", *columns).agg(F.min("doc_id").alias("first")), "classes")
-    wide = links(classes.where("first IS NOT NULL").select(F.col("first").alias("id"), *columns), bits, segments(bits, width, strided), distance, held)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name(F.col("text")).alias("name"), F.col("text").cast("binary").alias("text"))
+    rows = save(texts.mapInArrow(run, "doc_id long, name decimal(38,0), k0 long, k1 long, w long, " + ", ".join(f"{c} long" for c in columns)), "prints")
+    classes = rows.groupBy("k0", "k1", "w", *columns).agg(F.min("doc_id").alias("first"), F.min("name").alias("name"))
+    classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    wide = links(classes.where("w > 0").select("id", *columns), bits, segments(bits, width, strided), distance, held)
     connected = components(wide)
     forget(wide)
-    groups = save(connected.join(classes.select(F.col("first").alias("id"), "w"), "id"), "groups")
+    groups = save(connected.join(classes.select("id", "w", "name"), "id"), "groups")
     sizes = groups.groupBy("root").agg(blocks_of(F.count("*"), F.sum("w"), block, shingles).alias("blocks"))
     part = groups.join(sizes, "root").withColumn("x", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     part = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = part.select("id", "root", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    once = texts.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    part = part.select("id", "name", "root", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    once = texts.join(groups.select("name"), "name", "left_semi").groupBy("name").agg(F.first("text").alias("text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
@@ -281,8 +280,48 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bi
         if len(ids) > 1:
             yield flush()
 
-    met = part.join(once.withColumnRenamed("doc_id", "id"), "id").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "id")
+    met = part.join(once, "name").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "id")
     found = save(met.mapInArrow(compare, "a long, b long"), "similar")
     alike = components(found)
-    forget(groups, found)
-    return label(rows.select("doc_id", "k0", "k1"), classes.select("k0", "k1", "first"), alike, ["k0", "k1"], F.col("first"))
+    named = save(classes.select("id", "k0", "k1", "first").join(alike, "id", "left").select("id", "k0", "k1", "first", F.coalesce("root", "id").alias("root")), "named")
+    forget(groups, found, classes)
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id of its group).
+
+    Groups are near_classes', whose settings these are. Texts without words are copies of each other, as are texts of
+    equal words. Rows that share an id and differ in text belong each to its own text's group. Repeated rows give
+    repeated results; a null doc_id stays null and stands for its group only if the whole group is null; an empty table
+    gives an empty result; columns other than doc_id and text are ignored.
+    """
+    rows, named = near_classes(docs, **settings)
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(named.join(least, "root").select("k0", "k1", "component_id"), ["k0", "k1"]).select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, **settings) -> DataFrame:
+    """The first row of each group of near-duplicates, with all its columns.
+
+    First is in order of doc_id (null last), then of the text's name. Of repeated rows one stays. Groups are
+    near_classes', whose settings these are; texts without words are one group. Rows that share an id are judged each
+    by its own text. An empty table stays empty.
+    """
+    rows, named = near_classes(docs, **settings)
+    name, own, other = unused(docs, "_name"), unused(docs, "_n"), unused(docs, "_d")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "name")
+    members = rows.join(named.select("k0", "k1", "root"), ["k0", "k1"]).groupBy("root", "doc_id", "name").agg(F.count("*").alias("n"))
+    members = save(members, "members")
+    firsts = members.groupBy("root").agg(F.min(order).alias("f"))
+    members = members.join(firsts, "root").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("name") == F.col("f.name")))
+    stays = save(members.select(F.col("doc_id").alias(other), F.col("name").alias(own), "n", "is_first").where("n > 1 OR NOT is_first"), "stays")
+    forget(rows, named)
+    same = F.col(name) == F.col(own), F.col("doc_id").cast("long").eqNullSafe(F.col(other))
+    keyed = docs.withColumn(name, text_name(F.col("text")))
+    alone = keyed.join(stays, list(same), "left_anti")
+    repeated = stays.where("is_first")
+    if repeated.isEmpty():
+        return alone.select(*docs.columns)
+    twins = keyed.join(repeated, list(same), "left_semi").groupBy(name, "doc_id").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return alone.select(*docs.columns).unionByName(twins)

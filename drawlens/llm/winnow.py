@@ -88,37 +88,73 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
 
+class _Ranges:
+    """Ranges of (at, h) in order, with a number for each; a range of one value only may have several numbers.
+
+    at: bounds, as quantiles of the rows. A bound that several quantiles share is the id of many rows, which become
+    ranges of their own, cut by the quantiles of their h; and a value of h that several of those share is the text of
+    many rows, which may go to any of that range's numbers.
+    """
+
+    def __init__(self, at: list[int], within: dict[int, list[int]]):
+        hot = {x: at.count(x) for x in set(at)}
+        self.at = np.array(sorted({x for x in at} | {x + 1 for x in within if x < 2**63 - 1}), dtype=np.int64)
+        self.cuts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.first, n = [0], 1
+        for x in self.at.tolist():
+            self.first.append(n)
+            if x in within and hot.get(x, 0) > 1:
+                h = sorted(within[x])
+                cuts = np.array(sorted({y for v in set(h) for y in ((v, v + 1) if h.count(v) > 1 and v < 2**63 - 1 else (v,))}), dtype=np.int64)
+                many = np.array([1] + [max(1, h.count(v)) for v in cuts.tolist()], dtype=np.int64)
+                self.cuts[x] = cuts, np.concatenate(([0], np.cumsum(many)[:-1])), many
+                n += int(many.sum())
+            else:
+                n += 1
+        self.first = np.array(self.first, dtype=np.int64)
+
+    def of(self, at: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.at, at, side="right")
+        out = self.first[i]
+        for x, (cuts, before, many) in self.cuts.items():
+            mine = at == x
+            if mine.any():
+                j = np.searchsorted(cuts, h[mine], side="right")
+                out[mine] += before[j] + row[mine] % many[j]
+        return out.astype("int32")
+
+
 def with_next(docs: DataFrame, run, schema: str, per_task: int = 3) -> DataFrame:
-    """Applies run to the documents in ascending doc_id (null first, equal ids by text), each range with the next
-    range's first document, marked guest, after it; the first document of all follows the last.
+    """Applies run to the documents in ascending doc_id (null first, equal ids by a hash of the text), each range with
+    the next range's first document, marked guest, after it; the first document of all follows the last.
 
-    The text moves once. Range bounds are quantiles of doc_id, so they are as many as the tasks, and so are guests.
-    Rows of one doc_id, or without any, stream through one task, which holds two texts at a time.
+    The text moves once, and the first ones of the ranges once more. Bounds are quantiles, so ranges are as many as the
+    tasks (a few times). Rows of one id, or without any, are dealt out by their texts, and equal rows at will, as any
+    of them is the others' next one; so no id and no text fills a task.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.xxhash64("text").alias("h"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = tasks * per_task
-    bounds = docs.agg(F.percentile_approx("at", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
-    bounds = np.unique(np.array(bounds, dtype=np.int64))
+    points = [i / parts for i in range(1, parts)]
+    bounds = docs.agg(F.percentile_approx("at", points, 100 * parts)).first()[0] or []
+    hot = sorted({x for x in bounds if bounds.count(x) > 1})  # ids of more than one range's rows: no more than ranges
+    inner = docs.where(F.col("at").isin(hot)).groupBy("at").agg(F.percentile_approx("h", points, 10 * parts).alias("h")).collect() if hot else []
+    thin = lambda h, n: h[:: max(1, parts // (n + 1))]  # noqa: E731  as many cuts as the id has ranges
+    ranges = _Ranges(bounds, {r["at"]: thin(r["h"], bounds.count(r["at"])) for r in inner})
 
     @F.pandas_udf("int")
-    def part_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(), side="right").astype("int32"))
-
-    firsts = docs.select("at").withColumn("part", part_of("at")).groupBy("part").agg(F.min("at").alias("at")).orderBy("part").collect()
-    to = {b["at"]: a["part"] for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)}  # one entry per range
-    heads, owners = np.array(sorted(to), dtype=np.int64), np.array([to[x] for x in sorted(to)], dtype=np.int32)
-
-    @F.pandas_udf("array<int>")
-    def parts_of(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        own = np.searchsorted(bounds, at, side="right").astype("int32")
-        i = np.searchsorted(heads, at).clip(0, len(heads) - 1)
-        return pd.Series([[p, owners[j]] if heads[j] == a else [p] for p, j, a in zip(own, i, at, strict=True)])
+    def part_of(at: pd.Series, h: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(at.to_numpy(), h.to_numpy(), row.to_numpy()))
 
-    sent = docs.select("doc_id", "text", "at", F.posexplode(parts_of("at")).alias("guest", "part"))
-    return sent.repartition(tasks, "part").sortWithinPartitions("part", "guest", "at", "text").mapInArrow(run, schema)
+    rows = docs.withColumn("part", part_of("at", "h", F.monotonically_increasing_id()))
+    firsts = rows.groupBy("part").agg(F.min(F.struct("at", "h")).alias("key")).orderBy("part").collect()  # a row for each range
+    owners = [(b.key["at"], b.key["h"], a["part"]) for a, b in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    heads = spark.createDataFrame(owners, "at long, h long, part int")
+    texts = docs.join(F.broadcast(heads.select("at", "h").distinct()), ["at", "h"]).groupBy("at", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    guests = texts.join(F.broadcast(heads), ["at", "h"])
+    sent = rows.select("doc_id", "text", "at", "h", "part", F.lit(0).alias("guest")).unionByName(guests.select("doc_id", "text", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("h"), "part", F.lit(1).alias("guest")))
+    return sent.repartition(tasks, "part").sortWithinPartitions("part", "guest", "at", "h").mapInArrow(run, schema)
 
 
 def _text_of(hashes: np.ndarray) -> str:
@@ -131,8 +167,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
     near_next, and positions and edited_positions (of the hashes, in code points). A run of k + window - 1 code points
     that a text shares with another has a common hash at its place in both.
 
-    Null texts count as empty. The only document of a table is its own next one. Of rows that repeat a doc_id each
-    has the following one as its next. An empty table gives an empty result.
+    Null texts count as empty. The only document of a table is its own next one. Rows that repeat a doc_id follow each
+    other in order of a hash of their texts. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

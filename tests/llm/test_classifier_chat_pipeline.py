@@ -96,6 +96,18 @@ def brute(roles, costs):
     return best
 
 
+def test_texts_beyond_the_bound_are_passed_over(spark):
+    texts = ["good words here " * 5, "bad bad bad " * 5] * 20
+    docs = spark.createDataFrame([*enumerate(texts), (100, "huge " * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, 1 - i % 2) for i in range(40)), (100, 1)], "doc_id long, quality int")
+    for seed in range(4):  # the large one stands anywhere in the order
+        network = train(docs, labels, max_bytes=5_000, seed=seed, least_steps=60, epochs=2)
+        a, b = network.score([texts[0].encode(), texts[1].encode()])
+        assert a > 0.7 > b
+    with pytest.raises(ValueError):
+        train(docs, labels, max_bytes=10)
+
+
 @pytest.mark.parametrize("roles", [["user"], ["assistant"], ["system", "system"], ["user", "user", "assistant"], ["assistant", "user", "system"], [None, "user", None], ["system", "assistant", "assistant"]])
 def test_repair_is_cheapest(roles):
     costs = Costs()

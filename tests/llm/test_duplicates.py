@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from drawlens.llm import queries as Q
 from drawlens.llm.common import components, ranked
 from drawlens.llm.line_dedup import band_keys, line_dedup, rolling, shingle_set
-from drawlens.llm.simhash import links, near_duplicates, segments, simhash
+from drawlens.llm.simhash import links, near_dedup, near_duplicates, segments, simhash
 
 
 def roots(ids, edges):
@@ -208,3 +208,50 @@ def test_line_tails_and_insides_count(spark):
     group = roots(range(len(texts)), [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert {i for i in got if got[i]} == {i for i in group if group[i] == i} == set(range(len(lines))) - {8, 11}
+
+
+def test_texts_that_share_an_id_are_judged_each_by_itself(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b + " x"), (None, a), (None, c), (None, c), (5, "only here"), (5, "only here"), (5, ""), (6, None), (None, ""), (8, c + " y")]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), 1) for r in rows], "doc_id long, text string, source string, n_chars long, name int").repartition(3)
+    for block in (2, 256):
+        got = sorted(((r.doc_id, r.text) for r in near_dedup(docs, block=block).collect()), key=str)
+        assert got == sorted([(3, a), (7, b), (5, "only here"), (5, ""), (8, c + " y")], key=str)
+    lead = {(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()}
+    assert {(7, 3), (7, 7), (9, 7), (None, 3), (None, 8), (5, 5), (6, 5)} <= lead
+    assert near_dedup(docs).columns == docs.columns
+
+
+def test_lines_that_share_an_id_keep_their_places(spark):
+    line = lambda x: f"{x} is a line of its own with {x}{x}{x} and more {x * 12}"
+    rows = [(1, line("k")), (7, f"{line('u')}\n{line('k')}"), (7, f"{line('k')}\n{line('v')}"), (7, f"{line('w')}\n\n{line('u')}2"), (9, line("v")), (9, line("z")), (9, line("z")), (None, line("k"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in line_dedup(docs).collect()]
+    found = [x for _, t in got for x in t.split("\n")]
+    kept = lambda x: sum(y.startswith(f"{x} is") for y in found)
+    assert kept("k") == 2 and kept("u") == kept("v") == kept("w") == 1  # of k one with an id and the one without
+    assert kept("z") == 2  # rows of one id and one text count as one document
+    assert len(got) == len(rows) and (9, "") in got
+
+
+def test_near_copies_are_caught_alone_and_after_line_dedup(spark, documents):
+    """Documents of the given table with near copies of one to several changed words in fifty."""
+    rng = random.Random(12)
+    base = [r.text for r in documents.where("length(text) > 600").orderBy("doc_id").limit(120).collect()]
+    rows, planted = [(i, t) for i, t in enumerate(base)], {}
+    for i, t in enumerate(base):
+        words = re.split(r"(\s+)", t)
+        at = [k for k in range(0, len(words), 2) if words[k]]
+        for k in rng.sample(at, max(1, len(at) // rng.choice((60, 100, 200)))):
+            words[k] = f"changed{rng.randrange(10**6)}"
+        copy = "".join(words)
+        if len(shingled(t) & shingled(copy)) >= 0.8 * len(shingled(t) | shingled(copy)):
+            planted[10_000 + i] = i
+            rows.append((10_000 + i, copy))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in near_dedup(docs).collect()}
+    assert len(planted) > 60
+    caught = sum(i not in left for i in planted) / len(planted)
+    lined = {r.doc_id: r.text for r in line_dedup(docs).collect()}
+    print("caught", caught, "words left of copies by line dedup", sum(len(lined[i].split()) for i in planted) / sum(len(dict(rows)[i].split()) for i in planted))
+    assert caught >= 0.95

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from drawlens.llm import queries as Q
@@ -159,3 +160,29 @@ def test_mixing_stage_keeps_null_and_repeated_ids(spark):
     assert out.columns == docs.columns and got == +want and any(r.doc_id is None for r in got)
     whole = {r.source: int(r.target // r.source_size) for r in mix(docs).collect()}
     assert got[rows[60]] == whole["s0"]  # a row without words takes no repeats from others with its id
+
+
+def test_the_cut_falls_between_rows_of_one_id(spark):
+    rows = [(None, f"{'w ' * 10}{i}", "a") for i in range(100)] + [(None, "same " * 10, "a")] * 100 + [(i, "x " * 10, "a") for i in range(100)] + [(i % 3, f"y{i} " * 5, "b") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for few in (1, 20_000):
+        out = mix(docs, seed=3, few=few).collect()
+        assert len(out) == len(rows)
+        for source in "ab":
+            mine = [r for r in out if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10 and all(r.taken <= 2 * r["size"] for r in mine)
+    duck = duckdb.connect()
+    documents = pa.Table.from_pylist([{"doc_id": i, "text": t, "source": s} for i, t, s in rows])
+    duck.register("documents", documents)
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(map(key, duck.sql("SELECT doc_id, size, source_size, target, taken FROM (" + Q.ORACLES["op1_mix"] + ")").fetchall()))
+    assert sorted(key((r.doc_id, r["size"], r.source_size, r.target, r.taken)) for r in mix(docs).collect()) == want
+
+
+def test_shards_keep_columns_named_like_helpers(spark):
+    names = ["_at", "_part", "_row", "_ends", "_range", "_start", "_h", "a.b", "count"]
+    docs = spark.createDataFrame([(i, *range(i, i + 9)) for i in range(100)], ["doc_id", *names])
+    out = shuffle_shards(docs, n_shards=7, per_range=5)
+    assert out.columns == ["doc_id", *names, "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in out.collect()) == [(i, *range(i, i + 9)) for i in range(100)]
+    assert sorted((r.shard, r.slot) for r in out.collect()) == sorted((i % 7, i // 7) for i in range(100))

@@ -10,7 +10,7 @@ import pytest
 from drawlens.llm import queries as Q
 from drawlens.llm.licenses import license_scan, rules, scan, suppress
 from drawlens.llm.quality_rules import measure, quality_rules
-from drawlens.llm.winnow import edited_fingerprints, fingerprints, gram_hashes, likeness, winnow
+from drawlens.llm.winnow import _Ranges, edited_fingerprints, fingerprints, gram_hashes, likeness, winnow
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,6 +108,34 @@ def test_edited_fingerprints_against_plain_python(documents, odd_docs, no_docs):
     assert edited_fingerprints(no_docs).count() == 0 and edited_fingerprints(odd_docs).count() == 11 and fingerprints(odd_docs).count() == 11
 
 
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    """A third of the rows without an id, a third of them one text, and an id of many texts: a chain over all rows."""
+    rows = [(None, f"text {i} " * 9) for i in range(60)] + [(None, "the same " * 20)] * 60 + [(50, f"other {i} " * 7) for i in range(60)] + [(50, "again " * 30)] * 30 + [(i, f"own {i} " * 8) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = edited_fingerprints(docs).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in found) == sorted((i is not None, i or 0, len(t)) for i, t in rows)
+    # each row's next one: by (id, null first), then by the hash of the text
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    chain = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    want = Counter()
+    for a, b in zip(chain, chain[1:] + chain[:1], strict=True):
+        half = len(a.text) // 2
+        want[a.doc_id, hashlib.sha256((a.text[: len(a.text) - half] + b.text[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in found) == want
+
+
+def test_no_id_fills_a_range():
+    at = sorted([5] * 500 + list(range(1000)))
+    bounds = [at[len(at) * i // 60] for i in range(1, 60)]
+    h = sorted(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 300).tolist() + [77] * 200)
+    ranges = _Ranges(bounds, {5: [h[len(h) * i // 20] for i in range(1, 20)]})
+    n = ranges.of(np.array([5] * 500 + list(range(1000))), np.array(h + [0] * 1000), np.arange(1500))
+    assert np.bincount(n).max() < 80
+    order = sorted(range(1500), key=lambda i: (([5] * 500 + list(range(1000)))[i], (h + [0] * 1000)[i]))
+    same = n[order]
+    assert all(a <= b for a, b, i, j in zip(same, same[1:], order, order[1:]) if not (i < 500 and j < 500 and h[i] == h[j]))
+
+
 def test_license_rules():
     assert len(rules()) >= 200
     assert {x[0] for x in scan(" released under the mit license by us ")[0]} == {"mit"}
