@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawlens.operators.sequences import LARGE, along
+
 REQUIRED = ("member_id", "draw_id", "total_bet_amount", "win_points", "bets")
 
 
@@ -55,14 +57,20 @@ def range_checks(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def diagnose_labels(labels: DataFrame, draws: DataFrame) -> DataFrame:
+def diagnose_labels(labels: DataFrame, draws: DataFrame, large: int = LARGE) -> DataFrame:
     """Each label's status: matched with history before it, matched without, member known but draw not, draw known but
     member not, or neither; with the member's rows before the matched draw and from it on."""
     event = draws.select(F.col("member_id").alias("_m"), F.col("draw_id").alias("_d"), "ts").groupBy("_m", "_d").agg(F.min("ts").alias("event_ts"))
     out = labels.join(event, (F.col("member_id") == F.col("_m")) & (F.col("draw_id") == F.col("_d")), "left").drop("_m", "_d")
-    rows = draws.join(labels.select("member_id").distinct(), "member_id", "left_semi").select(F.col("member_id").alias("_m"), F.col("ts").alias("_ts"))
-    counts = out.join(rows, F.col("member_id") == F.col("_m")).groupBy("member_id", "draw_id").agg(F.count_if(F.col("_ts") < F.col("event_ts")).alias("rows_before"), F.count_if(F.col("_ts") >= F.col("event_ts")).alias("rows_after"), F.count("*").alias("member_rows"))
-    out = out.join(counts, ["member_id", "draw_id"], "left").fillna({"rows_before": 0, "rows_after": 0, "member_rows": 0})
+    out = out.select("member_id", "draw_id", "event_ts").distinct()
+    # rows and events in one order of time, events first: the running count of rows at an event is what lies before it
+    rows = draws.join(labels.select("member_id").distinct(), "member_id", "left_semi").select("member_id", F.col("ts").alias("_ts"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("draw_id"))
+    marks = out.select("member_id", F.col("event_ts").alias("_ts"), F.lit(0).alias("_row"), F.col("draw_id").cast("long").alias("draw_id"))
+    timed = F.when(F.col("_ts").isNotNull(), F.col("_row")).otherwise(0)
+    placed = along(rows.unionByName(marks), ["member_id"], ["_ts", "_row"], running={"_upto": "_row"}, overall={"_all": (F.sum, F.col("_row")), "_timed": (F.sum, timed)}, large=large)
+    counts = placed.where("_row = 0").select("member_id", "draw_id", F.when(F.col("_ts").isNotNull(), F.col("_upto")).otherwise(0).cast("long").alias("rows_before"), F.when(F.col("_ts").isNotNull(), F.col("_timed") - F.col("_upto")).otherwise(0).cast("long").alias("rows_after"), F.col("_all").alias("member_rows"))
+    counts = counts.withColumnsRenamed({"member_id": "_m", "draw_id": "_l"})
+    out = out.join(counts, (F.col("member_id") == F.col("_m")) & F.col("draw_id").eqNullSafe(F.col("_l")), "left").drop("_m", "_l").fillna({"rows_before": 0, "rows_after": 0, "member_rows": 0})
     known = draws.select(F.col("draw_id").alias("_d")).distinct().withColumn("_draw", F.lit(True))
     out = out.join(known, F.col("draw_id") == F.col("_d"), "left")
     status = (

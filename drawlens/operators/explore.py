@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drawlens.functions import scalars as S
-from drawlens.operators.ranking import top_per_key
+from drawlens.operators.ranking import quantiles, running_counts, top_per_key
+from drawlens.operators.sequences import LARGE, along, grouped_quantiles, same
+from drawlens.sources.stages import stored
 
 
 def bets_of(draws: DataFrame) -> DataFrame:
@@ -44,7 +45,10 @@ def group_hierarchy(draws: DataFrame) -> DataFrame:
 
 
 def group_hierarchy_overview(draws: DataFrame) -> DataFrame:
-    return group_hierarchy(draws).agg(F.count("*").alias("groups"), F.avg("members").alias("avg_members"), F.median("members").alias("median_members"), F.avg("draws").alias("avg_draws"), F.median("draws").alias("median_draws"))
+    groups = stored(group_hierarchy(draws).select("members", "draws"), "groups")
+    medians = grouped_quantiles(groups, [], {"median_members": ("members", 0.5), "median_draws": ("draws", 0.5)}).first()
+    out = groups.agg(F.count("*").alias("groups"), F.avg("members").alias("avg_members"), F.avg("draws").alias("avg_draws"))
+    return out.select("groups", "avg_members", F.lit(medians[0]).cast("double").alias("median_members"), "avg_draws", F.lit(medians[1]).cast("double").alias("median_draws"))
 
 
 def group_concentration(labelled: DataFrame) -> DataFrame:
@@ -64,14 +68,16 @@ def label_flow(labelled: DataFrame) -> DataFrame:
 def behaviour(draws: DataFrame, low: float = 0.10) -> DataFrame:
     """Per member counts and stakes, and whether the mean stake is at or below the cohort's lowest tenth."""
     per = draws.groupBy("member_id").agg(F.count("*").alias("rows"), F.countDistinct("draw_id").alias("draws"), F.avg("total_bet_amount").alias("avg_stake"), F.sum("net_result").alias("net"), F.array_join(F.array_sort(F.collect_set("ccs_id")), ",").alias("groups_seen"))
-    cut = per.agg(F.percentile("avg_stake", low)).first()[0]
+    per = stored(per, "behaviour")
+    cut = quantiles(per, "avg_stake", {"low": low}).first()[0]
     return per.withColumn("low_bettor", F.col("avg_stake") <= F.lit(cut))
 
 
-def trajectory(draws: DataFrame) -> DataFrame:
+def trajectory(draws: DataFrame, large: int = LARGE) -> DataFrame:
     """Each draw's number in its member's history and the running net result."""
-    w = W.partitionBy("member_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("draw_id"))
-    return draws.select("member_id", "draw_id", F.row_number().over(w).cast("long").alias("sequence"), F.sum("net_result").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("running_net"), "total_bet_amount")
+    rows = draws.select("member_id", "draw_id", "ts", "net_result", "total_bet_amount")
+    out = along(rows, ["member_id"], ["ts", "draw_id"], running={"running_net": "net_result"}, sequence="sequence", large=large)
+    return out.select("member_id", "draw_id", "sequence", "running_net", "total_bet_amount")
 
 
 def stake_slopes(draws: DataFrame) -> DataFrame:
@@ -92,15 +98,14 @@ def repeated_patterns(history: DataFrame, top: int = 5) -> DataFrame:
     return history.join(F.broadcast(members.select("member_id")), "member_id", "left_semi").groupBy("member_id").agg(F.count("*").alias("draws"), F.countDistinct("bet_template").alias("templates")).withColumn("all_same", F.col("templates") == 1)
 
 
-def suspicion(members: DataFrame) -> DataFrame:
-    """Sum of ranks: little time between draws, even stakes and much reuse rank high."""
+def suspicion(members: DataFrame, dense: bool = False) -> DataFrame:
+    """Sum of ranks: little time between draws, even stakes and much reuse rank high. Equal values share a rank, the
+    smallest; dense ranks count the distinct values before instead of the members."""
     keep = members.where("avg_inter_draw_seconds IS NOT NULL AND stake_cv IS NOT NULL AND template_reuse_ratio IS NOT NULL")
-    from drawlens.operators.ranking import running_counts
-
     out = keep
     for name, by in (("r_gap", F.col("v")), ("r_cv", F.col("v")), ("r_reuse", -F.col("v"))):
         source = {"r_gap": "avg_inter_draw_seconds", "r_cv": "stake_cv", "r_reuse": "template_reuse_ratio"}[name]
-        values = running_counts(keep.groupBy(F.col(source).alias("v")).agg(F.count("*").alias("k")), by, {"before": "k"}).select("v", (F.col("before") + 1).cast("long").alias(name))
+        values = running_counts(keep.groupBy(F.col(source).alias("v")).agg((F.lit(1) if dense else F.count("*")).cast("long").alias("k")), by, {"before": "k"}).select("v", (F.col("before") + 1).cast("long").alias(name))
         out = out.join(values, out[source] == values["v"]).drop("v")
     return out.withColumn("suspicion", F.col("r_gap") + F.col("r_cv") + F.col("r_reuse"))
 
@@ -110,8 +115,13 @@ def column_profile(df: DataFrame) -> DataFrame:
     def flat(c: str, kind: str):
         return F.to_json(c) if kind.startswith(("array", "map", "struct")) else F.col(c)
 
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.count_distinct(flat(c, kind)).alias("distinct")) for c, kind in df.dtypes]
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    out = None
+    for c, kind in df.dtypes:  # a scan of the one column for each, so that no row is copied once per column
+        values = df.select(flat(c, kind).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+        missing = F.try_divide(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).cast("double"), F.sum("n"))
+        row = values.agg(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), missing.alias("missing"), F.count("v").alias("distinct"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def band_matches(labels: DataFrame, draws: DataFrame, days: int = 1) -> DataFrame:
@@ -144,14 +154,24 @@ def stratified_sample(df: DataFrame, label: str, n: int, order) -> DataFrame:
 
 def comparison(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Mean, median and deviation of each feature by class."""
-    rows = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std")) for c in features]
-    return df.groupBy(label).agg(F.array(*rows).alias("r")).select(label, F.inline("r"))
+    df = stored(df.select(label, *features), "compared")
+    medians = grouped_quantiles(df, [label], {f"_m{i}": (c, 0.5) for i, c in enumerate(features)}).withColumnRenamed(label, "_l")
+    plain = df.groupBy(label).agg(*(f(c).alias(f"_{n}{i}") for i, c in enumerate(features) for n, f in (("a", F.avg), ("s", F.stddev_samp))))
+    met = plain.join(medians, F.col(label).eqNullSafe(F.col("_l")), "left")  # one row for each class
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"_a{i}").alias("mean"), F.col(f"_m{i}").alias("median"), F.col(f"_s{i}").alias("std")) for i, c in enumerate(features)]
+    return met.select(label, F.inline(F.array(*rows)))
 
 
 def aggregate_by(df: DataFrame, key: list[str], spec: dict[str, list[str]]) -> DataFrame:
     """Columns col_fn for each function name of each column."""
-    known = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "median": F.median, "std": F.stddev_samp, "nunique": F.count_distinct}
-    return df.groupBy(*key).agg(*(known[f](c).alias(f"{c}_{f}") for c, fs in spec.items() for f in fs))
+    known = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "nunique": F.count_distinct}
+    asked = [(c, f) for c, fs in spec.items() for f in fs]
+    out = df.groupBy(*key).agg(F.count("*").alias("_rows"), *(known[f](c).alias(f"{c}_{f}") for c, f in asked if f != "median"))
+    medians = {f"{c}_median": (c, 0.5) for c, f in asked if f == "median"}
+    if medians:
+        found = grouped_quantiles(df, key, medians).withColumnsRenamed({k: f"_k_{k}" for k in key})
+        out = out.join(found, same(key), "left")
+    return out.select(*key, *(f"{c}_{f}" for c, f in asked))
 
 
 def dedupe_latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -159,5 +179,6 @@ def dedupe_latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def payload_stats(draws: DataFrame) -> DataFrame:
-    size = F.size("bets")
-    return draws.agg(F.count("*").alias("rows"), F.min(size).alias("min_bets"), F.median(size).alias("median_bets"), F.max(size).alias("max_bets"), F.count_if(size == 0).alias("empty_rows"), F.count_if(F.col("ts").isNull()).alias("no_time"))
+    rows = stored(draws.select(F.size("bets").alias("n"), F.col("ts").isNull().alias("no_time")), "payload")
+    median = quantiles(rows, "n", {"m": 0.5}).first()[0]
+    return rows.agg(F.count("*").alias("rows"), F.min("n").alias("min_bets"), F.lit(median).cast("double").alias("median_bets"), F.max("n").alias("max_bets"), F.count_if(F.col("n") == 0).alias("empty_rows"), F.count_if("no_time").alias("no_time"))

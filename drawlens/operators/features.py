@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlens.functions.scalars import finite, log_clip, ratio
+from drawlens.operators.sequences import LARGE, distinct_counts, grouped_quantiles, large_groups, same
 
 # Names and order of the model's features, the style features, and the columns on a log scale.
 FEATURES = (
@@ -25,7 +26,6 @@ LOG_FEATURES = (
     "total_staked", "avg_stake_per_draw", "median_stake_per_draw", "stake_std", "max_stake_per_draw", "stake_cv",
     "avg_bet_amount_std_in_draw", "avg_bet_amount_mean_in_draw", "std_net_result", "pnl_volatility",
 )
-LOG_FEATURES_WIDE = (*LOG_FEATURES, "ccs_total_staked", "ccs_avg_bet")
 LOG_STYLE = ("draws_played", "avg_stake_per_draw", "max_template_reuse", "avg_inter_draw_seconds")
 
 #: What each statistic of a history column is called.
@@ -42,25 +42,44 @@ MEASURES = {
     "position_coverage": {"avg": "avg_position_coverage"},
     "net_result": {"avg": "avg_net_result", "median": "median_net_result", "std": "std_net_result", "sum": "total_net_result"},
 }
-STATISTICS = {"sum": F.sum, "avg": F.avg, "median": F.median, "std": F.stddev_samp, "max": F.max, "min": F.min}
+STATISTICS = {"sum": F.sum, "avg": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
 DISTINCT = {"draws_played": "draw_id", "sessions_played": "session_id", "active_days": "_day", "unique_templates": "bet_template"}
 
 
-def _distinct(name: str, column: str) -> Column:
-    # one member's values are few, and a set needs no second pass over the rows as count(DISTINCT) with several columns does
-    return F.size(F.collect_set(column)).cast("long").alias(name)
-
-
-def core_features(history: DataFrame) -> DataFrame:
-    """Everything that one grouping by member gives, with the ratios made of it."""
-    plain = [F.coalesce(STATISTICS[s](c).cast("double"), F.lit(0.0)).alias(name) for c, names in MEASURES.items() for s, name in names.items()]
-    out = history.withColumn("_day", F.to_date("ts")).groupBy("member_id").agg(
-        *(_distinct(n, c) for n, c in DISTINCT.items()),
-        *plain,
+def _sums(rows: DataFrame) -> list[Column]:
+    """What is merged from partial results, so that no member's rows are held together."""
+    return [
+        *(F.coalesce(STATISTICS[s](c).cast("double"), F.lit(0.0)).alias(name) for c, names in MEASURES.items() for s, name in names.items() if s != "median"),
         F.avg(F.coalesce((F.col("net_result") > 0).cast("double"), F.lit(0.0))).alias("positive_draw_rate"),
-        F.mode("ccs_id", True).alias("primary_ccs_id"),
-        F.max("event_fraud_flag").alias("event_fraud_flag") if "event_fraud_flag" in history.columns else F.lit(0).alias("event_fraud_flag"),
-    )
+        F.max("event_fraud_flag").alias("event_fraud_flag") if "event_fraud_flag" in rows.columns else F.lit(0).alias("event_fraud_flag"),
+    ]
+
+
+def _of_members(rows: DataFrame) -> DataFrame:
+    """All in one grouping: for members whose rows (LARGE at most) a task may hold."""
+    held = [F.coalesce(F.median(c).cast("double"), F.lit(0.0)).alias(names["median"]) for c, names in MEASURES.items() if "median" in names]
+    sets = [F.size(F.collect_set(c)).cast("long").alias(n) for n, c in DISTINCT.items()]
+    return rows.groupBy("member_id").agg(*sets, *held, *_sums(rows), F.mode("ccs_id", True).alias("primary_ccs_id"))
+
+
+def _of_large_members(rows: DataFrame, large: int) -> DataFrame:
+    """The same for members with more rows: medians by running counts, distinct values in two groupings."""
+    medians = {names["median"]: (c, 0.5) for c, names in MEASURES.items() if "median" in names}
+    out = rows.groupBy("member_id").agg(*_sums(rows)).join(grouped_quantiles(rows, ["member_id"], medians, large), "member_id", "left").fillna(0.0, list(medians))
+    out = out.join(distinct_counts(rows, ["member_id"], DISTINCT), "member_id", "left")
+    groups = rows.where("ccs_id IS NOT NULL").groupBy("member_id", "ccs_id").agg(F.count("*").alias("n"))
+    return out.join(groups.groupBy("member_id").agg(F.min_by("ccs_id", F.struct(-F.col("n"), "ccs_id")).alias("primary_ccs_id")), "member_id", "left")
+
+
+def core_features(history: DataFrame, large: int = LARGE) -> DataFrame:
+    """Everything that grouping by member gives, with the ratios made of it. Members with more than `large` rows are
+    grouped apart, in a way that holds none of them in one task."""
+    rows, many = history.withColumn("_day", F.to_date("ts")), large_groups(history, ["member_id"], large)
+    if many is None:
+        out = _of_members(rows)
+    else:
+        few, much = (rows.join(many, same(["member_id"]), how) for how in ("left_anti", "left_semi"))
+        out = _of_members(few).unionByName(_of_large_members(much, large))
     return out.withColumns(
         {
             "stake_cv": ratio(F.col("stake_std"), F.col("avg_stake_per_draw")),
@@ -90,13 +109,13 @@ def ccs_features(history: DataFrame) -> DataFrame:
     )
 
 
-def member_features(history: DataFrame) -> DataFrame:
+def member_features(history: DataFrame, large: int = LARGE) -> DataFrame:
     """The 41 features with member_id, primary_ccs_id and event_fraud_flag.
 
     The first three groupings share one exchange by member; groups join by their id, small side first if Spark
     finds it small.
     """
-    out = core_features(history).join(session_features(history), "member_id", "left").join(template_features(history), "member_id", "left")
+    out = core_features(history, large).join(session_features(history), "member_id", "left").join(template_features(history), "member_id", "left")
     out = out.join(ccs_features(history).withColumnRenamed("ccs_id", "primary_ccs_id"), "primary_ccs_id", "left")
     filled = {"avg_draws_per_session": 1.0, "max_template_reuse": 1, "ccs_player_count": 0, "ccs_total_staked": 0.0, "ccs_avg_bet": 0.0}
     return out.fillna(filled).select("member_id", "primary_ccs_id", "event_fraud_flag", *FEATURES)

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlens.functions.scalars import micros, ratio
-from drawlens.operators.ranking import quantiles
+from drawlens.operators.sequences import distinct_counts, grouped_quantiles
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """For each column: count, mean, std, min, quartiles and max, the quartiles interpolated as usual."""
-    rows = []
-    for c in columns:
-        plain = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).first()
-        q = quantiles(df, c, {"q25": 0.25, "median": 0.5, "q75": 0.75}).first()
-        rows.append((c, plain["count"], plain["mean"], plain["std"], plain["min"], q.q25, q.median, q.q75, plain["max"]))
+    shares = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    q = grouped_quantiles(df, [], {f"{n}_{i}": (c, p) for i, c in enumerate(columns) for n, p in shares.items()}).first()
+    plain = df.agg(*(f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)))).first()
+    number = lambda x: None if x is None else float(x)
+    rows = [(c, plain[f"count_{i}"], *(number(plain[f"{n}_{i}"]) for n in ("mean", "std", "min")), *(q[f"{n}_{i}"] for n in shares), number(plain[f"max_{i}"])) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "feature string, count long, mean double, std double, min double, q25 double, median double, q75 double, max double")
 
 
@@ -47,7 +47,7 @@ def full_timeline(history: DataFrame) -> DataFrame:
     """Descriptive means of each member over all its rows, without any cutoff."""
     means = {"avg_stake_per_draw": "total_bet_amount", "avg_nonzero_bets_per_draw": "nonzero_bets_per_draw", "avg_max_bet_share": "max_bet_share_in_draw", "avg_entropy": "entropy_in_draw", "avg_gini": "gini_in_draw", "avg_tiny_bet_ratio": "tiny_bet_ratio_in_draw", "avg_position_coverage": "position_coverage"}
     stake = F.coalesce(F.stddev_samp("total_bet_amount"), F.lit(0.0)) / F.greatest(F.avg("total_bet_amount"), F.lit(1e-9))
-    out = history.groupBy("member_id").agg(F.size(F.collect_set("draw_id")).cast("long").alias("draws_played"), *(F.avg(c).alias(new) for new, c in means.items()), stake.alias("stake_cv"), F.avg((F.col("net_result") > 0).cast("double")).alias("positive_draw_rate"), F.count("*").alias("rows"))
+    out = history.groupBy("member_id").agg(F.count_distinct("draw_id").alias("draws_played"), *(F.avg(c).alias(new) for new, c in means.items()), stake.alias("stake_cv"), F.avg((F.col("net_result") > 0).cast("double")).alias("positive_draw_rate"), F.count("*").alias("rows"))
     reuse = history.groupBy("member_id", "bet_template").agg(F.count("*").alias("k")).groupBy("member_id").agg(F.count("*").alias("unique_templates"), F.max("k").alias("max_template_reuse"))
     out = out.join(reuse, "member_id", "left")
     return out.withColumn("template_reuse_ratio", F.greatest(1 - ratio(F.col("unique_templates"), F.col("rows")), F.lit(0.0)))
@@ -57,10 +57,10 @@ def style_table(labelled: DataFrame) -> DataFrame:
     """Each member's counts, sums, means and deviations with the label as number and as text; what is not finite is 0."""
     finite = lambda c: F.coalesce(F.when(F.abs(c) < float("inf"), c), F.lit(0.0))
     out = labelled.groupBy("member_id").agg(
-        F.size(F.collect_set("draw_id")).cast("long").alias("draws_played"), F.size(F.collect_set("session_id")).cast("long").alias("sessions_played"),
         F.sum("total_bet_amount").alias("total_staked"), F.avg("total_bet_amount").alias("avg_total_bet_amount"), F.stddev_samp("total_bet_amount").alias("std_total_bet_amount"),
         F.avg("entropy_in_draw").alias("avg_entropy"), F.avg("tiny_bet_ratio_in_draw").alias("avg_tiny_bet_ratio"), F.sum("net_result").alias("total_net_result"), F.max("event_label").alias("fraud_flag"),
     )
+    out = out.join(distinct_counts(labelled, ["member_id"], {"draws_played": "draw_id", "sessions_played": "session_id"}), "member_id", "left")
     doubles = [c for c, kind in out.dtypes if kind == "double"]
     return out.withColumns({c: finite(F.col(c)) for c in doubles} | {"fraud_label": F.when(F.col("fraud_flag") == 1, "fraud").otherwise("normal")})
 

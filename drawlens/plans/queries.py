@@ -19,6 +19,7 @@ from drawlens.operators import checks, explore, features, history, metrics, rank
 from drawlens.plans import oracles as O
 from drawlens.plans import scoring
 from drawlens.sources import tables
+from drawlens.sources.stages import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,12 +50,17 @@ def _featured(spark, d):
     return history.with_draw_features(tables.draws(spark, d))
 
 
+def _marked(spark, d):
+    """Labelled draws with their features, stored once as several passes read them."""
+    return stored(history.with_event_label(_featured(spark, d).drop("bets"), tables.event_labels(spark, d)), "marked")
+
+
 def _labelled(spark, d):
-    return history.with_event_label(history.with_gaps(_featured(spark, d)), tables.event_labels(spark, d))
+    return history.with_gaps(_marked(spark, d))
 
 
 def _history(spark, d):
-    return history.before_events(_labelled(spark, d))
+    return stored(history.gaps_before_events(_marked(spark, d)), "history")
 
 
 def _members(spark, d):
@@ -62,12 +68,12 @@ def _members(spark, d):
 
 
 def _scored(spark, d):
-    m = features.core_features(_history(spark, d))
+    m = stored(features.core_features(_history(spark, d)), "members")
     b = m.agg(F.min("stake_cv"), F.max("stake_cv"), F.min("total_staked"), F.max("total_staked")).first()
     a = S.normalised(F.col("stake_cv"), F.lit(b[0]), F.lit(b[1]))
     s = S.normalised(F.col("total_staked"), F.lit(b[2]), F.lit(b[3]))
     out = m.select("member_id", "draws_played", "event_fraud_flag", "primary_ccs_id", F.round(a, 6).alias("anomaly_score"), F.round(s, 6).alias("supervised_score"))
-    return out.withColumn("risk_score", F.round(0.6 * F.col("anomaly_score") + 0.4 * F.col("supervised_score"), 6))
+    return stored(out.withColumn("risk_score", F.round(0.6 * F.col("anomaly_score") + 0.4 * F.col("supervised_score"), 6)), "scored")
 
 
 IN_DRAW = ("tiny_bet_ratio_in_draw", "max_bet_share_in_draw", "bet_amount_std_in_draw", "bet_amount_mean_in_draw", "entropy_in_draw", "gini_in_draw", "position_coverage")
@@ -166,6 +172,12 @@ def pre_event_history(spark, d):
     return history.before_events(history.with_event_label(draws, tables.event_labels(spark, d))).select("member_id", "draw_id", "event_fraud_flag")
 
 
+@query(f"WITH {O.HISTORY} SELECT member_id, draw_id, event_fraud_flag, {r('inter_draw_seconds')} FROM history")
+def pre_event_history_single_pass(spark, d):
+    draws = tables.draws(spark, d).select("member_id", "draw_id", "ts")
+    return history.gaps_before_events(history.with_event_label(draws, tables.event_labels(spark, d))).select("member_id", "draw_id", "event_fraud_flag", "inter_draw_seconds")
+
+
 @query(f"WITH {O.HISTORY} SELECT count(DISTINCT member_id) AS fraud_player_count, count(DISTINCT member_id) FILTER (member_id NOT IN (SELECT member_id FROM history)) AS dropped_positive_count FROM first_events")
 def label_loss(spark, d):
     labelled = history.with_event_label(tables.draws(spark, d).select("member_id", "draw_id", "ts"), tables.event_labels(spark, d))

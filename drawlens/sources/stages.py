@@ -15,10 +15,23 @@ def stage_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; it stays until the folder is emptied."""
+    """df written as Parquet in the shared folder and read again; it stays until discard() or until that is emptied."""
     path = f"{stage_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote; only for frames that nothing lazy still reads."""
+    for df in frames:
+        remove(df.sparkSession, df._stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
 
 
 def _path(spark: SparkSession, path: str):
