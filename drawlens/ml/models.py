@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from drawlens.operators.products import covariance_matrix
 from drawlens.operators.ranking import positions
 from drawlens.sources.stages import stored
 
@@ -49,26 +50,24 @@ class Ellipsoid:
     precision: np.ndarray
 
     def distance(self, vector: Column) -> Column:
-        mean, precision = self.mean, self.precision
+        ellipsoid = self
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            d = np.stack(x.to_numpy()) - mean if len(x) else np.zeros((0, len(mean)))
-            return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, precision, d), 0)))
+            return pd.Series(ellipsoid.of(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
         return score(vector)
 
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        d = rows - self.mean
+        return np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, self.precision, d), 0))
+
 
 def fit_ellipsoid(frame: DataFrame, vector: Column, n: int) -> Ellipsoid:
     """Covariance from sums of products: one pass, one row of n * (n + 1) / 2 numbers to the driver."""
-    x = frame.select(vector.alias("x"))
-    means = x.agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(n))).first()
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = x.agg(*(F.covar_samp(F.col("x")[i], F.col("x")[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    cov = np.zeros((n, n))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = sums[f"c{i}_{j}"] or 0.0
-    return Ellipsoid(np.array([means[f"m{i}"] or 0.0 for i in range(n)]), np.linalg.pinv(cov, hermitian=True))
+    columns = [f"x{i}" for i in range(n)]
+    mean, cov = covariance_matrix(frame.select(vector.alias("x")).select(*(F.col("x")[i].alias(c) for i, c in enumerate(columns))), columns)
+    return Ellipsoid(mean, np.linalg.pinv(cov, hermitian=True))
 
 
 @dataclass(frozen=True)
@@ -104,7 +103,10 @@ def fit_centres(frame: DataFrame, vector: Column, k: int = 4, tries: int = 10, s
         rows.unpersist()
 
 
-def cluster_count(n: int) -> int:
+def cluster_count(n: int | Column) -> int | Column:
+    """Clusters for so many members (a number or a column): an eighth of them, within 2 and 4."""
+    if isinstance(n, Column):
+        return F.least(F.lit(4), F.greatest(F.lit(2), F.when(n >= 16, F.floor(n / 8)).otherwise(2))).cast("int")
     return min(4, max(2, n // 8 if n >= 16 else 2))
 
 
@@ -252,20 +254,20 @@ class Forest:
 
         @F.pandas_udf("double")
         def run(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=float)
-            rows, depth = np.stack(x.to_numpy()), np.zeros(len(x))
-            at = np.arange(len(x))
-            for feature, value, child in zip(forest.feature, forest.value, forest.child, strict=True):
-                node = np.zeros(len(x), np.int64)
-                while (inner := feature[node] >= 0).any():
-                    i = at[inner]
-                    node[i] = child[node[i]] + (rows[i, feature[node[i]]] > value[node[i]])
-                depth += value[node]
-            return pd.Series(2.0 ** (-depth / len(forest.feature) / max(_c(forest.sample), 1e-9)))
+            return pd.Series(forest.of(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
         return run(vector)
 
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        depth, at = np.zeros(len(rows)), np.arange(len(rows))
+        for feature, value, child in zip(self.feature, self.value, self.child, strict=True):
+            node = np.zeros(len(rows), np.int64)
+            while (inner := feature[node] >= 0).any():
+                i = at[inner]
+                node[i] = child[node[i]] + (rows[i, feature[node[i]]] > value[node[i]])
+            depth += value[node]
+        return 2.0 ** (-depth / len(self.feature) / max(_c(self.sample), 1e-9))
+
 
 def _grow(rows: np.ndarray, rng: np.random.Generator) -> tuple[list[int], list[float], list[int]]:
     feature, value, child, limit = [0], [0.0], [0], math.ceil(math.log2(max(2, len(rows))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drawlens.functions import scalars as S
 from drawlens.operators.ranking import quantiles, running_counts, top_per_key
-from drawlens.operators.sequences import LARGE, along, grouped_quantiles, same
+from drawlens.operators.sequences import LARGE, along, distinct_counts, grouped_quantiles, same
 from drawlens.sources.stages import stored
 
 
@@ -92,6 +92,20 @@ def template_reuse(history: DataFrame) -> DataFrame:
     return out.withColumn("reuse_ratio", 1 - F.col("templates") / F.col("rows"))
 
 
+def draw_summary(draws: DataFrame) -> DataFrame:
+    """Per draw: rows, members, stakes, bets, distinct templates and the mean stake of a bet."""
+    out = draws.groupBy("draw_id").agg(F.count("*").alias("rows"), F.count_distinct("member_id").alias("members"), F.sum("total_bet_amount").alias("staked"), F.sum("bets_per_draw").cast("long").alias("bets"))
+    out = out.join(distinct_counts(draws, ["draw_id"], {"templates": "bet_template"}), "draw_id", "left")
+    return out.withColumn("mean_bet", F.try_divide("staked", F.nullif(F.col("bets"), F.lit(0))))
+
+
+def template_statistics(history: DataFrame) -> DataFrame:
+    """Templates used once or again, by one member or by several: how many, their rows, most and mean uses."""
+    uses = history.groupBy("bet_template", "member_id").agg(F.count("*").alias("k")).groupBy("bet_template").agg(F.sum("k").alias("uses"), F.count("member_id").alias("members"))
+    out = uses.groupBy((F.col("uses") > 1).alias("repeated"), (F.col("members") > 1).alias("shared"))
+    return out.agg(F.count("*").alias("templates"), F.sum("uses").cast("long").alias("rows"), F.max("uses").alias("most_uses"), F.avg("uses").alias("mean_uses"))
+
+
 def repeated_patterns(history: DataFrame, top: int = 5) -> DataFrame:
     """For the members with most draws: distinct templates, and whether all draws are the same."""
     members = history.groupBy("member_id").count().orderBy(F.desc("count"), "member_id").limit(top)

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlens.operators.ranking import positions, quantiles, running_counts
+from drawlens.operators.sequences import grouped_quantiles
 from drawlens.sources.stages import stored
 
+#: Rows of a side up to which the exact law is worked out.
+EXACT = 10_000
+
 
 def bucket_sizes(n: int, shares: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20), counts: tuple[int, ...] = (50, 500)) -> list[tuple[str, int]]:
     """Names and sizes of review buckets; a share of the cohort is at least one member."""
@@ -96,6 +102,18 @@ def separation(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return out.select("feature", F.greatest(auc, 1 - auc).alias("auc"), "ks")
 
 
+def separation_table(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """separation with each feature's size, mean and median in both classes (rows where it is there)."""
+    names = {1: "positive", 0: "negative"}
+    split = df.select(*(F.when(F.col(label) == v, F.col(c).cast("double")).alias(f"x{i}_{n}") for i, c in enumerate(features) for v, n in names.items()))
+    columns = [f"x{i}_{n}" for i in range(len(features)) for n in names.values()]
+    plain = split.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("mean", F.avg)))).first()
+    middle = grouped_quantiles(split, [], {c: (c, 0.5) for c in columns}).first()
+    rows = [(c, *(plain[f"{k}_x{i}_{n}"] for k in ("n", "mean") for n in names.values()), *(middle[f"x{i}_{n}"] if middle else None for n in names.values())) for i, c in enumerate(features)]
+    kinds = ", ".join(f"{k}_{n} {'long' if k == 'n' else 'double'}" for k in ("n", "mean", "median") for n in names.values())
+    return df.sparkSession.createDataFrame(rows, f"feature string, {kinds}").join(separation(df, features, label), "feature", "left")
+
+
 def confusion(scored: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
     hit, pos = F.col(score) >= threshold, F.col(label) == 1
     return scored.agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & ~pos).alias("tn"), F.count_if(~hit & pos).alias("fn"))
@@ -110,16 +128,10 @@ def effect_sizes(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair of columns, over rows where both are there."""
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr")) for i, a in enumerate(columns) for b in columns[i:]]
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-
-
 def drift(reference: DataFrame, current: DataFrame, columns: list[str], small: int = 1000, wasserstein_limit: float = 0.1) -> DataFrame:
     """For each column: ks, its p_value, wasserstein, that over the reference's deviation, and drifted.
 
-    Up to `small` rows a column drifts by the two-sample test at 5 % (asymptotic law), beyond that by the normalised
+    Up to `small` rows a column drifts by the two-sample test at 5 % (exact law), beyond that by the normalised
     distance. Both come from one row per distinct value with the running difference of the two distributions, made by
     ranges of values, so no task orders a column. NaN counts as null.
     """
@@ -134,11 +146,40 @@ def drift(reference: DataFrame, current: DataFrame, columns: list[str], small: i
     out = cut.groupBy("feature", "n", "m", "sd").agg(F.max(gap).alias("ks"), F.sum(F.col("v") * (before - gap)).alias("wasserstein"))
     out = out.withColumn("wasserstein", F.greatest("wasserstein", F.lit(0.0)))
     out = out.withColumn("distance", F.coalesce(F.try_divide(F.col("wasserstein"), F.nullif("sd", F.lit(0.0))), F.col("wasserstein")))
-    out = out.withColumn("p_value", ks_p_value(F.col("ks"), F.col("n"), F.col("m")))
+    law = F.when(F.greatest("n", "m") <= small, exact_p_value(F.col("ks"), F.col("n"), F.col("m")))
+    out = out.withColumn("p_value", F.coalesce(law, ks_p_value(F.col("ks"), F.col("n"), F.col("m"))))
     drifted = F.when(F.greatest("n", "m") <= small, F.col("p_value") < 0.05).otherwise(F.col("distance") >= wasserstein_limit)
     return out.select("feature", F.col("n").cast("long").alias("n_reference"), F.col("m").cast("long").alias("n_current"), "ks", "p_value", "wasserstein", "distance", drifted.alias("drifted"))
 
 
+def lattice_p_value(ks: float, n: int, m: int) -> float:
+    """Of the two-sample test: the chance that a random order of n and m values has a difference of ks or more.
+
+    An order is a path from (0, 0) to (n, m); p is the chance that a path has stayed below the difference, given where
+    it is, diagonal after diagonal. Differences are whole multiples of 1 / (n m), so they are compared exactly.
+    """
+    limit, i = round(ks * n * m), np.arange(n + 1)
+    p = np.zeros(n + 1)
+    p[0] = float(limit > 0)
+    for step in range(1, n + m + 1):
+        j = step - i
+        before = np.concatenate(([0.0], p[:-1]))
+        p = (i * before + j * p) / step
+        p[(j < 0) | (j > m) | (np.abs(i * m - j * n) >= limit)] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - p[n])))
+
+
+def exact_p_value(ks: Column, n: Column, m: Column) -> Column:
+    """lattice_p_value of each row (a row for each column compared); null for an empty side."""
+
+    @F.pandas_udf("double")
+    def law(ks: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        known = lambda x, a, b: x is not None and x == x and 0 < a <= EXACT and 0 < b <= EXACT
+        return pd.Series([lattice_p_value(float(x), int(a), int(b)) if known(x, a, b) else None for x, a, b in zip(ks, n.fillna(0), m.fillna(0), strict=True)], dtype="float64")
+
+    return law(ks.cast("double"), n.cast("long"), m.cast("long"))
+
+
 def ks_p_value(ks: Column, n: Column, m: Column) -> Column:
     """Of the two-sample test: the Kolmogorov law at ks * sqrt(n m / (n + m))."""
     x = ks * F.sqrt(n * m / (n + m))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from drawlens.functions import bets as B
 from drawlens.functions import scalars as S
 from drawlens.ml import models
-from drawlens.operators import checks, explore, features, history, metrics, ranking
+from drawlens.operators import checks, explore, features, history, metrics, products, ranking
 from drawlens.plans import oracles as O
 from drawlens.plans import scoring
 from drawlens.sources import tables
@@ -321,7 +321,7 @@ def effect_size(spark, d):
 
 @query(f"WITH {O.MEMBERS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM members" for i, a in enumerate(SEPARATED) for b in SEPARATED[i:]))
 def correlation_matrix(spark, d):
-    return metrics.correlations(_members(spark, d), list(SEPARATED))
+    return products.correlations(_members(spark, d), list(SEPARATED))
 
 
 @query(f"WITH {O.MEMBERS} " + " UNION ALL ".join(f"SELECT event_fraud_flag, '{c}' AS feature, round(avg({c}), 6) AS mean, round(median({c})::DOUBLE, 6) AS median, round(stddev_samp({c}), 6) AS std FROM members GROUP BY 1" for c in SEPARATED))
@@ -450,7 +450,11 @@ def payload_stats(spark, d):
     return explore.payload_stats(tables.draws(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('min_row_count', true), ('required_columns', true), ('member_id_not_null', true), ('draw_id_not_null', true), ('bets_parse', true), ('time_parses', true), ('label_columns', true)) t(\"check\", passed)")
+@query(
+    f"""WITH {O.DRAWS}, k AS (SELECT count(*) AS n, count_if(member_id IS NULL) AS no_member, count_if(draw_id IS NULL) AS no_draw, count(ts) AS timed, count_if(bets IS NULL) AS no_bets FROM draws)
+    SELECT unnest(['min_row_count', 'required_columns', 'member_id_not_null', 'draw_id_not_null', 'bets_parse', 'time_parses', 'label_columns']) AS "check",
+    unnest([n >= 100, (SELECT count(*) FROM (DESCRIBE draws) WHERE column_name IN ('member_id', 'draw_id', 'total_bet_amount', 'win_points', 'bets')) = 5, no_member = 0, no_draw = 0, no_bets = 0, timed > 0, true]) AS passed FROM k"""
+)
 def validation_report(spark, d):
     raw = tables.draws(spark, d).withColumn("bets", F.to_json("bets"))
     return checks.validation_report(raw, [" DRAW_ID ", "Member_ID"], min_rows=100)

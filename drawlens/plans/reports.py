@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from drawlens.functions import scalars as S
 from drawlens.ml import models
-from drawlens.operators import checks, cohort, explore, features, history, metrics, profiles, ranking
+from drawlens.operators import checks, cohort, explore, features, history, kept, metrics, peers, products, profiles, ranking
 from drawlens.plans import oracles as O
-from drawlens.plans.queries import _featured, _history, _labelled, _members, _scored, query, r
-from drawlens.sources import tables
+from drawlens.plans import scoring
+from drawlens.plans.queries import ORACLES, QUERIES, SEPARATED, _featured, _history, _labelled, _marked, _members, _scored, query, r
+from drawlens.sources import buckets, records, tables
+from drawlens.sources.stages import stage_dir, stored
 
 TIERED = f"WITH {O.SCORED}, q AS (SELECT quantile_cont(risk_score, 0.8) AS a, quantile_cont(risk_score, 0.95) AS b FROM risk), tiered AS (SELECT risk.*, CASE WHEN risk_score <= a THEN 'LOW' WHEN risk_score <= b THEN 'MEDIUM' ELSE 'HIGH' END AS risk_tier FROM risk, q)"
 
@@ -61,9 +65,9 @@ def label_percentiles(spark, d):
     return cohort.label_percentiles(_scored(spark, d), "anomaly_score", "event_fraud_flag")
 
 
-@query(f"WITH {O.SCORED} SELECT member_id, round(0.6 * anomaly_score / nullif(risk_score, 0), 3) AS anomaly_score_share, round(0.4 * supervised_score / nullif(risk_score, 0), 3) AS supervised_score_share FROM risk WHERE draws_played >= 10")
+@query(f"WITH {O.SCORED} SELECT member_id, round(0.6 * anomaly_score / nullif(risk_score, 0), 3) AS anomaly_score_share, round(0.4 * supervised_score / nullif(risk_score, 0), 3) AS supervised_score_share FROM risk")
 def contribution_shares(spark, d):
-    out = cohort.contribution_shares(_scored(spark, d).where("draws_played >= 10"), {"anomaly_score": 0.6, "supervised_score": 0.4}, "risk_score")
+    out = cohort.contribution_shares(_scored(spark, d), {"anomaly_score": 0.6, "supervised_score": 0.4}, "risk_score")
     return out.select("member_id", "anomaly_score_share", "supervised_score_share")
 
 
@@ -100,13 +104,19 @@ PREDICTED = ("anomaly_score", "supervised_score", "risk_score")
 
 
 @query(
-    f"""WITH {O.SCORED}, t AS (UNPIVOT (SELECT (right(member_id, 1)::INT % 2 = 0)::INT AS side, {', '.join(PREDICTED)} FROM risk) ON {', '.join(PREDICTED)} INTO NAME feature VALUE v),
+    f"""WITH RECURSIVE {O.SCORED}, t AS (UNPIVOT (SELECT (right(member_id, 1)::INT % 2 = 0)::INT AS side, {', '.join(PREDICTED)} FROM risk) ON {', '.join(PREDICTED)} INTO NAME feature VALUE v),
     sizes AS (SELECT feature, sum(side) AS n, sum(1 - side) AS m, stddev_pop(v) FILTER (side = 1) AS sd FROM t GROUP BY 1),
     c AS (SELECT feature, v, sum(side) AS a, sum(1 - side) AS b FROM t GROUP BY ALL),
     w AS (SELECT feature, v, n, m, sd, abs(sum(a) OVER w / n - sum(b) OVER w / m) AS gap, coalesce(lead(v) OVER (PARTITION BY feature ORDER BY v) - v, 0) AS step FROM c JOIN sizes USING (feature) WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     o AS (SELECT feature, max(n)::BIGINT AS n_reference, max(m)::BIGINT AS n_current, max(gap) AS ks, sum(gap * step) AS wasserstein, max(sd) AS sd FROM w GROUP BY 1),
-    p AS (SELECT *, ks * sqrt(n_reference * n_current / (n_reference + n_current)::DOUBLE) AS x FROM o)
-    SELECT feature, n_reference, n_current, round(ks, 6) AS ks, round(CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, list_sum([(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2.0 * j * j * x * x) FOR j IN range(1, 61)]))) END, 6)::DOUBLE AS p_value FROM p"""
+    p AS (SELECT *, ks * sqrt(n_reference * n_current / (n_reference + n_current)::DOUBLE) AS x, round(ks * n_reference * n_current)::BIGINT AS h FROM o),
+    walk AS (
+        SELECT feature, n_reference AS n, n_current AS m, h, 0::BIGINT AS k, [(CASE WHEN i = 0 AND h > 0 THEN 1 ELSE 0 END)::DOUBLE FOR i IN range(n_reference + 1)] AS p FROM p WHERE greatest(n_reference, n_current) <= 1000
+        UNION ALL
+        SELECT feature, n, m, h, k + 1, [(CASE WHEN k + 1 - i < 0 OR k + 1 - i > m OR abs(i * m - (k + 1 - i) * n) >= h THEN 0 ELSE (CASE WHEN i > 0 THEN i * p[i] ELSE 0 END + (k + 1 - i) * p[i + 1]) / (k + 1) END)::DOUBLE FOR i IN range(n + 1)]
+        FROM walk WHERE k < n + m
+    ), exact AS (SELECT feature, greatest(0, least(1, 1 - p[n + 1])) AS e FROM walk WHERE k = n + m)
+    SELECT feature, n_reference, n_current, round(ks, 6) AS ks, round(coalesce(e, CASE WHEN x < 0.2 THEN 1 ELSE greatest(0, least(1, list_sum([(CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2.0 * j * j * x * x) FOR j IN range(1, 61)]))) END), 6)::DOUBLE AS p_value FROM p LEFT JOIN exact USING (feature)"""
 )
 def prediction_drift(spark, d):
     s = _scored(spark, d).select("member_id", *PREDICTED)
@@ -140,14 +150,16 @@ def stored_logit(spark, d):
     return m.select("member_id", models.Logit(tuple(WEIGHTS.values()), INTERCEPT).probability(F.array(*WEIGHTS)).alias("probability"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {w}::DOUBLE, {abs(w)}::DOUBLE)" for c, w in WEIGHTS.items()) + ") t(feature, weight, importance)")
+@query()
 def feature_importance(spark, d):
-    return models.importance(models.Logit(tuple(WEIGHTS.values()), INTERCEPT), list(WEIGHTS), spark)
+    frame = features.model_frame(_members(spark, d))
+    return models.importance(models.fit_logit(frame, models.fit_scaler(frame, list(features.FEATURES)).vector(), "event_fraud_flag"), list(features.FEATURES), spark)
 
 
-@query("SELECT n::BIGINT AS members, least(4, greatest(2, CASE WHEN n >= 16 THEN n // 8 ELSE 2 END))::INT AS clusters FROM (VALUES (3), (16), (24), (33), (500)) t(n)")
+@query(f"WITH {O.DRAWS}, k AS (SELECT ccs_id, count(DISTINCT member_id) AS members FROM draws GROUP BY 1) SELECT ccs_id, members, least(4, greatest(2, CASE WHEN members >= 16 THEN members // 8 ELSE 2 END))::INT AS clusters FROM k")
 def cluster_count(spark, d):
-    return spark.createDataFrame([(n, models.cluster_count(n)) for n in (3, 16, 24, 33, 500)], "members long, clusters int")
+    sizes = tables.draws(spark, d).groupBy("ccs_id").agg(F.count_distinct("member_id").alias("members"))
+    return sizes.withColumn("clusters", models.cluster_count(F.col("members")))
 
 
 # profiles and samples
@@ -294,11 +306,9 @@ def only_in_one(spark, d):
     return checks.only_in_one(a, b, "id")
 
 
-@query("SELECT member_id, min_by(status, CASE status WHEN 'matched_with_history' THEN 1 WHEN 'matched_no_history' THEN 2 WHEN 'member_only' THEN 3 WHEN 'draw_only' THEN 4 ELSE 5 END) AS status FROM (SELECT l_suppkey % 50 AS member_id, CASE l_linenumber WHEN 1 THEN 'absent' WHEN 2 THEN 'draw_only' WHEN 3 THEN 'member_only' WHEN 4 THEN 'matched_no_history' ELSE 'matched_with_history' END AS status FROM lineitem WHERE l_orderkey % 97 = 0) GROUP BY 1")
+@query(f"SELECT member_id, min_by(status, CASE status WHEN 'matched_with_history' THEN 1 WHEN 'matched_no_history' THEN 2 WHEN 'member_only' THEN 3 WHEN 'draw_only' THEN 4 ELSE 5 END) AS status FROM ({ORACLES['label_match_diagnosis']}) GROUP BY 1")
 def member_status(spark, d):
-    status = F.element_at(F.array(*map(F.lit, checks.STATUSES[::-1])), F.least(F.col("l_linenumber"), F.lit(5)).cast("int"))
-    rows = tables.table(spark, d, "lineitem").where("l_orderkey % 97 = 0").select((F.col("l_suppkey") % 50).alias("member_id"), status.alias("status"))
-    return checks.member_status(rows)
+    return checks.member_status(QUERIES["label_match_diagnosis"](spark, d))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
@@ -322,3 +332,100 @@ def evaluation_scores(spark, d):
 @query()
 def comparison_models(spark, d):
     return models.comparison_models(features.model_frame(_members(spark, d)), list(features.FEATURES), "event_fraud_flag", "member_id")
+
+
+# all members at once
+
+
+@query(f"WITH {O.SCORED}, d AS (SELECT a.member_id, b.member_id AS peer, sqrt(pow(a.anomaly_score - b.anomaly_score, 2) + pow(a.supervised_score - b.supervised_score, 2)) AS distance FROM risk a JOIN risk b ON a.member_id <> b.member_id) SELECT member_id, peer, round(distance, 6) AS distance, (row_number() OVER (PARTITION BY member_id ORDER BY distance, peer))::INT AS place FROM d QUALIFY place <= 8")
+def all_nearest_peers(spark, d):
+    return peers.nearest_of_all(_scored(spark, d), "member_id", ["anomaly_score", "supervised_score"])
+
+
+#: Columns that are another one times a constant or do not vary give correlations that are rounding; they are in both.
+PAIRS = [(a, b) for i, a in enumerate(features.FEATURES) for b in features.FEATURES[i:]]
+VARIES = f"SELECT *, {', '.join(f'stddev_pop({c}::DOUBLE) OVER () > 1e-6 * (1 + max(abs({c}::DOUBLE)) OVER ()) AS v_{c}' for c in features.FEATURES)} FROM members"
+
+
+@query(f"WITH {O.MEMBERS}, k AS ({VARIES}) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN any_value(v_{a}) AND any_value(v_{b}) THEN round(corr({a}::DOUBLE, {b}::DOUBLE), 6) END AS corr FROM k" for a, b in PAIRS))
+def correlation_matrix_full(spark, d):
+    return products.correlations(_members(spark, d).select(*features.FEATURES), list(features.FEATURES))
+
+
+@query(f"WITH {O.MEMBERS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(covar_samp(ln(1 + greatest({a}::DOUBLE, 0)), ln(1 + greatest({b}::DOUBLE, 0))), 6) AS cov FROM members" for i, a in enumerate(features.STYLE) for b in features.STYLE[i:]))
+def style_covariances(spark, d):
+    frame = features.model_frame(_members(spark, d), features.STYLE, features.STYLE)
+    return products.covariances(frame, list(features.STYLE))
+
+
+@query(f"WITH {O.MEMBERS}, k AS (SELECT member_id, round(avg_inter_draw_seconds, 6) AS a, round(stake_cv, 6) AS b, round(template_reuse_ratio, 6) AS c FROM members WHERE avg_inter_draw_seconds IS NOT NULL) SELECT member_id, dense_rank() OVER (ORDER BY a) AS r_gap, dense_rank() OVER (ORDER BY b) AS r_cv, dense_rank() OVER (ORDER BY c DESC) AS r_reuse, (dense_rank() OVER (ORDER BY a) + dense_rank() OVER (ORDER BY b) + dense_rank() OVER (ORDER BY c DESC))::BIGINT AS suspicion FROM k")
+def suspicion_dense_ranks(spark, d):
+    m = features.core_features(_history(spark, d)).select("member_id", *(F.round(c, 6).alias(c) for c in ("avg_inter_draw_seconds", "stake_cv", "template_reuse_ratio")))
+    return explore.suspicion(m, dense=True).select("member_id", "r_gap", "r_cv", "r_reuse", "suspicion")
+
+
+# kept state, buckets, records, scorers in SQL
+
+
+@query("SELECT user_id, count(*) AS rows, round(sum(value), 6) AS sum_value, min(ts) AS min_ts, max(ts) AS max_ts, count(DISTINCT event_type) AS distinct_event_type, count(DISTINCT props) AS distinct_props FROM events GROUP BY 1")
+def merged_activity(spark, d):
+    """Four batches, the second of them offered twice, and what they add up to."""
+    state = kept.Kept(f"{stage_dir(spark)}/activity-{uuid.uuid4().hex}", ("user_id",), sums=("value",), extremes=("ts",), distinct=("event_type", "props"))
+    events = tables.table(spark, d, "events")
+    for batch in (0, 1, 2, 1, 3):
+        state.absorb(events.where(F.col("event_id") % 4 == batch), f"part-{batch}")
+    return state.totals(spark)
+
+
+@query(ORACLES["member_features_full"])
+def bucketed_member_features(spark, d):
+    """The member table from a history stored in buckets by member."""
+    rows = buckets.bucketed(_marked(spark, d), buckets=8)
+    return features.member_features(buckets.bucketed(history.gaps_before_events(rows), buckets=8))
+
+
+@query("SELECT event_id, event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS detail_k, value AS detail_value FROM events")
+def untyped_records(spark, d):
+    """Events as texts of nested JSON, read back without a schema."""
+    e = tables.table(spark, d, "events")
+    text = F.concat(F.lit('{"detail": {"k": '), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit(', "value": '), F.coalesce(F.col("value").cast("string"), F.lit("null")), F.lit('}, "event_type": "'), F.col("event_type"), F.lit('"}'))
+    found = records.typed(e.select("event_id", text.alias("record")), "record")
+    return found.select("event_id", "event_type", F.col("`detail.k`").cast("long").alias("detail_k"), F.col("`detail.value`").cast("double").alias("detail_value"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT user_id) AS members, 'ts' AS time_column, min(ts) AS first_time, max(ts) AS last_time FROM events")
+def ingest_summary(spark, d):
+    events = tables.table(spark, d, "events").withColumn("createdAt", F.lit(None).cast("timestamp"))
+    return tables.ingest_summary(events, ["trans_date", "createdAt", "ts"], "user_id")
+
+
+@query(
+    f"WITH {O.MEMBERS}, k AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, event_fraud_flag AS l, round({c}, 6)::DOUBLE AS v FROM members" for c in SEPARATED)
+    + ") SELECT feature, count_if(l = 1)::BIGINT AS n_positive, count_if(l = 0)::BIGINT AS n_negative, round(avg(v) FILTER (l = 1), 6) AS mean_positive, round(avg(v) FILTER (l = 0), 6) AS mean_negative, round(median(v) FILTER (l = 1), 6) AS median_positive, round(median(v) FILTER (l = 0), 6) AS median_negative FROM k GROUP BY 1"
+)
+def separation_by_class(spark, d):
+    m = _members(spark, d).select("event_fraud_flag", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in SEPARATED))
+    return metrics.separation_table(stored(m, "separated"), list(SEPARATED), "event_fraud_flag").drop("auc", "ks")
+
+
+@query(f"WITH {O.FEATURES}, u AS (SELECT draw_id, count(*) AS rows, count(DISTINCT member_id) AS members, sum(total_bet_amount) AS staked, sum(bets_per_draw)::BIGINT AS bets, count(DISTINCT bet_template) AS templates FROM featured GROUP BY 1) SELECT *, round(staked / nullif(bets, 0), 6) AS mean_bet FROM u")
+def draw_summary(spark, d):
+    return explore.draw_summary(_featured(spark, d))
+
+
+@query(f"WITH {O.FEATURES}, t AS (SELECT bet_template, count(*) AS uses, count(DISTINCT member_id) AS members FROM featured GROUP BY 1) SELECT uses > 1 AS repeated, members > 1 AS shared, count(*) AS templates, sum(uses)::BIGINT AS rows, max(uses) AS most_uses, round(avg(uses), 6) AS mean_uses FROM t GROUP BY 1, 2")
+def template_statistics(spark, d):
+    return explore.template_statistics(_featured(spark, d).select("member_id", "bet_template"))
+
+
+@query()
+def sql_risk(spark, d):
+    """The fitted scorers called from SQL."""
+    members = stored(_members(spark, d), "members")
+    bundle = scoring.fit(members)
+    tag = uuid.uuid4().hex
+    scoring.register(spark, bundle, f"drawlens_{tag}_")
+    features.model_frame(members, bundle.log_columns, bundle.columns).createOrReplaceTempView(f"frame_{tag}")
+    row = f"array({', '.join(bundle.columns)})"
+    return spark.sql(f"SELECT member_id, drawlens_{tag}_risk_score({row}) AS risk_score, drawlens_{tag}_anomaly_score({row}) AS anomaly_score FROM frame_{tag}")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlens.functions.scalars import normalised
 from drawlens.ml import models
 from drawlens.operators import checks, features, history, metrics, ranking
-from drawlens.sources.stages import exists, read_json, stored, write_json
+from drawlens.sources.stages import exists, latest_json, publish_json, read_json, stored, write_json
 
 #: Shares of the three components in the anomaly score, and of anomaly and supervised score in the risk score.
 ANOMALY = {"iso_forest_score": 0.40, "mahalanobis_distance": 0.30, "cluster_distance": 0.30}
@@ -100,6 +102,50 @@ def score(members: DataFrame, bundle: Bundle) -> DataFrame:
     return members.select(*keep).join(out, "member_id")
 
 
+def register(spark: SparkSession, bundle: Bundle, prefix: str = "") -> tuple[str, ...]:
+    """Makes the bundle's scorers functions of SQL and gives their names: risk_score, anomaly_score, supervised_score,
+    iso_forest_score and mahalanobis_distance, with the prefix before each.
+
+    Each takes one array: a model frame's columns in the bundle's order. The bundle is broadcast once for all of them,
+    and rows come in Arrow batches. A null array, or one with a null or NaN, has no score.
+    """
+    sent = spark.sparkContext.broadcast(bundle)
+
+    def scores(rows: np.ndarray, asked: str) -> np.ndarray:
+        b = sent.value
+        x = (rows - np.array(b.scaler.mean)) / np.array(b.scaler.scale)
+        logit = lambda: 1 / (1 + np.exp(-(x @ np.array(b.logit.weights) + b.logit.intercept)))
+        if asked == "supervised_score":
+            return logit()
+        parts = {"iso_forest_score": lambda: b.forest.of(x), "mahalanobis_distance": lambda: b.ellipsoid.of(x)}
+        if asked in parts:
+            return parts[asked]()
+        points = np.array(b.centres.points)
+        parts["cluster_distance"] = lambda: np.sqrt(((x[:, None, :] - points) ** 2).sum(axis=2).min(axis=1))
+        anomaly = sum(w * norm(parts[c](), *b.bounds[c]) for c, w in ANOMALY.items())
+        return anomaly if asked == "anomaly_score" else RISK["anomaly_score"] * anomaly + RISK["supervised_score"] * logit()
+
+    def norm(x: np.ndarray, low: float, high: float) -> np.ndarray:
+        return np.clip((x - low) / (high - low), 0, 1.5) if high > low else np.zeros(len(x))
+
+    names = ("risk_score", "anomaly_score", "supervised_score", "iso_forest_score", "mahalanobis_distance")
+
+    def function(name: str):
+        @F.pandas_udf("double")
+        def run(x: pd.Series) -> pd.Series:
+            there = np.array([v is not None and not any(e is None or e != e for e in v) for v in x], dtype=bool)
+            out = np.full(len(x), np.nan)
+            if there.any():
+                out[there] = scores(np.stack([np.asarray(v, np.float64) for v in x[there]]), name)
+            return pd.Series(out).where(there, None)
+
+        return run
+
+    for name in names:
+        spark.udf.register(f"{prefix}{name}", function(name))
+    return tuple(f"{prefix}{n}" for n in names)
+
+
 def batch_score(raw: DataFrame, bundle: Bundle, path: str, labels: DataFrame | None = None, min_draws: int | None = 10, queue: int = 50) -> dict:
     """Writes cohort and queue below path and gives a summary; with labels also capture statistics (replay)."""
     scored = ranking.with_ranks(ranking.with_tiers(score(prepare(raw, labels), bundle)), "risk_score")
@@ -131,17 +177,28 @@ def train(raw: DataFrame, labels: DataFrame, path: str, trees: int = 300, min_ro
     facts = batch_score(raw, bundle, path, labels)
     decision = decide(facts)
     if decision["promoted"]:
-        write_json(raw.sparkSession, f"{path}/current.json", {"bundle": f"{path}/bundle.json", "scored": f"{path}/scored", "at": datetime.now(UTC).isoformat()})
+        publish(raw.sparkSession, path, bundle)
     return facts | {"decision": decision}
 
 
+def publish(spark: SparkSession, path: str, bundle: Bundle, keep: int = 5) -> str:
+    """Makes a run's cohort and bundle the published ones: both go to a new folder of their own, and only then is the
+    pointer to them put beside the ones before. Readers have the old version whole or the new one whole."""
+    version = f"{path}/versions/{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    spark.read.parquet(f"{path}/scored").write.parquet(f"{version}/scored")
+    bundle.save(spark, f"{version}/bundle.json")
+    publish_json(spark, f"{path}/current", {"bundle": f"{version}/bundle.json", "scored": f"{version}/scored", "at": datetime.now(UTC).isoformat()}, keep)
+    return version
+
+
 def current(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """The published cohort (ids trimmed, upper case) and its manifest with snapshot_available, snapshot_status and
     snapshot_reason. Without a manifest that is an error; without its cohort an empty table with the reason."""
-    at = f"{path}/current.json"
-    if not exists(spark, at):
-        raise FileNotFoundError(f"no serving manifest at {at}")
-    manifest = read_json(spark, at)
+    manifest, at = latest_json(spark, f"{path}/current"), f"{path}/current.json"
+    if manifest is None:  # a pointer put there by hand
+        if not exists(spark, at):
+            raise FileNotFoundError(f"no serving manifest at {path}/current")
+        manifest = read_json(spark, at)
     reason = None
     if not manifest.get("scored"):
         reason = "the snapshot has not been generated yet"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drawlens.functions import scalars as S
+from drawlens.sources.stages import move, remove
 
 #: The raw record, as far as columns are there.
 RAW = T.StructType(
@@ -82,13 +84,35 @@ def by_strategy(df: DataFrame, strategy: str, params: dict, ids: DataFrame | Non
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def stage(df: DataFrame, path: str) -> dict[str, int]:
-    """Writes a window and gives its rows and members; an empty one is an error and leaves nothing behind."""
-    counts = df.agg(F.count("*").alias("rows"), F.count_distinct("member_id").alias("members")).first().asDict()
-    if not counts["rows"]:
+def stage(df: DataFrame, path: str, copies: dict[str, str] | None = None) -> dict[str, int]:
+    """Writes a window and gives its rows and members; an empty one is an error and leaves what was there before.
+
+    The input is read once: rows are counted while they are written, members in the stored window, and copies
+    (path: format) are made from that.
+    """
+    spark, beside, seen = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp", Observation(f"staged-{uuid.uuid4().hex}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(beside)
+    kept = spark.read.schema(df.schema).parquet(beside)
+    rows = seen.get["rows"]
+    if not rows:
+        remove(spark, beside)
         raise EmptyWindowError(path)
-    df.write.mode("overwrite").parquet(path)
-    return counts
+    members = kept.select("member_id").distinct().where("member_id IS NOT NULL").count()
+    for target, kind in (copies or {}).items():
+        out = plain(kept) if kind == "csv" else kept
+        out.write.mode("overwrite").format(kind).option("header", True).save(target)
+    remove(spark, path)
+    move(spark, beside, path)
+    return {"rows": rows, "members": members}
+
+
+def ingest_summary(df: DataFrame, times: list[str], member: str = "member_id") -> DataFrame:
+    """One row: rows, members, time_column (the first of times that is there and has values; null if none has), and its
+    first and last time."""
+    there = [c for c in times if c in df.columns]
+    facts = df.agg(F.count("*").alias("rows"), F.count_distinct(member).alias("members"), *(f(F.col(c).cast("timestamp")).alias(f"{f.__name__}_{c}") for c in there for f in (F.min, F.max)))
+    pick = lambda value: F.coalesce(*(F.when(F.col(f"min_{c}").isNotNull(), value(c)) for c in there), F.lit(None))
+    return facts.select("rows", "members", pick(F.lit).cast("string").alias("time_column"), *(pick(lambda c, n=n: F.col(f"{n}_{c}")).cast("timestamp_ntz").alias(f"{new}_time") for n, new in (("min", "first"), ("max", "last"))))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
