@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawlens.llm.common import give_back
+
 
 @dataclass(frozen=True)
 class Shape:
@@ -198,5 +200,6 @@ def with_scores(docs: DataFrame, network: Network, name: str = "score") -> DataF
                     part, size = [], 0
             found.append(sent.value.score(part))
             yield pd.Series(np.concatenate(found))
+        give_back()
 
     return docs.withColumn(name, score(F.col("text").cast("binary")))

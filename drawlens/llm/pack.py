@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drawlens.llm.common import bounded, save
+from drawlens.llm.common import bounded, lean, save
 
 #: White space other than the space and the line feed.
 RARE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -113,7 +113,7 @@ def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end_id: int = 1)
                     names=["doc_id", "part", "before", "doc_tokens", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, part long, before long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, part long, before long, doc_tokens long, ids binary")
 
 
 def unpack(ids: bytes) -> np.ndarray:
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_bpe_50k",
             kinds = [pa.int64()] * 6 + [pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(lean(run), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:

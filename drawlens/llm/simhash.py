@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawlens.llm.common import blocks_of, components, forget, save, spanning_links, text_name, unused
+from drawlens.llm.common import blocks_of, components, forget, lean, save, spanning_links, text_name, unused
 
 SEED = 42
 #: Rows of one key that a task holds; the members of a larger key meet in blocks of this many.
@@ -174,15 +174,15 @@ def links(prints: DataFrame, bits: int, cuts: list[list[int]], distance: int, he
     run, out = _link(n_words, distance, held), f"a long, b long, key long, {kinds}"
     # few rows come in and many go out: deal them over all tasks first, so that no task writes a large share
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select("id", *columns).repartition(tasks, "id").mapInArrow(spread, f"key long, id long, {kinds}")
-    found = save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, out), "links")
+    rows = prints.select("id", *columns).repartition(tasks, "id").mapInArrow(lean(spread), f"key long, id long, {kinds}")
+    found = save(rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), out), "links")
     large = found.where("key IS NOT NULL")
     blocks = save(large.groupBy("key").agg(F.ceil(F.count("*") * 2 / held).cast("int").alias("blocks")), "large")
     if not blocks.isEmpty():
         part = large.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
         part = part.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         part = part.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), F.col("a").alias("id"), *columns)
-        more = part.repartition("key").sortWithinPartitions("key").mapInArrow(_link(n_words, distance, 2**30), out)
+        more = part.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_link(n_words, distance, 2**30)), out)
     else:
         more = found.limit(0)
     out = save(found.unionByName(more).where("key IS NULL").select("a", "b").distinct(), "linked")
@@ -208,7 +208,7 @@ def simhash(docs: DataFrame, ngram: int = 3, distance: int = 3, held: int = HELD
             yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "f0"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = save(rows.mapInArrow(run, "doc_id long, f0 long"), "prints")
+    rows = save(rows.mapInArrow(lean(run), "doc_id long, f0 long"), "prints")
     classes = save(rows.groupBy("f0").agg(F.min("doc_id").alias("first")), "classes")
     linked = links(classes.select(F.col("f0").alias("id"), "f0"), 64, cuts, distance, held)
     found = components(linked)
@@ -249,7 +249,7 @@ def near_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits:
             yield pa.record_batch([batch.column("doc_id"), batch.column("name"), *map(pa.array, names), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(n_words))], names=["doc_id", "name", "k0", "k1", "w", *columns])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_name(F.col("text")).alias("name"), F.col("text").cast("binary").alias("text"))
-    rows = save(texts.mapInArrow(run, "doc_id long, name decimal(38,0), k0 long, k1 long, w long, " + ", ".join(f"{c} long" for c in columns)), "prints")
+    rows = save(texts.mapInArrow(lean(run), "doc_id long, name decimal(38,0), k0 long, k1 long, w long, " + ", ".join(f"{c} long" for c in columns)), "prints")
     classes = rows.groupBy("k0", "k1", "w", *columns).agg(F.min("doc_id").alias("first"), F.min("name").alias("name"))
     classes = save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     wide = links(classes.where("w > 0").select("id", *columns), bits, segments(bits, width, strided), distance, held)
@@ -281,7 +281,7 @@ def near_classes(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, bits:
             yield flush()
 
     met = part.join(once, "name").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "id")
-    found = save(met.mapInArrow(compare, "a long, b long"), "similar")
+    found = save(met.mapInArrow(lean(compare), "a long, b long"), "similar")
     alike = components(found)
     named = save(classes.select("id", "k0", "k1", "first").join(alike, "id", "left").select("id", "k0", "k1", "first", F.coalesce("root", "id").alias("root")), "named")
     forget(groups, found, classes)
