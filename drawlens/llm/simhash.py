@@ -304,14 +304,14 @@ def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 def near_dedup(docs: DataFrame, **settings) -> DataFrame:
     """The first row of each group of near-duplicates, with all its columns.
 
-    First is in order of doc_id (null last), then of the text's name. Of repeated rows one stays. Groups are
-    near_classes', whose settings these are; texts without words are one group. Rows that share an id are judged each
-    by its own text. An empty table stays empty.
+    First is in order of doc_id, then of the text's name. Of repeated rows one stays. Rows without an id stay. Groups
+    are near_classes', whose settings these are; texts without words are one group. Rows that share an id are judged
+    each by its own text. An empty table stays empty.
     """
     rows, named = near_classes(docs, **settings)
     name, own, other = unused(docs, "_name"), unused(docs, "_n"), unused(docs, "_d")
-    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "name")
-    members = rows.join(named.select("k0", "k1", "root"), ["k0", "k1"]).groupBy("root", "doc_id", "name").agg(F.count("*").alias("n"))
+    order = F.struct("doc_id", "name")
+    members = rows.where("doc_id IS NOT NULL").join(named.select("k0", "k1", "root"), ["k0", "k1"]).groupBy("root", "doc_id", "name").agg(F.count("*").alias("n"))
     members = save(members, "members")
     firsts = members.groupBy("root").agg(F.min(order).alias("f"))
     members = members.join(firsts, "root").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("name") == F.col("f.name")))
