@@ -7,7 +7,7 @@ expressions or vectorised functions over Arrow batches. Fitted models are small
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,14 +32,18 @@ class Scaler:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
 
-    def vector(self) -> Column:
-        return F.array(*((F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)))
+    def vector(self, value: Callable[[str], Column] = F.col) -> Column:
+        """The scaled columns as an array; value gives a column's expression."""
+        return F.array(*((value(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)))
 
 
 def fit_scaler(frame: DataFrame, columns: list[str]) -> Scaler:
-    """Means and population deviations (1 where that is 0)."""
+    """Means and population deviations (1 where that is 0, or rounding of the mean: a column of one value in fractions
+    would else become noise of unit size)."""
     stats = frame.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns))).first()
-    return Scaler(tuple(columns), tuple(stats[f"m{i}"] or 0.0 for i in range(len(columns))), tuple(stats[f"s{i}"] or 1.0 for i in range(len(columns))))
+    mean = tuple(stats[f"m{i}"] or 0.0 for i in range(len(columns)))
+    spread = (stats[f"s{i}"] or 0.0 for i in range(len(columns)))
+    return Scaler(tuple(columns), mean, tuple(s if s > 1e-9 * abs(m) else 1.0 for s, m in zip(spread, mean, strict=True)))
 
 
 @dataclass(frozen=True)

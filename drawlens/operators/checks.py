@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawlens.functions.scalars import finite
 from drawlens.operators.sequences import LARGE, along
 
 REQUIRED = ("member_id", "draw_id", "total_bet_amount", "win_points", "bets")
@@ -92,13 +93,37 @@ def member_status(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.groupBy("member_id").agg(F.element_at(F.array(*map(F.lit, STATUSES)), F.min(code).cast("int")).alias("status"))
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over the rows that have both values; null where one of them does not vary."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    varies = lambda x: F.stddev_pop(x) > 1e-9 * (1 + F.max(F.abs(x)))  # noqa: E731  rounding is no variation
+    return F.when(varies(a) & varies(b), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def compare_frames(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """For each column of two tables joined by key: rows, largest and mean absolute difference, correlation."""
     met = a.select(key, *(F.col(c).cast("double").alias(f"a_{c}") for c in columns)).join(b.select(key, *(F.col(c).cast("double").alias(f"b_{c}") for c in columns)), key)
-    rows = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.max(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))).alias("max_diff"), F.avg(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))).alias("mean_diff"), F.corr(f"a_{c}", f"b_{c}").alias("corr")) for c in columns]
+    rows = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.max(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))).alias("max_diff"), F.avg(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}"))).alias("mean_diff"), _correlation(F.col(f"a_{c}"), F.col(f"b_{c}")).alias("corr")) for c in columns]
     return met.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
+def recompute_audit(now: DataFrame, saved: DataFrame, key: str, but: tuple[str, ...] = (), least: float = 0.95) -> DataFrame:
+    """Recomputed against saved: for each numeric column that both have (but key and `but`) the keys that both have,
+    the correlation (null where either side does not vary) and low, true where it is under `least` in size or null.
+
+    Keys are taken to be unique on both sides. All correlations come from one pass over the join."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    numeric = lambda df: {c for c, kind in df.dtypes if kind in kinds or kind.startswith("decimal")}
+    shared = [c for c in now.columns if c in numeric(now) & numeric(saved) and c not in (key, *but)]
+    if not shared:
+        return now.sparkSession.createDataFrame([], "column string, rows long, corr double, low boolean")
+    side = lambda df, s: df.select(F.col(key).alias(f"{s}_key"), *(finite(F.col(f"`{c}`")).alias(f"{s}_{i}") for i, c in enumerate(shared)))
+    met = side(now, "a").join(side(saved, "b"), F.col("a_key") == F.col("b_key"))
+    rows = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), _correlation(F.col(f"a_{i}"), F.col(f"b_{i}")).alias("corr")) for i, c in enumerate(shared)]
+    out = met.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return out.withColumn("low", F.coalesce(F.abs("corr") < least, F.lit(True)))
+
+
 def only_in_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one of the tables has, and which."""
     left, right = a.select(key).distinct(), b.select(key).distinct()

@@ -121,11 +121,16 @@ def member_features(history: DataFrame, large: int = LARGE) -> DataFrame:
     return out.fillna(filled).select("member_id", "primary_ccs_id", "event_fraud_flag", *FEATURES)
 
 
+def model_value(c: str, log_columns: tuple[str, ...]) -> Column:
+    """A feature as the models see it: a double without nulls, on a log scale if it is one of log_columns."""
+    return log_clip(F.col(c)) if c in log_columns else F.coalesce(finite(F.col(c)), F.lit(0.0))
+
+
 def model_frame(features: DataFrame, log_columns: tuple[str, ...] = LOG_FEATURES, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """member_id, event_fraud_flag and those of the columns that exist, as doubles without nulls, some on a log scale."""
     there = [c for c in columns if c in features.columns]
     keep = [c for c in ("member_id", "event_fraud_flag") if c in features.columns]
-    return features.select(*keep, *((log_clip(F.col(c)) if c in log_columns else F.coalesce(finite(F.col(c)), F.lit(0.0))).alias(c) for c in there))
+    return features.select(*keep, *(model_value(c, log_columns).alias(c) for c in there))
 
 
 def scaled(frame: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:

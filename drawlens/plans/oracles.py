@@ -94,3 +94,65 @@ SCORED = (
     FROM members, bounds
 ), risk AS (SELECT *, round(0.6::DOUBLE * anomaly_score + 0.4::DOUBLE * supervised_score, 6) AS risk_score FROM scored)"""
 )
+
+
+def _style_columns() -> str:
+    from drawlens.operators.features import LOG_STYLE, STYLE
+
+    value = lambda c: f"coalesce(ln(1 + greatest({c}::DOUBLE, 0)), 0)" if c in LOG_STYLE else f"coalesce({c}::DOUBLE, 0)"
+    return ", ".join(f"{value(c)} AS v{i}" for i, c in enumerate(STYLE))
+
+
+def _axis(n: int, matrix: str, steps: int) -> str:
+    """Power iteration: the matrix's first axis with its largest loading positive, and its eigenvalue."""
+    times = "list_transform(m, lambda row: list_dot_product(row, v))"
+    return f"""p{n}(i, v) AS (
+    SELECT 0, [1 + j / 7.0 FOR j IN range(13)]::DOUBLE[]
+    UNION ALL SELECT i + 1, list_transform(w, lambda t: t / sqrt(list_dot_product(w, w))) FROM (SELECT i, {times} AS w FROM p{n}, {matrix} WHERE i < {steps})
+), a{n} AS MATERIALIZED (
+    SELECT list_transform(v, lambda t: t * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v, list_dot_product(v, {times}) AS e FROM p{n}, {matrix} WHERE i = {steps}
+)"""
+
+
+#: The members' style space: scaled vectors x, their covariance m, two axes by power iteration and deflation, and the
+#: inverse covariance by sweeping each column that varies.
+STYLE_SPACE = (
+    MEMBERS
+    + f""", style AS (SELECT member_id, {_style_columns()} FROM members
+), vectors AS MATERIALIZED (
+    SELECT member_id, [{", ".join(f"(v{i} - avg(v{i}) OVER ()) / coalesce(nullif(stddev_pop(v{i}) OVER (), 0), 1)" for i in range(13))}] AS x FROM style
+), covariance AS MATERIALIZED (
+    SELECT [{", ".join("[" + ", ".join(f"sum(x[{i + 1}] * x[{j + 1}]) / (count(*) - 1)" for j in range(13)) + "]" for i in range(13))}] AS m FROM vectors
+), {_axis(1, "covariance", 3000)}, deflated AS MATERIALIZED (
+    SELECT list_transform(m, lambda row, k: list_transform(row, lambda t, l: t - e * v[k] * v[l])) AS m FROM covariance, a1
+), {_axis(2, "deflated", 3000)}, swept(k, b) AS (
+    SELECT 0, m FROM covariance
+    UNION ALL SELECT k + 1, list_transform(b, lambda row, i: list_transform(row, lambda t, j: CASE
+        WHEN b[k + 1][k + 1] < 1e-9 THEN CASE WHEN i = k + 1 OR j = k + 1 THEN 0 ELSE t END
+        WHEN i = k + 1 AND j = k + 1 THEN -1 / b[k + 1][k + 1]
+        WHEN i = k + 1 OR j = k + 1 THEN t / b[k + 1][k + 1]
+        ELSE t - b[i][k + 1] * b[k + 1][j] / b[k + 1][k + 1] END)) FROM swept WHERE k < 13
+), inverse AS MATERIALIZED (SELECT list_transform(b, lambda row: list_transform(row, lambda t: -t)) AS m FROM swept WHERE k = 13)"""
+)
+
+#: Newton's method for the balanced logit with an L2 penalty of 10 / 2 on both weights, from two scaled features.
+LOGIT = (
+    MEMBERS
+    + """, logs AS (SELECT event_fraud_flag AS y, coalesce(ln(1 + greatest(total_staked, 0)), 0) AS u, coalesce(ln(1 + greatest(stake_cv, 0)), 0) AS v FROM members
+), points AS MATERIALIZED (
+    SELECT y, count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)) AS w, (u - avg(u) OVER ()) / stddev_pop(u) OVER () AS a, (v - avg(v) OVER ()) / stddev_pop(v) OVER () AS b FROM logs
+), steps(i, c, p, q) AS (
+    SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+    UNION ALL
+    SELECT i + 1, c - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+           p - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+           q - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+    FROM (
+        SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+            SELECT i, c, p, q, sum(w * (s - y)) AS g0, sum(w * (s - y) * a) + 10 * p AS g1, sum(w * (s - y) * b) + 10 * q AS g2, sum(w * s * (1 - s)) AS h00, sum(w * s * (1 - s) * a) AS h01,
+                   sum(w * s * (1 - s) * b) AS h02, sum(w * s * (1 - s) * a * a) + 10 AS h11, sum(w * s * (1 - s) * a * b) AS h12, sum(w * s * (1 - s) * b * b) + 10 AS h22
+            FROM (SELECT i, c, p, q, w, y, a, b, 1 / (1 + exp(-(c + p * a + q * b))) AS s FROM steps, points WHERE i < 25) GROUP BY i, c, p, q
+        )
+    )
+)"""
+)

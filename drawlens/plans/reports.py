@@ -10,7 +10,7 @@ from drawlens.functions import scalars as S
 from drawlens.ml import models
 from drawlens.operators import checks, cohort, explore, features, history, kept, metrics, peers, products, profiles, ranking
 from drawlens.plans import oracles as O
-from drawlens.plans import scoring
+from drawlens.plans import rebuild, scoring
 from drawlens.plans.queries import ORACLES, QUERIES, SEPARATED, _featured, _history, _labelled, _marked, _members, _scored, query, r
 from drawlens.sources import buckets, records, tables
 from drawlens.sources.stages import stage_dir, stored
@@ -429,3 +429,85 @@ def sql_risk(spark, d):
     features.model_frame(members, bundle.log_columns, bundle.columns).createOrReplaceTempView(f"frame_{tag}")
     row = f"array({', '.join(bundle.columns)})"
     return spark.sql(f"SELECT member_id, drawlens_{tag}_risk_score({row}) AS risk_score, drawlens_{tag}_anomaly_score({row}) AS anomaly_score FROM frame_{tag}")
+
+
+# the style space, the fitted logit, and cohorts scored anew
+
+
+def _style(spark, d):
+    """Members, their style space, and the expression of their scaled vectors."""
+    members = stored(_members(spark, d), "members")
+    style = scoring.fit_style(members)
+    return members, style, style.scaler.vector(lambda c: features.model_value(c, style.log_columns))
+
+
+@query(f"WITH RECURSIVE {O.STYLE_SPACE}, axes AS (SELECT 0 AS component, v, e FROM a1 UNION ALL SELECT 1, v, e FROM a2) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, component::INT AS component, round(v[{i + 1}], 6) AS loading, round(e / (SELECT list_sum([m[j][j] FOR j IN range(1, 14)]) FROM covariance), 6) AS explained FROM axes" for i, c in enumerate(features.STYLE)))
+def style_axes(spark, d):
+    """Loadings of the two axes of the members' style, and the share of the variance that each explains."""
+    _, style, _ = _style(spark, d)
+    return models.loadings_table(style.axes, list(features.STYLE), spark)
+
+
+@query(f"WITH RECURSIVE {O.STYLE_SPACE} SELECT member_id, round(list_dot_product(x, a1.v), 6) AS style_pc1, round(list_dot_product(x, a2.v), 6) AS style_pc2 FROM vectors, a1, a2")
+def style_coordinates(spark, d):
+    members, style, _ = _style(spark, d)
+    return members.select("member_id", *(c.alias(n) for n, c in style.coordinates().items()))
+
+
+@query(f"WITH RECURSIVE {O.STYLE_SPACE} SELECT member_id, round(sqrt(greatest(list_dot_product(x, list_transform(m, lambda row: list_dot_product(row, x))), 0)), 6) AS distance FROM vectors, inverse")
+def style_distance(spark, d):
+    """Each member's ellipsoid distance from the cohort's centre in the style space."""
+    members, _, x = _style(spark, d)
+    return members.select("member_id", models.fit_ellipsoid(members, x, len(features.STYLE)).distance(x).alias("distance"))
+
+
+@query(f"WITH RECURSIVE {O.LOGIT} SELECT unnest(['intercept', 'total_staked', 'stake_cv']) AS feature, round(unnest([c, p, q]), 4) AS weight FROM steps WHERE i = 25")
+def logit_weights(spark, d):
+    """Weights of the balanced logit on two features."""
+    columns = ["total_staked", "stake_cv"]
+    frame = stored(features.model_frame(_members(spark, d), columns=tuple(columns)), "frame")
+    model = models.fit_logit(frame, models.fit_scaler(frame, columns).vector(), "event_fraud_flag")
+    rows = spark.createDataFrame([("intercept", model.intercept)], "feature string, weight double").unionByName(models.importance(model, columns, spark).drop("importance"))
+    return rows.withColumn("weight", F.round("weight", 4))
+
+
+@query()
+def rebuilt_cohort(spark, d):
+    """All members by the three parts: without labels, with labels, risk."""
+    members = stored(_members(spark, d), "members")
+    return rebuild.rebuilt(members, scoring.fit(members))
+
+
+@query()
+def refitted_cohort(spark, d):
+    """A scored cohort as it is stored, scored once more by a bundle fitted to it, with the tiers of its own bounds."""
+    members = stored(_members(spark, d), "members")
+    was = stored(members.join(_scored(spark, d).select("member_id", "risk_score"), "member_id"), "cohort")
+    bundle = rebuild.refit(was)
+    tier = S.tier(F.col("risk_score"), F.lit(bundle.quantiles["p80"]), F.lit(bundle.quantiles["p95"]))
+    return scoring.score(was, bundle).withColumn("risk_tier", tier)
+
+
+AUDITED = {"draws_played": "count(DISTINCT draw_id)", "sessions_played": "count(DISTINCT session_id)", "active_days": "count(DISTINCT ts::DATE)", "total_staked": "sum(total_bet_amount)", "max_stake_per_draw": "max(total_bet_amount)", "avg_stake_per_draw": "avg(total_bet_amount)", "avg_entropy": "avg(entropy_in_draw)", "total_net_result": "sum(net_result)"}
+
+
+@query(
+    f"WITH {O.HISTORY}, "
+    + ", ".join(f"{name} AS (SELECT member_id, {', '.join(f'{x}::DOUBLE AS {c}' for c, x in AUDITED.items())} FROM {rows} GROUP BY 1)" for name, rows in (("a", "history"), ("b", "labelled")))
+    + ", k AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, round(corr(a.{c}, b.{c}), 6) AS corr FROM a JOIN b USING (member_id)" for c in AUDITED)
+    + ') SELECT *, coalesce(abs(corr) < 0.95, true) AS low FROM k'
+)
+def recompute_audit(spark, d):
+    """Features before the first event held against those of all draws."""
+    now, saved = (features.core_features(rows).select("member_id", *AUDITED) for rows in (_history(spark, d), stored(_labelled(spark, d), "labelled")))
+    return checks.recompute_audit(now, saved, "member_id")
+
+
+@query(
+    f"""WITH {O.DRAWS} SELECT unnest(['member', 'time', 'round', 'outcome', 'bets', 'bet_codes']) AS role, unnest(['member_id', 'ts', 'draw_id', 'win_points', 'bets', NULL]) AS "column",
+    unnest(['string', 'timestamp_ntz', 'bigint', 'double', 'array<struct<number:string,bet_amount:double>>', NULL]) AS type, unnest([count(member_id), count(ts), count(draw_id), count(win_points), count(bets), 0]) AS filled FROM draws"""
+)
+def column_report(spark, d):
+    """Which columns of the draw records serve as what, and how many rows have them."""
+    return tables.column_report(tables.draws(spark, d))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlens.functions.scalars import normalised
@@ -21,9 +21,22 @@ ANOMALY = {"iso_forest_score": 0.40, "mahalanobis_distance": 0.30, "cluster_dist
 RISK = {"anomaly_score": 0.60, "supervised_score": 0.40}
 
 
+@dataclass(frozen=True)
+class Style:
+    """The style space: its columns, scaled, and two principal axes."""
+
+    log_columns: tuple[str, ...]
+    scaler: models.Scaler
+    axes: models.Axes
+
+    def coordinates(self) -> dict[str, Column]:
+        x = self.scaler.vector(lambda c: features.model_value(c, self.log_columns))
+        return {f"style_pc{i + 1}": self.axes.coordinate(x, i) for i in range(len(self.axes.loadings))}
+
+
 @dataclass(frozen=True)
 class Bundle:
-    """What scoring needs; all of it small."""
+    """What scoring needs; all of it small. axes and style are None in bundles stored without them."""
 
     columns: tuple[str, ...]
     log_columns: tuple[str, ...]
@@ -34,6 +47,8 @@ class Bundle:
     logit: models.Logit
     bounds: dict[str, tuple[float, float]]
     quantiles: dict[str, float] = field(default_factory=dict)
+    axes: models.Axes | None = None
+    style: Style | None = None
 
     def save(self, spark: SparkSession, path: str) -> None:
         out = {
@@ -41,6 +56,7 @@ class Bundle:
             "forest": [[x.tolist() for x in part] for part in (self.forest.feature, self.forest.value, self.forest.child)], "sample": self.forest.sample,
             "centre": self.ellipsoid.mean.tolist(), "precision": self.ellipsoid.precision.tolist(), "centres": self.centres.points,
             "weights": self.logit.weights, "intercept": self.logit.intercept, "bounds": self.bounds, "quantiles": self.quantiles,
+            "axes": self.axes and asdict(self.axes), "style": self.style and asdict(self.style),
         }
         write_json(spark, path, out)
 
@@ -49,9 +65,12 @@ class Bundle:
         x = read_json(spark, path)
         parts = [np.array([np.array(t, k) for t in p] + [None], dtype=object)[:-1] for p, k in zip(x["forest"], (np.int64, np.float64, np.int64), strict=True)]
         scaler = models.Scaler(tuple(x["columns"]), tuple(x["mean"]), tuple(x["scale"]))
+        axes = lambda a: models.Axes(tuple(map(tuple, a["loadings"])), tuple(a["explained"]))
+        style = x.get("style") and Style(tuple(x["style"]["log_columns"]), models.Scaler(*(tuple(x["style"]["scaler"][k]) for k in ("columns", "mean", "scale"))), axes(x["style"]["axes"]))
         return Bundle(
             tuple(x["columns"]), tuple(x["log_columns"]), scaler, models.Forest(*parts, x["sample"]), models.Ellipsoid(np.array(x["centre"]), np.array(x["precision"])),
             models.Centres(tuple(map(tuple, x["centres"]))), models.Logit(tuple(x["weights"]), x["intercept"]), {k: tuple(v) for k, v in x["bounds"].items()}, x["quantiles"],
+            x.get("axes") and axes(x["axes"]), style,
         )
 
 
@@ -63,7 +82,15 @@ def prepare(raw: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return features.member_features(rows)
 
 
-def fit(members: DataFrame, columns: tuple[str, ...] = features.FEATURES, log_columns: tuple[str, ...] = features.LOG_FEATURES, trees: int = 300, k: int = 4, seed: int = 42) -> Bundle:
+def fit_style(members: DataFrame, columns: tuple[str, ...] = features.STYLE, log_columns: tuple[str, ...] = features.LOG_STYLE) -> Style:
+    frame = features.model_frame(members, log_columns, columns)
+    scaler = models.fit_scaler(frame, list(columns))
+    return Style(tuple(log_columns), scaler, models.fit_axes(frame, scaler.vector()))
+
+
+def fit(members: DataFrame, columns: tuple[str, ...] = features.FEATURES, log_columns: tuple[str, ...] = features.LOG_FEATURES, trees: int = 300, k: int = 4, seed: int = 42, scored: str | None = None) -> Bundle:
+    """Fits all models to the members. Quantiles of the risk are those of the column `scored` where it is given, else
+    of the risk scores by the new models. The style space is fitted if the members have all its columns."""
     frame = stored(features.model_frame(members, log_columns, columns), "frame")
     scaler = models.fit_scaler(frame, list(columns))
     x = scaler.vector()
@@ -72,34 +99,40 @@ def fit(members: DataFrame, columns: tuple[str, ...] = features.FEATURES, log_co
         "ellipsoid": models.fit_ellipsoid(frame, x, len(columns)),
         "centres": models.fit_centres(frame, x, k, seed=seed),
         "logit": models.fit_logit(frame, x, "event_fraud_flag"),
+        "axes": models.fit_axes(frame, x),
+        "style": fit_style(members) if set(features.STYLE) <= set(members.columns) else None,
     }
     bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds={}, **parts)
     got = components(frame, bundle).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ANOMALY for f in (F.min, F.max))).first()
     bounds = {c: (got[f"min_{c}"], got[f"max_{c}"]) for c in ANOMALY}
     bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, **parts)
-    q = ranking.quantiles(score(members, bundle), "risk_score", {"p80": 0.80, "p95": 0.95}).first().asDict()
-    return Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, quantiles=q, **parts)
+    q = ranking.quantiles(members if scored else score(members, bundle), scored or "risk_score", {"p80": 0.80, "p95": 0.95}).first().asDict()
+    return replace(bundle, quantiles=q)
 
 
 def components(frame: DataFrame, bundle: Bundle) -> DataFrame:
     x = F.col("_x")
     out = frame.withColumn("_x", bundle.scaler.vector())
-    return out.withColumns(
+    out = out.withColumns(
         {
             "iso_forest_score": bundle.forest.score(x), "mahalanobis_distance": bundle.ellipsoid.distance(x), "cluster": bundle.centres.cluster(x),
             "cluster_distance": bundle.centres.distance(x), "supervised_score": bundle.logit.probability(x),
         }
-    ).select("member_id", *ANOMALY, "cluster", "supervised_score")
+    )
+    axes = {f"pc{i + 1}": bundle.axes.coordinate(x, i) for i in range(len(bundle.axes.loadings))} if bundle.axes else {}
+    return out.select("member_id", *ANOMALY, "cluster", "supervised_score", *(c.alias(n) for n, c in axes.items()))
 
 
 def score(members: DataFrame, bundle: Bundle) -> DataFrame:
-    """Each member's component, anomaly, supervised and risk scores, by the bundle's own ranges."""
+    """Each member's component, anomaly, supervised and risk scores, by the bundle's own ranges, with its coordinates
+    on the axes of all features (pc1, pc2) and of style (style_pc1, style_pc2) where the bundle has them."""
     out = components(features.model_frame(members, bundle.log_columns, bundle.columns), bundle)
     norm = {f"{c}_norm": normalised(F.col(c), F.lit(bundle.bounds[c][0]), F.lit(bundle.bounds[c][1])) for c in ANOMALY}
     out = out.withColumns(norm).withColumn("anomaly_score", sum((F.lit(w) * F.col(f"{c}_norm") for c, w in ANOMALY.items()), F.lit(0.0)))
     out = out.withColumn("risk_score", sum((F.lit(w) * F.col(c) for c, w in RISK.items()), F.lit(0.0)))
     keep = [c for c in ("member_id", "primary_ccs_id", "event_fraud_flag", "draws_played") if c in members.columns]
-    return members.select(*keep).join(out, "member_id")
+    style = bundle.style.coordinates() if bundle.style and set(bundle.style.scaler.columns) <= set(members.columns) else {}
+    return members.select(*keep, *(c.alias(n) for n, c in style.items())).join(out, "member_id")
 
 
 def register(spark: SparkSession, bundle: Bundle, prefix: str = "") -> tuple[str, ...]:

@@ -155,6 +155,27 @@ def resolve_columns(df: DataFrame, candidates: list[str]) -> str | None:
     return None
 
 
+#: What a column is for, and the names that it may have, best first.
+ROLES = {
+    "member": ("member_id", "player", "user", "member", "ccs_id"),
+    "time": ("createdat.$date", "createdat", "time", "date", "placed", "ts"),
+    "round": ("round", "spin", "game_id", "draw_id", "draw_number"),
+    "outcome": ("win_points", "outcome", "result", "win", "status"),
+}
+
+
+def column_report(df: DataFrame, roles: dict[str, tuple[str, ...]] = ROLES, nested: tuple[str, ...] = ("bets", "bet_codes")) -> DataFrame:
+    """For each role and each nested column: the column that serves, its type, and its rows with a value; null, null
+    and 0 where there is none."""
+    found = {role: resolve_columns(df, list(names)) for role, names in roles.items()} | {c: c if c in df.columns else None for c in nested}
+    kinds = dict(df.dtypes)
+    rows = [
+        F.struct(F.lit(role).alias("role"), F.lit(c).cast("string").alias("column"), F.lit(kinds.get(c)).cast("string").alias("type"), (F.count(F.col(f"`{c}`")) if c else F.lit(0).cast("long")).alias("filled"))
+        for role, c in found.items()
+    ]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
