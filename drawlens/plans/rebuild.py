@@ -43,9 +43,11 @@ def with_risk(rows: DataFrame) -> DataFrame:
     mixed = lambda supervised: sum((F.lit(w) * F.col(supervised if c == "supervised_score" else c) for c, w in scoring.RISK.items()), F.lit(0.0))
     out = stored(rows.withColumns({"risk_score": mixed("supervised_score"), "risk_score_eval": mixed("supervised_score_eval"), "source": F.lit("precomputed")}), "risk")
     ranked = ranking.with_tiers(out)
-    for score in ("risk", "anomaly", "supervised"):
-        ranked = ranking.with_ranks(ranked, f"{score}_score").withColumnsRenamed({f"{score}_score_rank": f"{score}_rank", f"{score}_score_percentile": f"{score}_percentile"})
-    return ranked.drop("anomaly_rank", "supervised_rank")
+    for score in ("risk", "anomaly", "supervised"):  # each of the stored rows: ranks of ranked rows would repeat those before
+        names = {f"{score}_score_rank": f"{score}_rank", f"{score}_score_percentile": f"{score}_percentile"}
+        placed = ranking.with_ranks(out.select(KEY, f"{score}_score"), f"{score}_score").withColumnsRenamed(names)
+        ranked = ranked.join(placed.select(KEY, *(names.values() if score == "risk" else [f"{score}_percentile"])), KEY)
+    return ranked
 
 
 def rebuilt(members: DataFrame, bundle: scoring.Bundle, seed: int = 42) -> DataFrame:
