@@ -9,6 +9,7 @@ that crosses a window's end is cut there, and each piece records where it lies.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -26,15 +27,7 @@ from drawlens.llm.common import bounded, lean, save
 RARE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: A space between two characters that are no white space.
 ALONE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Pieces(dict):
-    """The ids of the pieces kept; those of the others of a batch are in others, which only a missing piece asks."""
-
-    others: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.others[piece]
+SPACE = re.compile(r"\s")
 
 
 class Encoder:
@@ -43,9 +36,11 @@ class Encoder:
     A byte-level BPE with the usual pattern never joins what stands on the two sides of a single space or line feed
     between other characters, so texts are cut there; the first `kept` different pieces, of `width` characters at most,
     are encoded once and stay, the others once in each batch. A text that holds the text of an added token is encoded as it is.
+    Pieces without white space inside are encoded `joined` at a time, as that costs less than one by one: a token that
+    starts with a space or a line feed is then the first of a piece.
     """
 
-    def __init__(self, name: str, kept: int = 300_000, width: int = 48):
+    def __init__(self, name: str, kept: int = 300_000, width: int = 48, joined: int = 32):
         import public_tokenizers as P
         from tokenizers import Tokenizer
 
@@ -53,8 +48,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(P.path(f"{name}.json"))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.pieces = _Pieces()
+        self.pieces: dict[str, bytes] = {}
         self.kept, self.width = kept, width
+        self.joined = 1 if any(map(SPACE.search, self.added)) else joined  # no added token may arise between pieces
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that start with a space or a line feed
+        self.opens[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
 
     def _bytes(self, texts: list[str], at_once: int = 1000) -> list[bytes]:
         """at_once: how many encodings, each far larger than its ids, are held together."""
@@ -72,18 +71,45 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return first, rest
 
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that start with their white space and hold no other, encoded side by side."""
+        out, size = [], np.dtype(self.kind).itemsize
+        runs = [pieces[i : i + self.joined] for i in range(0, len(pieces), self.joined)]
+        for run, found in zip(runs, self._bytes(["".join(r) for r in runs], 64), strict=True):
+            at = np.flatnonzero(self.opens[np.frombuffer(found, self.kind)])
+            if len(at) != len(run):  # a vocabulary whose tokens do not show where a piece starts
+                out += self._bytes(run)
+                continue
+            at = [*(at * size).tolist(), len(found)]
+            out += [found[a:b] for a, b in itertools.pairwise(at)]
+        return out
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece."""
+        plain, other = [], []
+        for p in pieces:
+            (other if SPACE.search(p, 1) else plain).append(p)
+        whole = lambda some: [p if p[0] == "\n" else " " + p for p in some]
+        return dict(zip([*plain, *other], [*self._together(whole(plain)), *self._bytes(whole(other))], strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers of self.kind."""
         cut = [self._cut(t) for t in texts]
         heads = self._bytes([first for first, _ in cut])
-        seen = self.pieces
-        new = list({p for _, rest in cut for p in rest if p not in seen})
-        ids = dict(zip(new, self._bytes([p if p[0] == "\n" else " " + p for p in new]), strict=True))
-        for p in new[: max(0, self.kept - len(seen))]:  # the frequent pieces come early, so those kept first stay
+        pieces = pa.array([p for _, rest in cut for p in rest], pa.large_string()).dictionary_encode()
+        different, seen = pieces.dictionary.to_pylist(), self.pieces
+        new = self._encoded([p for p in different if p not in seen])
+        ids = pa.array([seen[p] if p in seen else new[p] for p in different], pa.large_binary()).take(pieces.indices)
+        for p in new:  # the frequent pieces come early, so those kept first stay
+            if len(seen) >= self.kept:
+                break
             if len(p) <= self.width:
-                seen[p] = ids.pop(p)
-        seen.others = ids
-        return [head + b"".join(map(seen.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
+                seen[p] = new[p]
+        if not len(ids):
+            return heads
+        _, ends, values = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(ids) + 1][np.cumsum([0, *(len(rest) for _, rest in cut)])].tolist()
+        return [head + values[a:b].to_pybytes() for head, (a, b) in zip(heads, itertools.pairwise(ends), strict=True)]
 
 
 @functools.cache
