@@ -97,7 +97,7 @@ class Encoder:
         cut = [self._cut(t) for t in texts]
         heads = self._bytes([first for first, _ in cut])
         pieces = pa.array([p for _, rest in cut for p in rest], pa.large_string()).dictionary_encode()
-        different, seen = pieces.dictionary.to_pylist(), self.pieces
+        different, seen = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces  # far cheaper than to_pylist
         new = self._encoded([p for p in different if p not in seen])
         ids = pa.array([seen[p] if p in seen else new[p] for p in different], pa.large_binary()).take(pieces.indices)
         for p in new:  # the frequent pieces come early, so those kept first stay
