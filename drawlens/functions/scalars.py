@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Time columns in the order in which the first parsable one counts.
 TIME_COLUMNS = ("trans_date", "createdAt", "updatedAt", "createdAt.$date", "updatedAt.$date", "trans_date.$date", "timestamp", "ts")
@@ -89,6 +90,15 @@ def first_time(df: DataFrame, candidates: tuple[str, ...] = TIME_COLUMNS) -> Col
     return F.coalesce(*parsed) if parsed else F.lit(None).cast("timestamp")
 
 
+def utc_time(c: Column) -> Column:
+    """The moment that a text names, whatever the session's zone: one with an offset is converted, one without is in UTC,
+    a day is its start; null where the text names none."""
+    text = F.regexp_replace(F.trim(c.cast("string")), r"^(\S+[T ]\d{1,2}:\d{1,2})(?![:\d])", "$1:00")  # Spark reads zones after seconds only
+    zoned = text.rlike(r"(?i):\d\d(\.\d+)?\s?(z|utc|gmt|[+-]\d\d(:?\d\d)?)$")
+    day = text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
+    return F.when(zoned, text).when(day, F.concat(text, F.lit(" 00:00:00Z"))).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+
+
 def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
@@ -107,6 +117,26 @@ def truthy(c: Column) -> Column:
     return F.coalesce(~F.lower(F.trim(c.cast("string"))).isin("", "0", "false", "no", "none", "nan", "null", "[]"), F.lit(False))
 
 
+#: Texts that signal a positive. Fixed values.
+SIGNALS = ("true", "yes", "1", "fraud", "confirmed")
+
+
+def signal(c: Column, kind: T.DataType) -> Column:
+    """Whether a value of that type signals a positive: a text that says so, a number other than zero, a container or
+    bytes with content, any struct or time. Null and NaN give null."""
+    if isinstance(kind, T.StringType):
+        return F.lower(F.btrim(c, F.lit(" \t\r\n\x0b\x0c"))).isin(*SIGNALS)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.when(c.isNotNull(), F.size(c) > 0)
+    if isinstance(kind, T.BinaryType):
+        return F.length(c) > 0
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c), c != 0)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return c.cast("boolean")
+    return F.when(c.isNotNull(), F.lit(True))
+
+
 def normalised(c: Column, low: Column, high: Column, top: float = 1.5) -> Column:
     """(c - low) / (high - low) within 0 and top; 0 where high <= low."""
     return F.when(high <= low, F.lit(0.0)).otherwise(F.least(F.greatest((c - low) / (high - low), F.lit(0.0)), F.lit(top)))

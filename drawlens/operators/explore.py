@@ -192,6 +192,35 @@ def dedupe_latest(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return top_per_key(df, key, order)
 
 
+def distinct_rows(df: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """One row for each value of those of the keys that df has, or of all its columns if it has none of the keys.
+
+    It is the first in the given order, or any where there is none. Null keys are equal to each other.
+    """
+    have = [k for k in keys if k in df.columns]
+    if not have:
+        return df.distinct()
+    return top_per_key(df, have, order) if order else df.dropDuplicates(have)
+
+
+def extract_report(draws: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row on an extract: rows, members, its first and last time, rows without time, the least, median and greatest
+    number of bets, rows without bets, the labels and their members, and the rows that a label names (matched_rows).
+
+    Rows that repeat count each; a label that repeats matches a row once; null ids match nothing.
+    """
+    named = labels.select("member_id", "draw_id").distinct().withColumn("hit", F.lit(True))
+    rows = draws.select("member_id", "draw_id", "ts", F.size("bets").alias("n")).join(named, ["member_id", "draw_id"], "left")
+    rows = stored(rows, "extract")
+    median = quantiles(rows, "n", {"m": 0.5}).first()[0]
+    listed = labels.agg(F.count("*").alias("labels"), F.count_distinct("member_id").alias("members")).first()
+    return rows.agg(
+        F.count("*").alias("rows"), F.count_distinct("member_id").alias("members"), F.min("ts").alias("first_time"), F.max("ts").alias("last_time"), F.count_if(F.col("ts").isNull()).alias("no_time"),
+        F.min("n").alias("min_bets"), F.lit(median).cast("double").alias("median_bets"), F.max("n").alias("max_bets"), F.count_if(F.col("n") == 0).alias("empty_rows"),
+        F.lit(listed.labels).alias("labels"), F.lit(listed.members).alias("labelled_members"), F.count_if("hit").alias("matched_rows"),
+    )
+
+
 def payload_stats(draws: DataFrame) -> DataFrame:
     rows = stored(draws.select(F.size("bets").alias("n"), F.col("ts").isNull().alias("no_time")), "payload")
     median = quantiles(rows, "n", {"m": 0.5}).first()[0]

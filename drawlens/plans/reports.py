@@ -511,3 +511,53 @@ def recompute_audit(spark, d):
 def column_report(spark, d):
     """Which columns of the draw records serve as what, and how many rows have them."""
     return tables.column_report(tables.draws(spark, d))
+
+
+# lookups and normal forms
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT user_id * 7 FROM events) OR o_custkey IN (SELECT user_id * 7 FROM events)")
+def any_field_scan(spark, d):
+    """Rows with a listed id in one of several fields."""
+    ids = tables.table(spark, d, "events").select((F.col("user_id") * 7).alias("id"))
+    return tables.of_any(tables.table(spark, d, "orders").select("o_orderkey", "o_custkey"), ids, ["no_such_id", "o_orderkey", "o_custkey"])
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT (user_id * 7)::VARCHAR AS id FROM events), f AS (SELECT o_orderkey::VARCHAR AS id, 2 AS place, o_orderkey AS k FROM orders UNION ALL SELECT o_custkey::VARCHAR, 1, o_orderkey FROM orders)
+    SELECT w.id, CASE min(place) WHEN 1 THEN 'o_custkey' WHEN 2 THEN 'o_orderkey' END AS field, count(DISTINCT k) AS rows FROM w LEFT JOIN f USING (id) GROUP BY 1"""
+)
+def found_ids(spark, d):
+    """Where each listed id is found, and how often."""
+    ids = tables.table(spark, d, "events").select((F.col("user_id") * 7).alias("id"))
+    return tables.found_in(tables.table(spark, d, "orders"), ids, ["o_custkey", "no_such_id", "o_orderkey"])
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def distinct_on_available(spark, d):
+    e = tables.table(spark, d, "events")
+    return explore.distinct_rows(e, ["user_id", "no_such_key", "event_type"], [F.asc("ts"), F.asc("event_id")]).select("event_id", "user_id", "event_type", "ts")
+
+
+@query("SELECT event_id, epoch_us(ts) - CASE event_id % 4 WHEN 1 THEN 19800000000 WHEN 2 THEN -28800000000 ELSE 0 END AS at FROM events")
+def utc_times(spark, d):
+    """The moments of texts with and without an offset."""
+    zone = F.get(F.array(*map(F.lit, ("", "+05:30", "-0800", "Z"))), (F.col("event_id") % 4).cast("int"))
+    return tables.table(spark, d, "events").select("event_id", S.micros(S.utc_time(F.concat(F.col("ts").cast("string"), zone))).alias("at"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL ELSE event_id % 6 IN (0, 3) END AS says, event_id % 3 > 0 AS holds, value <> 0 AS counts, value > 50 AS flagged FROM events")
+def signals(spark, d):
+    """Values of several types as signals of a positive."""
+    texts = F.array(*(F.lit(t).cast("string") for t in (" Yes", "no", "[]", "FRAUD ", "pending", None)))
+    rows = tables.table(spark, d, "events").select("event_id", F.get(texts, (F.col("event_id") % 6).cast("int")).alias("says"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("event_id") % 3).cast("int")).alias("holds"), F.col("value").alias("counts"), (F.col("value") > 50).alias("flagged"))
+    return rows.select("event_id", *(S.signal(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema[1:]))
+
+
+@query(
+    f"""WITH {O.DRAWS}, l AS (SELECT member_id, draw_id FROM draws WHERE draw_id % 151 = 0)
+    SELECT count(*) AS rows, count(DISTINCT member_id) AS members, min(ts) AS first_time, max(ts) AS last_time, count_if(ts IS NULL)::BIGINT AS no_time, min(len(bets))::INT AS min_bets, median(len(bets))::DOUBLE AS median_bets, max(len(bets))::INT AS max_bets,
+    count_if(len(bets) = 0)::BIGINT AS empty_rows, (SELECT count(*) FROM l) AS labels, (SELECT count(DISTINCT member_id) FROM l) AS labelled_members, count_if((member_id, draw_id) IN (SELECT (member_id, draw_id) FROM l))::BIGINT AS matched_rows FROM draws"""
+)
+def extract_report(spark, d):
+    return explore.extract_report(tables.draws(spark, d), tables.event_labels(spark, d))

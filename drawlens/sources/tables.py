@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +49,20 @@ def window_bounds(start: datetime | None = None, end: datetime | None = None, lo
 
 
 def in_window(df: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
-    """Rows in [start, end), without null times; the bounds reach the scan as pushed filters."""
+    """Rows in [start, end), without null times; the bounds reach the scan as pushed filters.
+
+    Bounds with an offset are converted to UTC, those without one are in UTC, as are columns without a zone.
+    """
     if column not in df.columns:
         raise KeyError(column)
     kind = df.schema[column].dataType
     if not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         raise TypeError(f"{column} is {kind.simpleString()}, not a time")
-    literal = lambda t: F.lit(t.isoformat(sep=" ")).cast(kind)
+
+    def literal(t: datetime):
+        text = (t.astimezone(UTC).replace(tzinfo=None) if t.tzinfo else t).isoformat(sep=" ")
+        return F.lit(f"{text}+00:00" if isinstance(kind, T.TimestampType) else text).cast(kind)
+
     out = df.where(F.col(column).isNotNull())
     out = out.where(F.col(column) >= literal(start)) if start else out
     return out.where(F.col(column) < literal(end)) if end else out
@@ -66,6 +73,38 @@ def of_members(df: DataFrame, ids: DataFrame, key: str = "member_id") -> DataFra
     return df.join(ids.select(S.member_id(F.col(ids.columns[0])).alias("_id")).distinct(), S.member_id(F.col(key)) == F.col("_id"), "left_semi")
 
 
+def of_any(df: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows that hold a listed id in at least one of the fields, each once.
+
+    Each field is looked up by equality, compared as text; null ids and fields match nothing; fields that df lacks are
+    left out, and if it lacks all of them there are no rows.
+    """
+    there = [f for f in fields if f in df.columns]
+    if not there:
+        return df.limit(0)
+    listed = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    test = " OR ".join(f"CAST(`{f}` AS STRING) IN (SELECT id FROM {{listed}})" for f in there)
+    return df.sparkSession.sql(f"SELECT * FROM {{df}} WHERE {test}", df=df, listed=listed)
+
+
+def found_in(df: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:
+    """For each listed id (as text): field, the first of the fields that holds it in any row (null if none does), and
+    rows, how many rows hold it in at least one of them.
+
+    Rows are counted by value before they meet the ids, so that an id of very many rows is a few counts. Null ids are
+    left out; fields that df lacks hold nothing.
+    """
+    there = [f for f in fields if f in df.columns]
+    listed = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+    if not there:
+        return listed.select("id", F.lit(None).cast("string").alias("field"), F.lit(0).cast("long").alias("rows"))
+    values = F.array(*(F.col(f"`{f}`").cast("string") for f in there))
+    each = df.select(values.alias("v")).select("v", F.explode(F.array_distinct("v")).alias("id")).where("id IS NOT NULL")
+    counts = each.groupBy("id").agg(F.min(F.array_position("v", F.col("id"))).alias("at"), F.count("*").alias("rows"))
+    name = F.get(F.array(*map(F.lit, there)), (F.col("at") - 1).cast("int"))
+    return listed.join(counts, "id", "left").select("id", name.alias("field"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+
+
 def by_strategy(df: DataFrame, strategy: str, params: dict, ids: DataFrame | None = None, now: datetime | None = None) -> DataFrame:
     """date_window, member_list, or full_collection (which has to be confirmed)."""
     if strategy == "date_window":
