@@ -490,8 +490,8 @@ def nearest_peers(spark, d):
 
 @query("WITH n AS (SELECT count(*) FILTER (toxic = 1) AS p FROM labels) SELECT doc_id, toxic FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, toxic FROM (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id % 97, doc_id) AS rn FROM labels WHERE toxic = 0), n WHERE rn <= greatest(200 - p, 0)")
 def stratified_sample(spark, d):
-    labels = tables.table(spark, d, "labels").withColumn("o", F.struct(F.col("doc_id") % 97, "doc_id"))
-    return explore.stratified_sample(labels, "toxic", 200, F.col("o")).select("doc_id", "toxic")
+    labels = tables.table(spark, d, "labels").select("doc_id", "toxic")
+    return explore.stratified_sample(labels, "toxic", 200, F.asc_nulls_last(F.col("doc_id") % 97), F.asc_nulls_last("doc_id"))
 
 
 @query(f"WITH {O.SCORED} SELECT member_id, risk_score FROM risk WHERE member_id = 'GK00000007'")

@@ -72,6 +72,12 @@ def test_sample_keeps_positives(spark):
     assert explore.stratified_sample(df, "y", 3, F.col("id")).agg(F.min("y")).first()[0] == 1
 
 
+def test_sample_keeps_positives_beyond_its_size(spark):
+    df = spark.createDataFrame([(i if i < 19 else None, int(i < 5)) for i in range(20)], "id int, y int")
+    assert sorted(r.id for r in explore.stratified_sample(df, "y", 3, F.asc_nulls_last("id")).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.id for r in explore.stratified_sample(df, "y", 6, F.asc_nulls_last("id")).collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_validation(spark):
     good = spark.createDataFrame([("A", 1, 1.0, 0.0, "[]", "2024-01-01")], "member_id string, draw_id long, total_bet_amount double, win_points double, bets string, ts string")
     assert checks.validate(good, ["DRAW_ID ", "member_id"], min_rows=1).where("passed").count() == 7
