@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from drawlens.operators.products import covariance_matrix
 from drawlens.operators.ranking import positions
-from drawlens.sources.stages import stored
+from drawlens.sources.stages import discard, stored
 
 
 @dataclass(frozen=True)
@@ -97,14 +97,16 @@ def _vectors(frame: DataFrame, vector: Column, keep: tuple[str, ...] = ()) -> Da
 
 
 def fit_centres(frame: DataFrame, vector: Column, k: int = 4, tries: int = 10, seed: int = 42) -> Centres:
-    """The best of several k-means runs, with centres in ascending order so that cluster numbers are stable."""
-    rows = _vectors(frame, vector).cache()
-    try:
-        runs = [KMeans(k=k, seed=seed + i, maxIter=100).fit(rows) for i in range(tries)]
-        best = min(runs, key=lambda m: m.summary.trainingCost)
-        return Centres(tuple(sorted(tuple(float(x) for x in c) for c in best.clusterCenters())))
-    finally:
-        rows.unpersist()
+    """The best of several k-means runs, with centres in ascending order so that cluster numbers are stable.
+
+    The vectors are stored, not cached: read back they come in as few tasks as their bytes need, and every task of every
+    step of every run reports to the driver; each run keeps them in memory itself.
+    """
+    rows = stored(_vectors(frame, vector), "vectors")
+    runs = [KMeans(k=k, seed=seed + i, maxIter=100).fit(rows) for i in range(tries)]
+    best = min(runs, key=lambda m: m.summary.trainingCost)
+    discard(rows)
+    return Centres(tuple(sorted(tuple(float(x) for x in c) for c in best.clusterCenters())))
 
 
 def cluster_count(n: int | Column) -> int | Column:
@@ -263,12 +265,14 @@ class Forest:
         return run(vector)
 
     def of(self, rows: np.ndarray) -> np.ndarray:
-        depth, at = np.zeros(len(rows)), np.arange(len(rows))
+        depth, flat, start = np.zeros(len(rows)), np.ascontiguousarray(rows, np.float64).ravel(), np.arange(len(rows)) * rows.shape[1]
         for feature, value, child in zip(self.feature, self.value, self.child, strict=True):
+            # all rows go down together: a leaf leads to itself, as nothing is above infinity
+            leaf = feature < 0
+            column, cut, left = np.where(leaf, 0, feature), np.where(leaf, np.inf, value), np.where(leaf, np.arange(len(feature)), child)
             node = np.zeros(len(rows), np.int64)
-            while (inner := feature[node] >= 0).any():
-                i = at[inner]
-                node[i] = child[node[i]] + (rows[i, feature[node[i]]] > value[node[i]])
+            while not leaf[node].all():
+                node = left[node] + (flat[start + column[node]] > cut[node])
             depth += value[node]
         return 2.0 ** (-depth / len(self.feature) / max(_c(self.sample), 1e-9))
 

@@ -47,8 +47,9 @@ def with_ranks(scored: DataFrame, score: str) -> DataFrame:
     """Adds <score>_rank (descending, ties share the smallest) and <score>_percentile (ascending, ties share the mean);
     both null for a null score."""
     by = -F.col("_score")
-    values = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("_peers"))
-    n = F.lit(scored.where(F.col(score).isNotNull()).count())
+    # stored, as it is read for the ranges' bounds, their sums, the number of all and the rows
+    values = stored(scored.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_score")).agg(F.count("*").alias("_peers")), "values")
+    n = F.lit(values.agg(F.sum("_peers")).first()[0] or 0)
     placed = running_counts(values, by, {"_above": "_peers"})
     placed = placed.select("_score", (F.col("_above") + 1).alias(f"{score}_rank"), ((n - F.col("_above") - F.col("_peers") + 1 + (F.col("_peers") - 1) / 2) / n).alias(f"{score}_percentile"))
     return scored.join(placed, F.col(score).cast("double") == F.col("_score"), "left").drop("_score")
@@ -60,7 +61,7 @@ def quantiles(scored: DataFrame, score: str, points: dict[str, float]) -> DataFr
     Each is read off the counts of distinct values below, so no task holds all values.
     """
     x = F.col(score).cast("double")
-    values = scored.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("_v")).agg(F.count("*").alias("_k"))
+    values = stored(scored.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("_v")).agg(F.count("*").alias("_k")), "values")
     placed = running_counts(values, F.col("_v"), {"_before": "_k"})
     n = values.agg(F.sum("_k")).first()[0] or 0
 

@@ -518,13 +518,18 @@ def dynamic_aggregate(spark, d):
     SELECT member_id, round(sqrt(greatest(((avg_entropy - mx) ** 2 * c - 2 * (avg_entropy - mx) * (avg_gini - my) * b + (avg_gini - my) ** 2 * a) / (a * c - b * b), 0)), 5) AS distance FROM members, c"""
 )
 def mahalanobis_2d(spark, d):
-    m = _members(spark, d).select("member_id", "avg_entropy", "avg_gini")
+    m = stored(_members(spark, d).select("member_id", "avg_entropy", "avg_gini"), "members")
     x = F.array("avg_entropy", "avg_gini")
     return m.select("member_id", F.round(models.fit_ellipsoid(m, x, 2).distance(x), 5).alias("distance"))
 
 
+def _model_frame(spark, d):
+    """The models' columns of all members, stored as each fit reads them several times."""
+    return stored(features.model_frame(_members(spark, d)), "frame")
+
+
 def _frame(spark, d):
-    frame = features.model_frame(_members(spark, d))
+    frame = _model_frame(spark, d)
     return frame, models.fit_scaler(frame, list(features.FEATURES)).vector()
 
 
@@ -562,8 +567,9 @@ def isolation_scores(spark, d):
 
 @query()
 def score_pipeline(spark, d):
-    members = _members(spark, d)
-    return ranking.with_ranks(ranking.with_tiers(scoring.score(members, scoring.fit(members))), "risk_score")
+    members = stored(_members(spark, d), "members")
+    scored = stored(scoring.score(members, scoring.fit(members)), "scores")
+    return ranking.with_ranks(ranking.with_tiers(scored), "risk_score")
 
 
 from drawlens.plans import reports  # noqa: E402, F401  registers more queries

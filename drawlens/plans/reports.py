@@ -11,7 +11,7 @@ from drawlens.ml import models
 from drawlens.operators import checks, cohort, explore, features, history, kept, metrics, peers, products, profiles, ranking
 from drawlens.plans import oracles as O
 from drawlens.plans import rebuild, scoring
-from drawlens.plans.queries import ORACLES, QUERIES, SEPARATED, _featured, _history, _labelled, _marked, _members, _scored, query, r
+from drawlens.plans.queries import ORACLES, QUERIES, SEPARATED, _featured, _history, _labelled, _marked, _members, _model_frame, _scored, query, r
 from drawlens.sources import buckets, records, tables
 from drawlens.sources.stages import stage_dir, stored
 
@@ -152,7 +152,7 @@ def stored_logit(spark, d):
 
 @query()
 def feature_importance(spark, d):
-    frame = features.model_frame(_members(spark, d))
+    frame = _model_frame(spark, d)
     return models.importance(models.fit_logit(frame, models.fit_scaler(frame, list(features.FEATURES)).vector(), "event_fraud_flag"), list(features.FEATURES), spark)
 
 
@@ -326,12 +326,12 @@ def grouped_positions(spark, d):
 
 @query()
 def evaluation_scores(spark, d):
-    return models.evaluation_scores(features.model_frame(_members(spark, d)), list(features.FEATURES), "event_fraud_flag", "member_id")
+    return models.evaluation_scores(_model_frame(spark, d), list(features.FEATURES), "event_fraud_flag", "member_id")
 
 
 @query()
 def comparison_models(spark, d):
-    return models.comparison_models(features.model_frame(_members(spark, d)), list(features.FEATURES), "event_fraud_flag", "member_id")
+    return models.comparison_models(_model_frame(spark, d), list(features.FEATURES), "event_fraud_flag", "member_id")
 
 
 # all members at once

@@ -103,10 +103,11 @@ def fit(members: DataFrame, columns: tuple[str, ...] = features.FEATURES, log_co
         "style": fit_style(members) if set(features.STYLE) <= set(members.columns) else None,
     }
     bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds={}, **parts)
-    got = components(frame, bundle).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ANOMALY for f in (F.min, F.max))).first()
+    found = stored(components(frame, bundle), "components")  # read for the bounds and for the quantiles
+    got = found.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ANOMALY for f in (F.min, F.max))).first()
     bounds = {c: (got[f"min_{c}"], got[f"max_{c}"]) for c in ANOMALY}
     bundle = Bundle(tuple(columns), tuple(log_columns), scaler, bounds=bounds, **parts)
-    q = ranking.quantiles(members if scored else score(members, bundle), scored or "risk_score", {"p80": 0.80, "p95": 0.95}).first().asDict()
+    q = ranking.quantiles(members if scored else mixed(found, bundle), scored or "risk_score", {"p80": 0.80, "p95": 0.95}).first().asDict()
     return replace(bundle, quantiles=q)
 
 
@@ -123,13 +124,17 @@ def components(frame: DataFrame, bundle: Bundle) -> DataFrame:
     return out.select("member_id", *ANOMALY, "cluster", "supervised_score", *(c.alias(n) for n, c in axes.items()))
 
 
+def mixed(found: DataFrame, bundle: Bundle) -> DataFrame:
+    """components() with their normalised values, the anomaly score and the risk score."""
+    norm = {f"{c}_norm": normalised(F.col(c), F.lit(bundle.bounds[c][0]), F.lit(bundle.bounds[c][1])) for c in ANOMALY}
+    out = found.withColumns(norm).withColumn("anomaly_score", sum((F.lit(w) * F.col(f"{c}_norm") for c, w in ANOMALY.items()), F.lit(0.0)))
+    return out.withColumn("risk_score", sum((F.lit(w) * F.col(c) for c, w in RISK.items()), F.lit(0.0)))
+
+
 def score(members: DataFrame, bundle: Bundle) -> DataFrame:
     """Each member's component, anomaly, supervised and risk scores, by the bundle's own ranges, with its coordinates
     on the axes of all features (pc1, pc2) and of style (style_pc1, style_pc2) where the bundle has them."""
-    out = components(features.model_frame(members, bundle.log_columns, bundle.columns), bundle)
-    norm = {f"{c}_norm": normalised(F.col(c), F.lit(bundle.bounds[c][0]), F.lit(bundle.bounds[c][1])) for c in ANOMALY}
-    out = out.withColumns(norm).withColumn("anomaly_score", sum((F.lit(w) * F.col(f"{c}_norm") for c, w in ANOMALY.items()), F.lit(0.0)))
-    out = out.withColumn("risk_score", sum((F.lit(w) * F.col(c) for c, w in RISK.items()), F.lit(0.0)))
+    out = mixed(components(features.model_frame(members, bundle.log_columns, bundle.columns), bundle), bundle)
     keep = [c for c in ("member_id", "primary_ccs_id", "event_fraud_flag", "draws_played") if c in members.columns]
     style = bundle.style.coordinates() if bundle.style and set(bundle.style.scaler.columns) <= set(members.columns) else {}
     return members.select(*keep, *(c.alias(n) for n, c in style.items())).join(out, "member_id")
@@ -181,7 +186,7 @@ def register(spark: SparkSession, bundle: Bundle, prefix: str = "") -> tuple[str
 
 def batch_score(raw: DataFrame, bundle: Bundle, path: str, labels: DataFrame | None = None, min_draws: int | None = 10, queue: int = 50) -> dict:
     """Writes cohort and queue below path and gives a summary; with labels also capture statistics (replay)."""
-    scored = ranking.with_ranks(ranking.with_tiers(score(prepare(raw, labels), bundle)), "risk_score")
+    scored = ranking.with_ranks(ranking.with_tiers(stored(score(stored(prepare(raw, labels), "members"), bundle), "scores")), "risk_score")
     scored.write.mode("overwrite").parquet(f"{path}/scored")
     scored = raw.sparkSession.read.parquet(f"{path}/scored")
     ranking.alert_queue(scored, queue, min_draws).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/queue")
@@ -205,7 +210,7 @@ def decide(facts: dict, min_capture: float = 0.40, min_lift: float = 5.0) -> dic
 def train(raw: DataFrame, labels: DataFrame, path: str, trees: int = 300, min_rows: int = 1000) -> dict:
     """Validates, fits, scores, evaluates and, if the gate passes, publishes the bundle as the current one."""
     checks.validate(raw, labels.columns, min_rows=min_rows)
-    bundle = fit(prepare(raw, labels), trees=trees)
+    bundle = fit(stored(prepare(raw, labels), "members"), trees=trees)
     bundle.save(raw.sparkSession, f"{path}/bundle.json")
     facts = batch_score(raw, bundle, path, labels)
     decision = decide(facts)

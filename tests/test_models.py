@@ -74,3 +74,24 @@ def test_frames_hold_no_infinities(spark):
     rows = [("a", float("inf"), float("-inf")), ("b", float("nan"), None), ("c", 3.0, 2.0)]
     got = features.model_frame(spark.createDataFrame(rows, "member_id string, total_staked double, avg_gini double")).orderBy("member_id").collect()
     assert [(r.total_staked, r.avg_gini) for r in got[:2]] == [(0.0, 0.0)] * 2 and np.isclose(got[2].total_staked, np.log(4)) and got[2].avg_gini == 2.0
+
+
+def test_runs_of_k_means_take_no_more_tasks_than_their_bytes(spark):
+    frame = spark.range(0, 400, 1, 64).select((F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    spark.sparkContext.setJobGroup("k-means", "")
+    try:
+        centres = models.fit_centres(frame, F.array("a", "b"), tries=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(centres.points, [(0, 0), (1, 1), (2, 0), (3, 1)])
+    tracker = spark.sparkContext.statusTracker()
+    stages = {i for j in tracker.getJobIdsForGroup("k-means") for i in tracker.getJobInfo(j).stageIds}
+    tasks = [tracker.getStageInfo(i).numTasks for i in stages if tracker.getStageInfo(i)]
+    assert len(tasks) > 4 and sum(n >= 64 for n in tasks) == 1  # the one that stores the vectors
+
+
+def test_models_are_fitted_to_stored_rows(spark, sf_dir):
+    from drawlens.plans import queries
+
+    frame, _ = queries._frame(spark, sf_dir)
+    assert all("/frame-" in path for path in frame.inputFiles())

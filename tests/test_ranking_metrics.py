@@ -78,6 +78,22 @@ def test_sample_keeps_positives_beyond_its_size(spark):
     assert sorted(r.id for r in explore.stratified_sample(df, "y", 6, F.asc_nulls_last("id")).collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_scores_are_made_once(spark):
+    from drawlens.operators import ranking
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(x):
+        made.add(1)
+        return float(x % 50)
+
+    rows = spark.range(100).select("id", score.asNondeterministic()("id").alias("s"))
+    assert np.isclose(ranking.quantiles(rows, "s", {"a": 0.8}).first().a, 39.2) and made.value == 100
+    ranked = ranking.with_ranks(rows, "s").collect()
+    assert {r.s_rank for r in ranked} == set(range(1, 101, 2)) and made.value == 300  # for the ranks, and to bear them
+
+
 def test_validation(spark):
     good = spark.createDataFrame([("A", 1, 1.0, 0.0, "[]", "2024-01-01")], "member_id string, draw_id long, total_bet_amount double, win_points double, bets string, ts string")
     assert checks.validate(good, ["DRAW_ID ", "member_id"], min_rows=1).where("passed").count() == 7
