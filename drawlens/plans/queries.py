@@ -105,12 +105,12 @@ def draw_features_explored(spark, d):
     count_if(bet.bet_amount > 0)::BIGINT AS positive_bets, CASE WHEN bet.number = '00' THEN 37 ELSE bet.number::INT END AS position FROM b GROUP BY bet.number"""
 )
 def bet_explode_position_summary(spark, d):
-    return explore.position_summary(tables.draws(spark, d))
+    return explore.position_summary(tables.bets(spark, d))
 
 
 @query(f"WITH {O.DRAWS} SELECT number FROM (SELECT i::VARCHAR AS number FROM range(37) t(i) UNION ALL SELECT '00') EXCEPT SELECT bet.number FROM (SELECT unnest(bets) AS bet FROM draws)")
 def set_difference_positions(spark, d):
-    return explore.missing_positions(tables.draws(spark, d))
+    return explore.missing_positions(tables.bets(spark, d))
 
 
 @query(f"WITH {O.FEATURES}, c AS (SELECT member_id, bet_template, count(*) AS n FROM featured GROUP BY ALL) SELECT member_id, sum(n)::BIGINT AS rows, count(*) AS templates, max(n) AS max_template_reuse, round(1 - count(*) / sum(n)::DOUBLE, 6) AS reuse_ratio FROM c GROUP BY 1")

@@ -54,3 +54,17 @@ def test_shapes(spark):
     assert dict(tables.plain(df).dtypes) == {"a": "string", "b": "string"}
     assert tables.resolve_columns(df.withColumn("MemberName", F.lit(1)), ["member"]) == "MemberName"
     assert tables.conform(spark.createDataFrame([("x", "bad")], "member_id string, draw_id string")).first().draw_id is None
+
+
+def test_bets_are_those_of_the_draws_in_tasks_of_their_number(spark, sf_dir):
+    from drawlens.operators import explore
+
+    held, flat = explore.bets_of(tables.draws(spark, sf_dir)), tables.bets(spark, sf_dir, per_task=100)
+    assert held.exceptAll(flat).isEmpty() and flat.exceptAll(held).isEmpty()
+    assert flat.rdd.getNumPartitions() >= flat.count() // 100
+
+
+def test_buckets_grow_with_rows():
+    from drawlens.sources import buckets
+
+    assert [buckets.bucket_count(n) for n in (0, 2_000_000, 2_000_001, 54_000_000)] == [8, 8, 9, 216]
