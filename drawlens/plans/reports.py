@@ -380,8 +380,9 @@ def merged_activity(spark, d):
 @query(ORACLES["member_features_full"])
 def bucketed_member_features(spark, d):
     """The member table from a history stored in buckets by member."""
-    rows = buckets.bucketed(_marked(spark, d), buckets=8)
-    return features.member_features(buckets.bucketed(history.gaps_before_events(rows), buckets=8))
+    marked = _marked(spark, d)
+    n = buckets.bucket_count(marked.count())
+    return features.member_features(buckets.bucketed(history.gaps_before_events(buckets.bucketed(marked, buckets=n)), buckets=n))
 
 
 @query("SELECT event_id, event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS detail_k, value AS detail_value FROM events")

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from drawlens.sources.stages import stage_dir
 
 
+def bucket_count(rows: int, per: int = 250_000, least: int = 8) -> int:
+    """Buckets for so many rows: a bucket is sorted by one task, so their number grows with the rows."""
+    return max(least, -(-rows // per))
+
+
 def bucketed(df: DataFrame, by: str = "member_id", order: tuple[str, ...] = ("ts", "draw_id"), buckets: int = 64, name: str | None = None, path: str | None = None) -> DataFrame:
     """df as a table in `buckets` buckets of by, one file each and sorted by (by, order) inside.
 
