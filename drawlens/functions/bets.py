@@ -35,24 +35,25 @@ def mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total(values) / F.size(values)).otherwise(F.lit(0.0))
 
 
-def spread(values: Column) -> Column:
-    """Population standard deviation; 0 for fewer than two values."""
-    m = mean(values)
+def spread(values: Column, m: Column | None = None) -> Column:
+    """Population standard deviation; 0 for fewer than two values. m: their mean where it is at hand, as a column; an
+    expression is evaluated anew for every value."""
+    m = mean(values) if m is None else m
     squares = F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
     return F.when(F.size(values) > 1, F.sqrt(squares / F.size(values))).otherwise(F.lit(0.0))
 
 
-def entropy(values: Column) -> Column:
-    """Shannon entropy in bits of the shares of the positive values."""
-    t = total(values)
+def entropy(values: Column, t: Column | None = None) -> Column:
+    """Shannon entropy in bits of the shares of the positive values. t: their sum where it is at hand, as a column."""
+    t = total(values) if t is None else t
     bits = F.aggregate(values, F.lit(0.0), lambda s, x: s - (x / t) * F.log2(x / t))
     return F.when(t > 0, bits + 0.0).otherwise(F.lit(0.0))
 
 
-def gini(values: Column) -> Column:
-    """Gini coefficient of the positive values, not below 0."""
-    n, t = F.size(values), total(values)
-    ranked = F.transform(F.array_sort(values), lambda x, i: x * (i + 1))
+def gini(values: Column, t: Column | None = None) -> Column:
+    """Gini coefficient of the positive values, not below 0. t: their sum where it is at hand, as a column."""
+    n, t = F.size(values), total(values) if t is None else t
+    ranked = F.transform(F.sort_array(values), lambda x, i: x * (i + 1))
     return F.when(t > 0, F.greatest(2 * total(ranked) / (n * t) - (n + 1) / n, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
@@ -62,27 +63,28 @@ def template(bets: Column) -> Column:
     A bet whose number is null has the number None; typed bets know no difference between null and absent.
     """
     typed = F.filter(F.coalesce(bets, F.array().cast(TYPED)), lambda b: b["bet_amount"] > 0)
-    return F.array_sort(F.transform(typed, lambda b: F.struct(F.coalesce(b["number"], F.lit("None")).alias("number"), F.round(b["bet_amount"], 6).alias("bet_amount"))))
+    return F.sort_array(F.transform(typed, lambda b: F.struct(F.coalesce(b["number"], F.lit("None")).alias("number"), F.round(b["bet_amount"], 6).alias("bet_amount"))))
 
 
 def template_key(bets: Column) -> Column:
     return F.to_json(template(bets))
 
 
-def draw_features(values: Column, nonzero: Column) -> dict[str, Column]:
-    """values: all amounts; nonzero: the positive ones (columns made once, so that they are not built anew for each)."""
+def draw_features(values: Column, nonzero: Column, t: Column | None = None, t_some: Column | None = None, m: Column | None = None) -> dict[str, Column]:
+    """values: all amounts; nonzero: the positive ones; t, t_some: their sums, m: the mean of the positive ones (columns
+    made once, so that they are not built anew for each)."""
     n = F.size(nonzero)
-    t = total(values)
+    t = total(values) if t is None else t
     return {
         "bets_per_draw": F.size(values).cast("long"),
         "nonzero_bets_per_draw": n.cast("long"),
         "unique_positions_in_draw": n.cast("long"),
         "tiny_bet_ratio_in_draw": F.size(F.filter(nonzero, lambda a: a <= 1)) / F.greatest(n, F.lit(1)),
         "max_bet_share_in_draw": F.when(t > 0, F.array_max(values) / t).otherwise(F.lit(0.0)),
-        "bet_amount_std_in_draw": spread(nonzero),
-        "bet_amount_mean_in_draw": mean(nonzero),
-        "entropy_in_draw": entropy(nonzero),
-        "gini_in_draw": gini(nonzero),
+        "bet_amount_std_in_draw": spread(nonzero, m),
+        "bet_amount_mean_in_draw": mean(nonzero) if m is None else m,
+        "entropy_in_draw": entropy(nonzero, t_some),
+        "gini_in_draw": gini(nonzero, t_some),
         "position_coverage": n / F.lit(POSITIONS),
     }
 

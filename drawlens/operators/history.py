@@ -30,8 +30,10 @@ def normalise(raw: DataFrame) -> DataFrame:
 def with_draw_features(draws: DataFrame) -> DataFrame:
     """Adds the in-draw features, net_result and bet_template to draws with typed bets."""
     staged = draws.withColumn("_all", B.amounts(F.col("bets"))).withColumn("_some", B.positive(F.col("_all")))
-    staged = staged.withColumns(B.draw_features(F.col("_all"), F.col("_some")))
-    return staged.withColumns({"net_result": F.col("win_points") - F.col("total_bet_amount"), "bet_template": B.template_key(F.col("bets"))}).drop("_all", "_some")
+    staged = staged.withColumns({"_t": B.total(F.col("_all")), "_t_some": B.total(F.col("_some"))})
+    staged = staged.withColumn("_mean", F.when(F.size("_some") > 0, F.col("_t_some") / F.size("_some")).otherwise(F.lit(0.0)))
+    staged = staged.withColumns(B.draw_features(*map(F.col, ("_all", "_some", "_t", "_t_some", "_mean"))))
+    return staged.withColumns({"net_result": F.col("win_points") - F.col("total_bet_amount"), "bet_template": B.template_key(F.col("bets"))}).drop("_all", "_some", "_t", "_t_some", "_mean")
 
 
 def with_gaps(draws: DataFrame, large: int = LARGE) -> DataFrame:
