@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -37,13 +38,58 @@ class Scaler:
         return F.array(*((value(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(self.columns, self.mean, self.scale, strict=True)))
 
 
+def fit_scalers(frame: DataFrame, columns: list[str], inside: list[Column]) -> list[Scaler]:
+    """For each condition means and population deviations (1 where that is 0, or rounding of the mean: a column of one
+    value in fractions would else become noise of unit size) of the rows where it holds.
+
+    One pass for all: each task gives counts, means and squares around them, and these few numbers are merged. Nulls
+    count for nothing.
+    """
+    d, k = len(columns), len(inside)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, square = np.zeros((k, d)), np.zeros((k, d)), np.zeros((k, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            valid = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            there = batch.column(0).to_numpy(zero_copy_only=False)
+            for m in range(k):
+                mine = (there >> m & 1).astype(bool)
+                rows, has = x[mine], valid[mine]
+                more = has.sum(axis=0).astype(np.float64)
+                centre = np.where(has, rows, 0.0).sum(axis=0) / np.maximum(more, 1)
+                total, apart = np.maximum(n[m] + more, 1), centre - mean[m]
+                square[m] += (np.where(has, rows - centre, 0.0) ** 2).sum(axis=0) + apart**2 * n[m] * more / total
+                mean[m] += apart * more / total
+                n[m] += more
+        at = np.arange(k * d)
+        yield pa.record_batch([pa.array(at, pa.int32()), *(pa.array(v.ravel()) for v in (n, mean, square))], names=["i", "n", "mean", "square"])
+
+    numbers = frame.select(_members_of(inside).alias("m"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    parts = numbers.mapInArrow(run, "i int, n double, mean double, square double").where("n > 0")
+    total = lambda value: F.aggregate("p", F.lit(0.0), lambda s, x: s + value(x))
+    merged = parts.groupBy("i").agg(F.collect_list(F.struct("n", "mean", "square")).alias("p"))  # one item for each task
+    merged = merged.withColumn("all", total(lambda x: x["n"])).withColumn("mean", total(lambda x: x["n"] * x["mean"]) / F.col("all"))
+    spread = total(lambda x: x["square"] + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean"))) / F.col("all")
+    stats = {r.i: r for r in merged.select("i", "mean", F.sqrt(spread).alias("s")).collect()}
+    out = []
+    for m in range(k):
+        found = [(r.mean, r.s) if (r := stats.get(m * d + i)) else (0.0, 0.0) for i in range(d)]
+        out.append(Scaler(tuple(columns), tuple(x for x, _ in found), tuple(s if s > 1e-9 * abs(x) else 1.0 for x, s in found)))
+    return out
+
+
 def fit_scaler(frame: DataFrame, columns: list[str]) -> Scaler:
-    """Means and population deviations (1 where that is 0, or rounding of the mean: a column of one value in fractions
-    would else become noise of unit size)."""
-    stats = frame.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns))).first()
-    mean = tuple(stats[f"m{i}"] or 0.0 for i in range(len(columns)))
-    spread = (stats[f"s{i}"] or 0.0 for i in range(len(columns)))
-    return Scaler(tuple(columns), mean, tuple(s if s > 1e-9 * abs(m) else 1.0 for s, m in zip(spread, mean, strict=True)))
+    """The scaler of all rows."""
+    return fit_scalers(frame, columns, [F.lit(True)])[0]
+
+
+def _members_of(inside: list[Column]) -> Column:
+    """The conditions that hold, as bits."""
+    mask = F.lit(0)
+    for m, c in enumerate(inside):
+        mask = mask + F.when(c, 1 << m).otherwise(0)
+    return mask
 
 
 @dataclass(frozen=True)
@@ -149,16 +195,80 @@ class Logit:
         return 1 / (1 + F.exp(-z))
 
 
+def _passes(frame: DataFrame, vector: Column, label: str, scalers: list[Scaler | None], inside: list[Column], at: list[np.ndarray], weights: list[tuple[float, float]], at_once: int = 4096) -> list[np.ndarray]:
+    """For each model its loss, gradient and Hessian (upper triangle) at a point, without the penalty, summed over the
+    rows inside it: one pass for all of them, which adds a few matrices in each task."""
+    n = len(at[0])
+    upper = np.triu_indices(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(at), 1 + n + len(upper[0])))
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n - 1)
+                y, there = part.column("y").to_numpy(zero_copy_only=False), part.column("m").to_numpy(zero_copy_only=False)
+                for m, (scaler, point, (w0, w1)) in enumerate(zip(scalers, at, weights, strict=True)):
+                    mine = (there >> m & 1).astype(bool)
+                    rows = x[mine] if scaler is None else (x[mine] - np.array(scaler.mean)) / np.array(scaler.scale)
+                    rows, hit = np.column_stack((rows, np.ones(len(rows)))), y[mine] == 1
+                    z, w = rows @ point, np.where(hit, w1, w0)
+                    p = np.exp(-np.logaddexp(0, -z))
+                    curve = (rows * (w * p * np.exp(-np.logaddexp(0, z)))[:, None]).T @ rows
+                    total[m] += np.concatenate(([(w * np.logaddexp(0, np.where(hit, -z, z))).sum()], (w * (p - hit)) @ rows, curve[upper]))
+        yield pa.record_batch([pa.array(np.repeat(np.arange(len(at)), total.shape[1]), pa.int32()), pa.array(np.tile(np.arange(total.shape[1]), len(at)), pa.int32()), pa.array(total.ravel())], names=["m", "i", "v"])
+
+    sums = frame.select(vector.alias("x"), F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("y"), _members_of(inside).alias("m")).mapInArrow(run, "m int, i int, v double")
+    out = np.zeros((len(at), 1 + n + len(upper[0])))
+    for r in sums.groupBy("m", "i").agg(F.sum("v").alias("v")).collect():
+        out[r.m, r.i] = r.v
+    return list(out)
+
+
+def fit_logits(frame: DataFrame, vector: Column, label: str, scalers: list[Scaler | None], inside: list[Column], c: float = 0.1, iterations: int = 2000) -> list[Logit]:
+    """L2-regularised logistic regressions with classes of equal total weight, one for each scaler (of vector; None:
+    as it is) over the rows where its condition holds.
+
+    Newton's method: the penalised loss is strictly convex, so that its one minimum is found in some ten passes, where
+    a method of gradients takes hundreds. All models share each pass; a step that does not lower the loss is halved.
+    """
+    sides = frame.groupBy(F.col(label).alias("y")).agg(*(F.count_if(x).alias(f"n{m}") for m, x in enumerate(inside))).collect()
+    weights, sizes = [], []
+    for m in range(len(inside)):
+        counts = {r["y"]: r[f"n{m}"] for r in sides if r[f"n{m}"]}
+        if len(counts) < 2:
+            raise ValueError("both classes are needed")
+        sizes.append(sum(counts.values()))
+        weights.append((sizes[m] / (2 * counts[0]), sizes[m] / (2 * counts[1])))
+    first = frame.select(F.size(vector).alias("n")).first()
+    n, upper = first.n + 1, np.triu_indices(first.n + 1)
+    penalty = np.append(np.full(n - 1, 1 / c), 0.0)
+    at = {m: np.zeros(n) for m in range(len(inside))}
+    best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}  # loss, point and step of the best point so far
+    todo = list(at)
+    for _ in range(iterations):
+        if not todo:
+            break
+        found = _passes(frame, vector, label, [scalers[m] for m in todo], [inside[m] for m in todo], [at[m] for m in todo], [weights[m] for m in todo])
+        for m, sums in zip(list(todo), found, strict=True):
+            loss = sums[0] + (penalty * at[m] ** 2).sum() / 2
+            if m in best and not loss <= best[m][0] + 1e-12 * abs(best[m][0]):
+                best[m] = (best[m][0], best[m][1], best[m][2] / 2)
+            else:
+                gradient, hessian = sums[1 : n + 1] + penalty * at[m], np.zeros((n, n))
+                hessian[upper] = sums[n + 1 :]
+                hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty)
+                step = np.linalg.lstsq(hessian, -gradient, rcond=None)[0]
+                best[m] = (loss, at[m], step)
+                if -(gradient @ step) <= 1e-14 * (1 + loss):  # twice what is left to gain, from where steps square the error
+                    todo.remove(m)
+            at[m] = best[m][1] + best[m][2]
+    return [Logit(tuple(float(x) for x in at[m][:-1]), float(at[m][-1])) for m in at]
+
+
 def fit_logit(frame: DataFrame, vector: Column, label: str, c: float = 0.1, iterations: int = 2000) -> Logit:
     """L2-regularised logistic regression with classes of equal total weight."""
-    counts = {row[label]: row["count"] for row in frame.groupBy(label).count().collect()}
-    n = sum(counts.values())
-    if len(counts) < 2:
-        raise ValueError("both classes are needed")
-    weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
-    rows = _vectors(frame.withColumn("weight", weight), vector, (label, "weight"))
-    model = LogisticRegression(labelCol=label, weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(rows)
-    return Logit(tuple(float(x) for x in model.coefficients), float(model.intercept))
+    return fit_logits(frame, vector, label, [None], [F.lit(True)], c, iterations)[0]
 
 
 def importance(model: Logit, columns: list[str], spark) -> DataFrame:
@@ -188,18 +298,22 @@ def fold_count(positives: int) -> int:
     return max(2, min(5, positives))
 
 
+def _scored_by_fold(rows: DataFrame, columns: list[str], label: str, key: str, folds: list[int], c: float) -> DataFrame:
+    """key, fold, supervised_score_eval: rows of each of the folds scored by a model of the rows that are neither in it
+    nor in fold -1; rows of fold -1 by one of all others."""
+    inside = [~F.col("fold").isin(-1, i) for i in folds]
+    scalers = fit_scalers(rows, columns, inside)
+    fitted = fit_logits(rows, F.array(*columns), label, scalers, inside, c)
+    score = F.lit(None).cast("double")
+    for i, scaler, model in zip(folds, scalers, fitted, strict=True):
+        score = F.when(F.col("fold") == i, model.probability(scaler.vector())).otherwise(score)
+    return rows.select(key, "fold", score.alias("supervised_score_eval"))
+
+
 def out_of_fold(frame: DataFrame, columns: list[str], label: str, key: str, k: int, c: float = 0.1) -> DataFrame:
     """key, supervised_score_eval: each row scored by a model fitted without its fold."""
-    rows, parts = stored(folds(frame, label, key, k), "folds"), []
-    for i in range(k):
-        rest = rows.where(F.col("fold") != i)
-        scaler = fit_scaler(rest, columns)
-        model = fit_logit(rest, scaler.vector(), label, c)
-        parts.append(rows.where(F.col("fold") == i).select(key, model.probability(scaler.vector()).alias("supervised_score_eval")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = stored(folds(frame, label, key, k), "folds")
+    return _scored_by_fold(rows, columns, label, key, list(range(k)), c).drop("fold")
 
 
 def evaluation_scores(frame: DataFrame, columns: list[str], label: str, key: str, share: float = 0.3, c: float = 0.1, seed: int = 42) -> DataFrame:
@@ -211,10 +325,9 @@ def evaluation_scores(frame: DataFrame, columns: list[str], label: str, key: str
     rows = stored(rows, "split")
     dev, held = rows.where("is_test = 0"), rows.where("is_test = 1")
     k = fold_count(dev.where(F.col(label) == 1).count())
-    scaler = fit_scaler(dev, columns)
-    model = fit_logit(dev, scaler.vector(), label, c)
-    tested = held.select(key, "is_test", model.probability(scaler.vector()).alias("supervised_score_eval"))
-    return out_of_fold(dev, columns, label, key, k, c).select(key, F.lit(0).alias("is_test"), "supervised_score_eval").unionByName(tested)
+    dealt = folds(dev, label, key, k).unionByName(held.withColumn("fold", F.lit(-1)))
+    dealt = stored(dealt.select(key, label, *columns, "fold"), "folds")
+    return _scored_by_fold(dealt, columns, label, key, [-1, *range(k)], c).select(key, (F.col("fold") == -1).cast("int").alias("is_test"), "supervised_score_eval")
 
 
 def comparison_models(frame: DataFrame, columns: list[str], label: str, key: str, threshold: float = 0.5, trees: int = 50, seed: int = 42) -> DataFrame:

@@ -95,3 +95,48 @@ def test_models_are_fitted_to_stored_rows(spark, sf_dir):
 
     frame, _ = queries._frame(spark, sf_dir)
     assert all("/frame-" in path for path in frame.inputFiles())
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_logits_are_at_the_minimum_after_few_passes(spark):
+    x, y, df = frame_of(spark)
+    x = np.column_stack((x, x[:, 0] * 3 + x[:, 1] * 1e-3))  # two columns that are nearly one
+    df = df.withColumn("d", F.col("a") * 3 + F.col("b") * 1e-3)
+    model, jobs = jobs_of(spark, "logit", lambda: models.fit_logit(df, F.array("a", "b", "c", "d"), "y"))
+    w, z = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum()), x @ model.weights + model.intercept
+    miss = w * (1 / (1 + np.exp(-z)) - y)
+    assert np.abs(x.T @ miss + np.array(model.weights) / 0.1).max() < 1e-7 and abs(miss.sum()) < 1e-7
+    assert jobs <= 40
+
+
+def test_models_of_all_folds_share_their_passes(spark):
+    _, y, df = frame_of(spark, 120)
+    out, jobs = jobs_of(spark, "folds", lambda: models.evaluation_scores(df, ["a", "b", "c"], "y", "member_id"))
+    assert jobs <= 80 and out.count() == 120
+    rows = models.folds(df, "y", "member_id", 3).toPandas()
+    got = models.out_of_fold(df, ["a", "b", "c"], "y", "member_id", 3).toPandas().set_index("member_id").supervised_score_eval
+    for i in range(3):  # as by a fit to each one's other folds alone
+        rest = spark.createDataFrame(rows[rows.fold != i])
+        scaler = models.fit_scaler(rest, ["a", "b", "c"])
+        alone = spark.createDataFrame(rows[rows.fold == i]).select("member_id", models.fit_logit(rest, scaler.vector(), "y").probability(scaler.vector()).alias("p")).toPandas()
+        assert np.allclose(got[alone.member_id], alone.p, atol=1e-9)
+
+
+def test_scalers_of_parts_are_those_of_their_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 1, (500, 2))
+    rows = [(float(a), None if i % 3 else float(b), 0.1, None, i % 4) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, part int").repartition(5)
+    found = models.fit_scalers(df, ["a", "b", "c", "d"], [F.lit(True), F.col("part") == 1, F.col("part") > 9])
+    for scaler, mine in zip(found, (np.ones(500, bool), np.arange(500) % 4 == 1), strict=False):
+        b = x[mine & (np.arange(500) % 3 == 0), 1]
+        assert np.allclose(scaler.mean, (x[mine, 0].mean(), b.mean(), 0.1, 0), rtol=1e-13) and np.allclose(scaler.scale, (x[mine, 0].std(), b.std(), 1, 1), rtol=1e-9)
+    assert found[2].mean == (0.0,) * 4 and found[2].scale == (1.0,) * 4
