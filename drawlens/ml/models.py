@@ -412,6 +412,16 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> tuple[list[int], list[f
     return feature, value, child
 
 
+def _candidates(frame: DataFrame, vector: Column, key: str, trees: int, share: float, seed: int) -> DataFrame:
+    """key, x, tree, h: each tree's rows with the smallest hashes, about this share of all.
+
+    Rows meet all trees in compiled code, which drops most at once; only what is left gets its vector.
+    """
+    end = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
+    met = frame.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
+    return met.where(F.col("h") <= end).select(key, vector.alias("x"), "tree", "h")
+
+
 def fit_forest(frame: DataFrame, vector: Column, key: str, trees: int = 300, sample: int = 256, seed: int = 42) -> Forest:
     """Isolation forest (Liu, Ting & Zhou 2008). Each tree sees up to `sample` rows, the first by a hash of (id, tree).
 
@@ -419,11 +429,7 @@ def fit_forest(frame: DataFrame, vector: Column, key: str, trees: int = 300, sam
     is about twice trees * sample rows, and trees grow where their rows are.
     """
     n = frame.count()
-    share = min(1.0, 2.0 * sample / max(1, n) + 64 / max(1, n))
-    end = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
-    # each row names the trees that it may join before it becomes rows, so most rows become none
-    mine = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("h"))), lambda t: t["h"] <= end)
-    tagged = frame.select(key, F.explode(mine).alias("t"), vector.alias("x")).select(key, "x", "t.tree", "t.h")
+    tagged = _candidates(frame, vector, key, trees, min(1.0, 2.0 * sample / max(1, n) + 64 / max(1, n)), seed)
     few = tagged.withColumn("n", F.row_number().over(W.partitionBy("tree").orderBy("h", key))).where(F.col("n") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -140,3 +140,13 @@ def test_scalers_of_parts_are_those_of_their_rows(spark):
         b = x[mine & (np.arange(500) % 3 == 0), 1]
         assert np.allclose(scaler.mean, (x[mine, 0].mean(), b.mean(), 0.1, 0), rtol=1e-13) and np.allclose(scaler.scale, (x[mine, 0].std(), b.std(), 1, 1), rtol=1e-9)
     assert found[2].mean == (0.0,) * 4 and found[2].scale == (1.0,) * 4
+
+
+def test_rows_meet_trees_in_compiled_code(spark):
+    _, _, df = frame_of(spark)
+    found = models._candidates(df, F.array("a", "b", "c"), "member_id", 30, 0.1, 42)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and ") Generate explode" in plan
+    few = {(r.member_id, r.tree) for r in found.collect()}
+    every = df.select("member_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("t")).select("*", F.xxhash64("member_id", "t", F.lit(42)).alias("h")).collect()
+    assert few == {(r.member_id, r.t) for r in every if r.h <= -(2**63) + 0.1 * 2**64} and 600 < len(few) < 1200
