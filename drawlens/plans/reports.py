@@ -501,7 +501,8 @@ AUDITED = {"draws_played": "count(DISTINCT draw_id)", "sessions_played": "count(
 )
 def recompute_audit(spark, d):
     """Features before the first event held against those of all draws."""
-    now, saved = (features.core_features(rows).select("member_id", *AUDITED) for rows in (_history(spark, d), stored(_labelled(spark, d), "labelled")))
+    marked = _marked(spark, d)  # of both: what is not audited is neither made nor read
+    now, saved = (features.core_features(rows(marked)).select("member_id", *AUDITED) for rows in (history.gaps_before_events, history.with_gaps))
     return checks.recompute_audit(now, saved, "member_id")
 
 

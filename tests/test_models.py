@@ -150,3 +150,11 @@ def test_rows_meet_trees_in_compiled_code(spark):
     few = {(r.member_id, r.tree) for r in found.collect()}
     every = df.select("member_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("t")).select("*", F.xxhash64("member_id", "t", F.lit(42)).alias("h")).collect()
     assert few == {(r.member_id, r.t) for r in every if r.h <= -(2**63) + 0.1 * 2**64} and 600 < len(few) < 1200
+
+
+def test_an_audit_makes_its_draws_once(spark, sf_dir, monkeypatch):
+    from drawlens.plans import queries
+
+    names, keep = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, name: names.append(name) or keep(df, name))
+    assert queries.QUERIES["recompute_audit"](spark, sf_dir).count() == 8 and names == ["marked"]
