@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from drawlens.llm import line_dedup as line_module
 from drawlens.llm import queries as Q
 from drawlens.llm.common import components, ranked
 from drawlens.llm.line_dedup import band_keys, line_dedup, rolling, shingle_set
@@ -196,6 +197,31 @@ def test_every_two_lines_of_a_large_key_meet(spark):
     assert [r.doc_id for r in line_dedup(docs, n_bands=1, rows=1).collect() if r.text == ""] == [300, 301, 302, 303]
 
 
+def test_line_dedup_runs_no_python(documents, monkeypatch):
+    plans, store = [], line_module.save
+
+    def seen(df, name):
+        plans.append(df)
+        return store(df, name)
+
+    monkeypatch.setattr(line_module, "save", seen)
+    plans.append(line_dedup(documents))
+    assert len(plans) > 6
+    assert not [p for p in plans if re.search("Python|Pandas|Arrow", p._jdf.queryExecution().optimizedPlan().toString())]
+
+
+def test_lines_of_few_or_long_words_are_found(spark):
+    """Lines whose word pairs say little: one long word, few words, words that repeat, no words at all."""
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    long = [run(200) for _ in range(30)]
+    groups = [(x := run(300), x[:150] + "-" + x[151:]), ("ha " * 20, "ha " * 300), ("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 2 + "\U0001f600" * 30, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 2 + "\U0001f600" * 40), (" ".join(long), " ".join(x[:100] + "-" + x[101:] for x in long)), ("the only line of seven words here stands", "the only line of seven words here stands.")]
+    rows = [(i * 10 + j, x) for i, group in enumerate(groups) for j, x in enumerate(group)]
+    want = plain_lines(dict(rows))
+    assert sum(t == "" for t in want.values()) == len(groups)
+    assert {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_line_tails_and_insides_count(spark):
     """Against plain character shingles, over pairs that differ in their last word or inside a long one."""
     rng = random.Random(6)
