@@ -281,3 +281,35 @@ def test_near_copies_are_caught_alone_and_after_line_dedup(spark, documents):
     lined = {r.doc_id: r.text for r in line_dedup(docs).collect()}
     print("caught", caught, "words left of copies by line dedup", sum(len(lined[i].split()) for i in planted) / sum(len(dict(rows)[i].split()) for i in planted))
     assert caught >= 0.95
+
+
+def test_near_copies_cost_comparisons_in_proportion(spark, monkeypatch):
+    """A group of near copies costs a few exact comparisons a line, not one for every two lines that share a key."""
+    rng, counts, similar = random.Random(2), [], line_module._similar
+    lines = []
+    for _ in range(240):
+        copy = [f"word{i}" for i in range(60)]
+        copy[rng.randrange(60)] = f"other{rng.randrange(1000)}"
+        lines.append(" ".join(copy))
+
+    def seen(pairs, *rest):
+        inside = pairs.groupBy("g").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] if "g" in pairs.columns else pairs.count()
+        counts.append(inside or 0)
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(line_module, "_similar", seen)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert sum(r.text != "" for r in line_dedup(docs).collect()) == 1
+    assert 239 <= sum(counts) <= 12 * 240  # each line with the first of its key in each of six bands, or the best
+
+
+def test_sketches_differ_in_no_more_bits_than_shingles(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choices("abcde ", k=400))
+    lines = [base, base[:300] + base[310:], "ha " * 200, "".join(rng.choices("abcde ", k=900)), "twelve chars", base[5:] + "\U0001f600" * 20]
+    rows = line_module._sketches(spark.createDataFrame(list(enumerate(lines)), "h long, line string"), 12).collect()
+    sets, bits = [char_shingles(x) for x in lines], {r.h: [b % 2**64 for b in r.bits] for r in rows}
+    assert all(r.c == len(lines[r.h]) - 11 and r.ones == sum(b.bit_count() for b in bits[r.h]) <= len(sets[r.h]) for r in rows)
+    for i in bits:
+        for j in bits:
+            assert sum((a ^ b).bit_count() for a, b in zip(bits[i], bits[j], strict=True)) <= len(sets[i] ^ sets[j])
